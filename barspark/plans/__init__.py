@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("bars", "rolling", "features")
+MODULES = ("bars", "rolling", "features", "edge")
 
 
 def load():
