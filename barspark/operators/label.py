@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import ew_block  # noqa: F401
+from ..session import checkpoint
 from .sequence import framed, running, w_block
 
 # labels look at most this many rows per join bucket; spans touch one or two
@@ -143,7 +143,8 @@ def concurrency(bars: DataFrame, labels: DataFrame) -> DataFrame:
 def avg_uniqueness(bars: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean of 1/concurrency over each label's span, from one prefix sum."""
     inv = F.when(F.col("open_labels") > 0, 1.0 / F.col("open_labels")).otherwise(0.0)
-    pre = running(concurrency(bars, labels).withColumn("_inv", inv), {"_cum": ("sum", F.col("_inv"))})
+    per_bar = checkpoint(concurrency(bars, labels).withColumn("_inv", inv))
+    pre = running(per_bar, {"_cum": ("sum", F.col("_inv"))})
     at_exit = pre.select("instrument", F.col("bar_index").alias("exit_index"), F.col("_cum").alias("_hi"))
     at_entry = pre.select("instrument", "bar_index", (F.col("_cum") - F.col("_inv")).alias("_lo"))
     x = labels.join(at_exit, ["instrument", "exit_index"]).join(at_entry, ["instrument", "bar_index"])

@@ -42,8 +42,19 @@ def index_bars(
     slots, and span counts per key: no window sees more than one slot of rows.
     ``order[0]`` must be a timestamp.
     """
+    slot = F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / slot_seconds)
+    return number_rows(bars, slot, order, keys, name)
+
+
+def number_rows(
+    df: DataFrame, slot: Column, order: Sequence[str], keys: Sequence[str] = ("instrument",), name: str = "bar_index"
+) -> DataFrame:
+    """Dense 0-based number per key in ``order``, which must not contradict ``slot``.
+
+    Rows are numbered inside a slot, and slot counts are scanned.
+    """
     keys = list(keys)
-    x = bars.withColumn("_slot", F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / slot_seconds))
+    x = df.withColumn("_slot", slot)
     counts = x.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     offsets = _exclusive_sums(counts, keys, "_slot", "_n")
     w = Window.partitionBy(*keys, "_slot").orderBy(*order)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("bars", "rolling", "features", "edge")
+MODULES = ("bars", "rolling", "features", "edge", "metrics")
 
 
 def load():
