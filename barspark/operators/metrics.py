@@ -48,7 +48,7 @@ def return_summary(rets: DataFrame, value: str = "ret", keys=("instrument",)) ->
         sr.alias("sharpe"),
         (sr * math.sqrt(YEAR)).alias("sharpe_annualized"),
         sharpe_se(F.col("n"), sr, F.col("skew"), F.col("kurtosis")).alias("sharpe_se"),
-        (F.col("mean") / F.col("_down") * math.sqrt(YEAR)).alias("sortino_annualized"),
+        (F.try_divide("mean", "_down") * math.sqrt(YEAR)).alias("sortino_annualized"),
         F.when(F.col("max_drawdown") > 0, annual / F.col("max_drawdown")).otherwise(INF).alias("calmar"),
         "skew",
         "kurtosis",
@@ -140,7 +140,7 @@ def trade_summary(trades: DataFrame, value: str = "ret_log", sigma: str = "ret_s
 
 def sharpe_inputs(rets: DataFrame, value: str = "ret", keys=("instrument",)) -> DataFrame:
     a = rets.filter(F.col(value).isNotNull()).groupBy(*keys).agg(*moments(value))
-    return a.select(*keys, "n", (F.col("mean") / F.col("sd")).alias("sr"), "skew", "kurtosis")
+    return a.select(*keys, "n", F.try_divide("mean", "sd").alias("sr"), "skew", "kurtosis")
 
 
 def _var_term() -> Column:

@@ -103,7 +103,7 @@ def ew_corr(df: DataFrame, cols: Sequence[str], halflife: float, keys=("instrume
         return F.greatest(F.col(f"s_{c}") - F.col(f"m_{c}") ** 2, F.lit(1e-300))
 
     def corr(a: str, b: str) -> Column:
-        c = (F.col(f"q_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) / F.sqrt(var(a) * var(b))
+        c = (F.col(f"q_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) / (F.sqrt(var(a)) * F.sqrt(var(b)))
         return F.least(F.greatest(c, F.lit(-0.999)), F.lit(0.999))
 
     items = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("corr")) for a, b in pairs])

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("bars", "rolling", "features", "edge", "metrics")
+MODULES = ("bars", "rolling", "features", "edge", "metrics", "calib", "decide")
 
 
 def load():
