@@ -27,7 +27,7 @@ def clipped(r: Column) -> Column:
     return F.when(r.isNotNull(), F.least(F.greatest(r, F.lit(-12.0)), F.lit(12.0)))
 
 
-def edge_stats(outcomes: DataFrame, age: Column | None = None, halflife: float = HALFLIFE) -> DataFrame:
+def edge_stats(outcomes: DataFrame, age: Column | None = None, halflife: float = HALFLIFE, by: tuple[str, ...] = ()) -> DataFrame:
     """n_w, s1, s2 at leaf, node and root in one rollup.
 
     ``outcomes`` has the cell columns, ``ret_sigma`` and ``weight``.  The decay is a
@@ -37,17 +37,22 @@ def edge_stats(outcomes: DataFrame, age: Column | None = None, halflife: float =
     w = F.col("weight") if age is None else F.col("weight") * F.pow(F.lit(2.0), -age / halflife)
     r = clipped(F.col("ret_sigma"))
     x = outcomes.filter(F.col("ret_sigma").isNotNull() & (F.col("weight") > 0)).select(
-        *CELL, w.alias("w"), r.alias("r")
+        *by, *CELL, w.alias("w"), r.alias("r")
     )
     level = F.grouping_id()
-    out = x.rollup(*CELL).agg(
+    b = [F.col(k) for k in by]
+    cells = [F.col(k) for k in CELL]
+    # the rollup levels, without (regime), inside every value of ``by``
+    sets = [[*b, *cells[:n]] for n in (3, 2, 0)]
+    g = x.groupingSets(sets, *b, *cells) if by else x.rollup(*CELL)
+    out = g.agg(
         level.alias("_g"),
         F.sum("w").alias("n_w"),
         F.sum(F.col("w") * F.col("r")).alias("s1"),
         F.sum(F.col("w") * F.col("r") ** 2).alias("s2"),
     )
     name = F.when(F.col("_g") == 0, "leaf").when(F.col("_g") == 1, "node").when(F.col("_g") == 7, "root")
-    return out.withColumn("level", name).filter(F.col("level").isNotNull()).select("level", *CELL, "n_w", "s1", "s2")
+    return out.withColumn("level", name).filter(F.col("level").isNotNull()).select(*by, "level", *CELL, "n_w", "s1", "s2")
 
 
 def posterior(n: Column, s1: Column, s2: Column, mu0: Column, kappa0: float, q: float = 0.1) -> dict[str, Column]:
@@ -101,23 +106,25 @@ def edge_grid(spark: SparkSession) -> DataFrame:
     return r(4, "regime").crossJoin(r(4, "setup")).crossJoin(r(5, "bucket"))
 
 
-def edge_posterior(stats: DataFrame) -> DataFrame:
+def edge_posterior(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Posterior of every cell of the grid; an unseen cell inherits its parents."""
+    by = list(by)
 
     def level(name: str, lv: str, keys: list[str]) -> DataFrame:
         return stats.filter(F.col("level") == name).select(
-            *keys, F.col("n_w").alias(f"n_{lv}"), F.col("s1").alias(f"s1_{lv}"), F.col("s2").alias(f"s2_{lv}")
+            *by, *keys, F.col("n_w").alias(f"n_{lv}"), F.col("s1").alias(f"s1_{lv}"), F.col("s2").alias(f"s2_{lv}")
         )
 
-    x = edge_grid(stats.sparkSession)
-    x = x.join(level("leaf", "l", CELL), CELL, "left").join(level("node", "m", CELL[:2]), CELL[:2], "left")
-    # the root is one row and the grid 80, whatever the size of the data
-    return chain(x.join(F.broadcast(level("root", "g", [])), how="left"))
+    # the grid is 80 fixed cells, whatever the size of the data
+    grid, root = F.broadcast(edge_grid(stats.sparkSession)), level("root", "g", [])
+    x = root.crossJoin(grid) if by else grid.join(root, how="left")
+    x = x.join(level("leaf", "l", CELL), [*by, *CELL], "left").join(level("node", "m", CELL[:2]), [*by, *CELL[:2]], "left")
+    return chain(x)
 
 
-def edge_lookup(rows: DataFrame, post: DataFrame) -> DataFrame:
-    """Attach the posterior of each row's cell (an 80-row table)."""
-    return rows.join(F.broadcast(post), CELL, "left")
+def edge_lookup(rows: DataFrame, post: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Attach the posterior of each row's cell (an 80-row table, or 80 rows per ``by``)."""
+    return rows.join(post if by else F.broadcast(post), [*by, *CELL], "left")
 
 
 def edge_summary(stats: DataFrame) -> DataFrame:

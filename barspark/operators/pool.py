@@ -96,6 +96,38 @@ def pool_log_odds(scores: DataFrame, n_engines: int, keys=("instrument", "bar_in
         F.sum(c("_d") * c("_d")).alias("_dd"), F.sum("_d").alias("_sd"), F.sum(c("_d") * c("_d") * c("_e")).alias("_dde"),
         F.sum(c("_d") * c("_e")).alias("_de"), *[v.alias(k) for k, v in sums.items()],
     )
+    return _finish(a, n_engines, rho, kw).select(*keys, *FUSED)
+
+
+FUSED = ("n_live", "log_odds", "log_odds_se", "p_success", "p_low", "p_high", "ebe_full", "ebe", "direction")
+
+
+def pool_array(x: DataFrame, col: str, n_engines: int, rho: float | None = None, **kw) -> DataFrame:
+    """The same sums over an array of score structs on the bar's own row: no shuffle."""
+    rho = prior_rho() if rho is None else rho
+    live = F.filter(col, lambda e: e["valid"] & (e["reliability"] > 0))
+    y = x.withColumn(
+        "_p", F.transform(live, lambda e: F.struct(e["score"].alias("s"), e["reliability"].alias("r"), F.sqrt(e["reliability"]).alias("d"), evidence(e["score"]).alias("v")))
+    )
+
+    def total(f, arr="_p"):
+        return F.aggregate(arr, F.lit(0.0), lambda a, e: a + f(e))
+
+    heavy = lambda e: F.abs(e["s"]) * e["r"] > ALIGN
+    y = y.withColumns(
+        {
+            "n_live": F.size("_p").cast("long"), "_dd": total(lambda e: e["r"]), "_sd": total(lambda e: e["d"]),
+            "_dde": total(lambda e: e["r"] * e["v"]), "_de": total(lambda e: e["d"] * e["v"]),
+            "_au": F.filter("_p", lambda e: heavy(e) & (e["s"] > 0)), "_an": F.filter("_p", lambda e: heavy(e) & (e["s"] < 0)),
+            "_az": F.filter("_p", heavy),
+        }
+    )
+    for t in "unz":
+        y = y.withColumns({f"_m{t}": F.size(f"_a{t}"), f"_q{t}": total(lambda e: e["r"], f"_a{t}"), f"_s{t}": total(lambda e: e["d"], f"_a{t}")})
+    return _finish(y, n_engines, rho, kw).drop(*[f"_{k}" for k in ("p", "dd", "sd", "dde", "de")], *[f"_{k}{t}" for k in "amqs" for t in "unz"])
+
+
+def _finish(a: DataFrame, n_engines: int, rho: float, kw: dict) -> DataFrame:
     lo_ = quad(c("_dde"), c("_sd"), c("_de"), n_engines, rho)
     a = a.withColumns(
         {
@@ -109,8 +141,7 @@ def pool_log_odds(scores: DataFrame, n_engines: int, keys=("instrument", "bar_in
         return F.when(m > 0, F.greatest(quad(c(f"_q{t}"), c(f"_s{t}"), c(f"_s{t}"), m, rho), F.lit(0.0))).otherwise(0.0)
 
     ebe = F.when(c("log_odds") > 0, aligned("u")).when(c("log_odds") < 0, aligned("n")).otherwise(aligned("z"))
-    a = a.withColumn("ebe", F.when(c("n_live") > 0, ebe).otherwise(0.0)).withColumns(probabilities(**kw))
-    return a.select(*keys, "n_live", "log_odds", "log_odds_se", "p_success", "p_low", "p_high", "ebe_full", "ebe", "direction")
+    return a.withColumn("ebe", F.when(c("n_live") > 0, ebe).otherwise(0.0)).withColumns(probabilities(**kw))
 
 
 def pool_weights(scores: DataFrame, n_engines: int, keys=("instrument", "bar_index"), rho: float | None = None) -> DataFrame:

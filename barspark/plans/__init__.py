@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("bars", "rolling", "features", "edge", "metrics", "calib", "decide")
+MODULES = ("bars", "rolling", "features", "edge", "metrics", "calib", "decide", "train")
 
 
 def load():
