@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("bars", "rolling", "features", "edge", "metrics", "calib", "decide", "train")
+MODULES = ("bars", "rolling", "features", "edge", "metrics", "calib", "decide", "train", "streams")
 
 
 def load():
