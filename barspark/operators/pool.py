@@ -198,7 +198,7 @@ def fused_general(scores: DataFrame, engines: list[str], halflife: float = 250.0
         s = rows[[f"{e}_s" for e in engines]].to_numpy(dtype=float)
         rel = rows[[f"{e}_r" for e in engines]].to_numpy(dtype=float)
         ok = rows[[f"{e}_v" for e in engines]].to_numpy(dtype=float) > 0
-        mats = np.empty((len(rows), n, n))
+        mats, count = np.empty((len(rows), n, n)), np.empty(len(rows), dtype=int)
         for i in range(len(rows)):
             if ok[i].all():
                 w = lam * w + 1.0
@@ -206,6 +206,7 @@ def fused_general(scores: DataFrame, engines: list[str], halflife: float = 250.0
                 mean = mean + gap / w
                 cov = (1.0 - 1.0 / w) * (cov + np.outer(gap, gap) / w)
                 seen = min(seen + 1, need + 1)
+            count[i] = seen
             if seen > need:
                 dev = np.sqrt(np.clip(np.diag(cov), 1e-300, None))
                 m = np.clip(cov / np.outer(dev, dev), -0.999, 0.999) * (1.0 - SHRINK)
@@ -228,7 +229,7 @@ def fused_general(scores: DataFrame, engines: list[str], halflife: float = 250.0
         eig = np.linalg.eigvalsh(mats)
         off = np.abs(mats[:, ~np.eye(n, dtype=bool)])
         cols = {
-            "n_live": live.sum(1), "log_odds": log_odds, "ebe_full": ebe, "ebe": breadth, "samples": np.full(len(rows), seen),
+            "n_live": live.sum(1), "log_odds": log_odds, "ebe_full": ebe, "ebe": breadth, "samples": count,
             "mean_abs_corr": off.mean(1), "max_abs_corr": off.max(1),
             "ebe_unit": np.linalg.solve(mats, np.ones((len(rows), n, 1))).sum(axis=(1, 2)), "condition": eig[:, -1] / eig[:, 0],
         }
