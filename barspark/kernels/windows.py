@@ -90,33 +90,66 @@ def variance_ratio(ret, w: int = 120, lags=(2, 4, 8, 16)) -> tuple[np.ndarray, n
     ret = np.asarray(ret, dtype=float)
     z_out, h_out = np.full(ret.size, np.nan), np.full(ret.size, np.nan)
     at = np.flatnonzero(~np.isnan(ret))
-    v, lo = ret[at], max(3 * max(lags), 40)
-    z, h = np.full(v.size, np.nan), np.full(v.size, np.nan)
-    for i in range(lo - 1, min(w - 1, v.size)):
-        z[i], h[i] = (a[0] for a in _vr(v[None, : i + 1], lags))
-    if v.size >= w:
-        z[w - 1 :], h[w - 1 :] = _vr(sliding_window_view(v, w), lags)
-    z_out[at], h_out[at] = hold(z), hold(h)
+    if at.size:
+        z, h = _vr(_windows(ret[at], w), _counts(at.size, w), lags)
+        early = np.arange(at.size) < max(3 * max(lags), 40) - 1
+        z[early], h[early] = np.nan, np.nan
+        z_out[at], h_out[at] = z, h
     return hold(z_out), hold(h_out)
 
 
-def _vr(win: np.ndarray, lags) -> tuple[np.ndarray, np.ndarray]:
-    n = win.shape[1]
-    mu = win.mean(1, keepdims=True)
-    d2 = (win - mu) ** 2
+def _vr(win: np.ndarray, n: np.ndarray, lags) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``win`` are right-aligned windows with ``n`` values, NaN before them."""
+    have = ~np.isnan(win)
+    x = np.where(have, win, 0.0)
+    d = np.where(have, x - (x.sum(1) / n)[:, None], 0.0)
+    d2 = d * d
     ss = d2.sum(1)
+    zs, hs = [], []
     with np.errstate(divide="ignore", invalid="ignore"):
-        delta = [None] + [(d2[:, j:] * d2[:, :-j]).sum(1) / ss**2 for j in range(1, max(lags))]
-        cs = np.concatenate([np.zeros((len(win), 1)), np.cumsum(win, axis=1)], axis=1)
-        zs, hs = [], []
+        delta = [None] + [np.einsum("ij,ij->i", d2[:, j:], d2[:, :-j]) / ss**2 for j in range(1, max(lags))]
+        cs = np.concatenate([np.zeros((len(win), 1)), np.cumsum(d, axis=1)], axis=1)
         for q in lags:
-            sums = cs[:, q:] - cs[:, :-q] - q * mu
-            ratio = (sums**2).sum(1) / (q * (n - q + 1) * (1 - q / n)) / (ss / (n - 1))
+            # sums of q demeaned returns, only where all q are inside the window
+            sums = np.where(have[:, : win.shape[1] - q + 1], cs[:, q:] - cs[:, :-q], 0.0)
+            ratio = np.einsum("ij,ij->i", sums, sums) / (q * (n - q + 1) * (1 - q / n)) / (ss / (n - 1))
             theta = sum((2 * (q - j) / q) ** 2 * delta[j] for j in range(1, q))
             zs.append(np.where(theta > 0, (ratio - 1) / np.sqrt(theta), np.nan))
             hs.append(np.where(ratio > 0, 0.5 + np.log(ratio) / (2 * np.log(q)), np.nan))
-    import warnings
+    return _mean_present(zs), _mean_present(hs)
+
+
+def _mean_present(parts) -> np.ndarray:
+    a = np.array(parts)
+    k = (~np.isnan(a)).sum(0)
+    return np.where(k > 0, np.nansum(a, axis=0) / np.maximum(k, 1), np.nan)
+
+
+def std(x, w: int, min_obs: int) -> np.ndarray:
+    """Sample standard deviation of the last ``w`` values."""
+
+    def fn(v):
+        win, n = _windows(v, w), _counts(v.size, w)
+        have = ~np.isnan(win)
+        t = np.where(have, win, 0.0)
+        d = np.where(have, t - (t.sum(1) / n)[:, None], 0.0)
+        s = np.sqrt(np.einsum("ij,ij->i", d, d) / np.maximum(n - 1, 1))
+        return np.where(n >= min_obs, s, np.nan)
 
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", RuntimeWarning)
-        return np.nanmean(zs, axis=0), np.nanmean(hs, axis=0)
+    return _on_values(x, fn)
+
+
+def kurtosis(x, w: int, min_obs: int) -> np.ndarray:
+    """Excess kurtosis of the last ``w`` values; 0 for a constant window."""
+
+    def fn(v):
+        win, n = _windows(v, w), _counts(v.size, w)
+        have = ~np.isnan(win)
+        t = np.where(have, win, 0.0)
+        d2 = np.where(have, t - (t.sum(1) / n)[:, None], 0.0) ** 2
+        m2 = d2.sum(1) / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            k = np.where(m2 > 1e-300, np.einsum("ij,ij->i", d2, d2) / n / (m2 * m2) - 3.0, 0.0)
+        return np.where(n >= min_obs, k, np.nan)
+
+    return _on_values(x, fn)

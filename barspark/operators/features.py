@@ -97,11 +97,7 @@ def volatility(
             "_logf": F.log("sigma_fcst"),
         }
     )
-    w60 = w_last(60)
-    x = x.withColumn(
-        "vol_of_vol", F.when(c("_logss").isNotNull() & (F.count("_logss").over(w60) >= 10), F.stddev_samp("_logss").over(w60))
-    )
-    return x.drop("_ok", "_rv", "_bpn", "_bp", "_rsm", "_gkm", "_ss", "_sl", "_ew", "_rs", "_gk", "_logss")
+    return x.drop("_ok", "_rv", "_bpn", "_bp", "_rsm", "_gkm", "_ss", "_sl", "_ew", "_rs", "_gk")
 
 
 def jump_test(x: DataFrame, n: int = 22) -> DataFrame:
@@ -187,7 +183,7 @@ def perm_entropy(x: DataFrame, k: int = 60) -> DataFrame:
 RANKED = (
     "participation", "participation_rank", "ladr", "ladr_rank", "absorption", "absorption_rank", "amihud",
     "amihud_rank", "kyle_lambda", "delta_norm", "spread", "spread_ar", "vol_rank", "compression", "vr_z",
-    "hurst_implied", "vr_rank",
+    "hurst_implied", "vr_rank", "ret_kurtosis", "vol_of_vol",
 )
 
 
@@ -195,7 +191,7 @@ def rank_columns(pdf: pd.DataFrame, ratio: str | None = None, w: int = 252, min_
     """Participation, impact, absorption and rank columns of one sorted block."""
     import numpy as np
 
-    f = {k: pdf[k].to_numpy(dtype=float) for k in ("ret", "sigma_bp", "dollar_volume", "volume", "delta", "_cs", "_ar", "_logf", "_comp")}
+    f = {k: pdf[k].to_numpy(dtype=float) for k in ("ret", "sigma_bp", "dollar_volume", "volume", "delta", "_cs", "_ar", "_logf", "_comp", "_logss")}
     with np.errstate(all="ignore"):
         dv = f["dollar_volume"]
         if ratio is None:
@@ -231,15 +227,16 @@ def rank_columns(pdf: pd.DataFrame, ratio: str | None = None, w: int = 252, min_
             "vr_z": vr_z,
             "hurst_implied": hurst,
             "vr_rank": K.rank(vr_z, w, min_obs),
+            "ret_kurtosis": K.kurtosis(f["ret"], 126, 31),
+            "vol_of_vol": K.std(f["_logss"], 60, 10),
         }
     return out
 
 
 BASE = (
     "open", "high", "low", "close", "volume", "delta", "ret", "dollar_volume", "clv", "sigma_bp", "sigma_rv",
-    "sigma_rs", "sigma_gk", "sigma_ew", "sigma_short", "sigma_long", "sigma_fcst", "jump_share", "vol_of_vol",
+    "sigma_rs", "sigma_gk", "sigma_ew", "sigma_short", "sigma_long", "sigma_fcst", "jump_share",
     "vol_ratio", "range_over_sigma", "ret_norm", "clv_ema", "jump_z", "efficiency", "trend_agree", "perm_entropy",
-    "ret_kurtosis",
 )
 SESSION = ("dow", "phase", "tod_frac", "tod_bucket", "bars_since_open", "overnight_ret")
 
@@ -251,17 +248,12 @@ def block_frame(bars: DataFrame, lookback: int = LOOKBACK, block: int = BLOCK) -
     x = spread_terms(jump_test(x))
     eff, _ = path_efficiency()
     prefix = w_block().rowsBetween(Window.unboundedPreceding, 0)
-    w126 = w_last(126)
-    flat = F.var_pop("ret").over(w126) <= 1e-300
     x = x.withColumns(
         {
             "efficiency": eff,
             "trend_agree": horizon_agreement(),
             "clv_ema": ew_mean(F.col("clv"), ew_weight(5.0, block), prefix),
             "ret_norm": F.col("ret") / F.col("sigma_bp"),
-            "ret_kurtosis": F.when(
-                F.count("ret").over(w126) > 30, F.when(flat, 0.0).otherwise(F.kurtosis("ret").over(w126))
-            ),
         }
     )
     return perm_entropy(x)
@@ -279,7 +271,7 @@ def block_features(bars: DataFrame, profile: str = "daily", lookback: int = LOOK
         tagged = tagged.join(part.select("instrument", "bar_index", F.col("ratio").alias("_part")), ["instrument", "bar_index"])
         ratio = "_part"
     x = block_frame(tagged, lookback, block)
-    need = ["_cs", "_ar", "_logf", "_comp"] + ([ratio] if ratio else [])
+    need = ["_cs", "_ar", "_logf", "_comp", "_logss"] + ([ratio] if ratio else [])
     types = dict(x.dtypes)
     keep = ["instrument", "ts", "bar_index", *SESSION, *BASE]
     x = x.select(*keep, *need, "halo", "blk")

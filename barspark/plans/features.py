@@ -311,7 +311,7 @@ def run_asymmetry(spark, sf):
     {SEL} {r("list_avg(list_transform(v, lambda x: pow(x - mu, 4))) / pow(list_avg(list_transform(v, lambda x: pow(x - mu, 2))), 2) - 3", 'ret_kurtosis', 6)} FROM c""",
 )
 def ret_kurtosis(spark, sf):
-    return rounded(base(spark, sf).filter("ret_kurtosis IS NOT NULL"), 6, "ret_kurtosis")
+    return rounded(ranked(spark, sf).filter("ret_kurtosis IS NOT NULL"), 6, "ret_kurtosis")
 
 
 @query("feature_table")

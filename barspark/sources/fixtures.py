@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import hash_uniform, sql_uniform
 from ..operators.sequence import framed, index_bars, running, w_block
-from ..session import stored
+from ..session import checkpoint, stored
 
 
 # Prices are kept to six decimals so that both engines start from equal doubles;
@@ -25,6 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _priced(daily: DataFrame) -> DataFrame:
     """Aggregated rows (d, t, volume, trades, delta) to consistent OHLC bars."""
+    daily = checkpoint(daily)  # read three times below
     mean = daily.groupBy("instrument").agg(F.avg("d").alias("md"), F.avg("t").alias("mt"))
     x = index_bars(daily).join(mean, "instrument")
     x = running(x, {"cum": ("sum", F.col("d") - F.col("md"))})
