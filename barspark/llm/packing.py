@@ -12,6 +12,7 @@ packed once each; an empty table gives an empty table. Columns of the input othe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,27 +27,47 @@ DIMS, BITS, BUCKETS = 4, 10, 1024
 END = 1
 
 
+#: A word of plain letters and then marks: two pre-tokens at most, neither of which depends on the other. No apostrophes.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class WordIds(dict):
-    """Token ids of words as bytes. The tokenizer never merges over white space, so a word's ids do not depend on its neighbours."""
+    """Token ids of words as bytes, for tokenizers that lower case, never merge over white space and mark the ends of
+    pre-tokens (the vocabulary's ``</w>``). Words mostly differ by case and by marks behind them, so their letters and their
+    marks are encoded once each, many in one call, and told apart by the end marks."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.by_word = bool(self.ends.any())
+        self.parts: dict[str, bytes] = {"": b""}
 
     def __missing__(self, word: str) -> bytes:
-        got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-        if len(word) <= 64:
-            self[word] = got
-        return got
+        return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, np.uint32).tobytes()
 
     def learn(self, words: set[str]) -> None:
-        """Encode the new ones of ``words`` together."""
+        """Encode the new ones of ``words``; words over 64 letters are not kept."""
         if len(self) > self.most:
             self.clear()
-        new = [w for w in words if w not in self and len(w) <= 64]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+        if len(self.parts) > self.most:
+            self.parts = {"": b""}
+        split = {w: PLAIN.fullmatch(w) for w in words if w not in self and len(w) <= 64}
+        pairs = {w: (m[1].lower(), m[2]) for w, m in split.items() if m}
+        new = list({x for pair in pairs.values() for x in pair if x not in self.parts})
+        for i in range(0, len(new), 1000):
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[i : i + 1000])], add_special_tokens=False)[0].ids, np.uint32)
+            raw, cut = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+            for x, lo, hi in zip(new[i : i + 1000], cut[:-1], cut[1:], strict=True):
+                self.parts[x] = raw[lo:hi]
+        for w, (letters, marks) in pairs.items():
+            self[w] = self.parts[letters] + self.parts[marks]
+        odd = [w for w, m in split.items() if not m]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, np.uint32).tobytes()
 
 
@@ -57,10 +78,12 @@ def word_ids(path: str) -> WordIds:
 
 def token_bytes(path: str, texts: list[str | None], end: int = END) -> list[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit numbers. Splits at blanks and line feeds only."""
-    ids = word_ids(path)
+    ids, stop = word_ids(path), np.array([end], np.uint32).tobytes()
+    if not ids.by_word:
+        return [np.array(e.ids, np.uint32).tobytes() + stop for e in ids.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     split = [(t or "").replace("\n", " ").split(" ") for t in texts]
     ids.learn({w for words in split for w in words})
-    stop, get = np.array([end], np.uint32).tobytes(), ids.__getitem__
+    get = ids.__getitem__
     return [b"".join(map(get, words)) + stop for words in split]
 
 
