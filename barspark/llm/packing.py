@@ -12,6 +12,7 @@ packed once each; an empty table gives an empty table. Columns of the input othe
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -56,17 +57,28 @@ class WordIds(dict):
             self.clear()
         if len(self.parts) > self.most:
             self.parts = {"": b""}
-        split = {w: PLAIN.fullmatch(w) for w in words if w not in self and len(w) <= 64}
-        pairs = {w: (m[1].lower(), m[2]) for w, m in split.items() if m}
-        new = list({x for pair in pairs.values() for x in pair if x not in self.parts})
+        plain, odd, parts = [], [], self.parts
+        fresh: set[str] = set()
+        for w in words:
+            if w in self or len(w) > 64:
+                continue
+            if m := PLAIN.fullmatch(w):
+                letters, marks = m[1].lower(), m[2]
+                plain.append((w, letters, marks))
+                if letters not in parts:
+                    fresh.add(letters)
+                if marks not in parts:
+                    fresh.add(marks)
+            else:
+                odd.append(w)
+        new = list(fresh)
         for i in range(0, len(new), 1000):
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[i : i + 1000])], add_special_tokens=False)[0].ids, np.uint32)
             raw, cut = ids.tobytes(), [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
             for x, lo, hi in zip(new[i : i + 1000], cut[:-1], cut[1:], strict=True):
-                self.parts[x] = raw[lo:hi]
-        for w, (letters, marks) in pairs.items():
-            self[w] = self.parts[letters] + self.parts[marks]
-        odd = [w for w, m in split.items() if not m]
+                parts[x] = raw[lo:hi]
+        for w, letters, marks in plain:
+            self[w] = parts[letters] + parts[marks]
         for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, np.uint32).tobytes()
 
@@ -130,6 +142,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     dims = [f"v{i}" for i in range(DIMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # a million small strings and no cycles: the collector would only walk them
         table = projection()
         for b in batches:
             texts = column(b, "text")
