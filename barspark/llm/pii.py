@@ -33,9 +33,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Tokens with a digit, cut at white space and at marks that do not belong to identifiers.
+#: Tokens of six characters or more with four digits, cut at white space and at marks that do not belong to identifiers.
 _OUT = r"\s\"',;()<>="
-CANDIDATE = rf"(?<![^{_OUT}])(?=[^{_OUT}0-9]*+[0-9])[^{_OUT}]++"
+CANDIDATE = rf"(?<![^{_OUT}])(?=[^{_OUT}]{{6}})(?=(?:[^{_OUT}0-9]*+[0-9]){{4}})[^{_OUT}]++"
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string,left:string,right:string>>"
 
 
@@ -44,8 +44,11 @@ def found(text: Column, pattern: str, kind: int) -> Column:
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def add(acc: Column, i: Column) -> Column:
-        gap, value, after = F.get(gaps, i), F.get(hits, i), F.get(gaps, i + 1)
+    # one array goes in, so that the text is split once and not for each match
+    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("value"), F.slice(gaps, 2, F.size(gaps)).alias("after"))
+
+    def add(acc: Column, x: Column) -> Column:
+        gap, value, after = x["gap"], x["value"], x["after"]
         start = acc["at"] + F.length(gap)
         end = start + F.length(value)
         left = F.lower(F.regexp_extract(F.substring(gap, -80, 80), r"(\S++)\s*+$", 1))
@@ -55,7 +58,16 @@ def found(text: Column, pattern: str, kind: int) -> Column:
 
     none = F.from_json(F.lit("[]"), _SPAN)
     start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    every = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, add, lambda acc: acc["spans"])
+    # in runs of 256: appending copies what is there, so a long list is put together from short ones
+    hit = F.filter(zipped, lambda x: x["value"].isNotNull())
+    sliced = lambda h: F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / 256).cast("int")), lambda i: F.slice(h, i * 256 + 1, 256))
+    runs = F.get(F.transform(F.array(hit), sliced), F.lit(0))
+
+    def add_run(acc: Column, run: Column) -> Column:
+        empty = F.struct(acc["at"].alias("at"), none.alias("spans"))
+        return F.aggregate(run, empty, add, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["spans"], x["spans"]).alias("spans")))
+
+    every = F.aggregate(runs, start, add_run, lambda acc: acc["spans"])
     return F.when(text.rlike(pattern), every).otherwise(none)
 
 
@@ -89,7 +101,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    free = lambda c: (F.length(_digits(c["value"])) >= 4) & (F.length(c["value"]).between(6, 64)) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    free = lambda c: (F.length(c["value"]) <= 64) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     return rows.select("row", "doc_id", "base", F.filter(found(F.col("text"), CANDIDATE, -1), free).alias("candidates"))
 
 

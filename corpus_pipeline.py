@@ -7,8 +7,9 @@ reads again as the next stage's documents. All stages but the last return the co
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barspark.llm import packing, quality
+from barspark.llm import ngram_join, packing, pii, quality
 from barspark.llm.common import small_batches, table, written
 from barspark.llm.queries import public_tokenizer
 
@@ -21,12 +22,23 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select(*COLUMNS)
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more: the one of least id."""
+    small_batches(spark)
+    return ngram_join.one_of_each(docs, k=5, t=80).select(*COLUMNS)
+
+
+def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; ``n_chars`` follows the text."""
+    return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return packing.pack(docs, public_tokenizer("word_bpe_49k.json"))
 
 
-STAGES = [("quality_rules", good_documents), ("packing", packed)]
+STAGES = [("quality_rules", good_documents), ("ngram_jaccard_join", distinct_documents), ("pii", masked_documents), ("packing", packed)]
 
 #: Tokenizing, trees and contextual patterns have no SQL form; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
