@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint
 
 #: Bytes of text handled at once inside a task; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Words, blocks, column, mix, written
 from .components import components
 
-FREQUENT, MOST_FREQUENT, SMALL, BLOCK = 32, 1 << 20, 32, 256
+FREQUENT, MOST_FREQUENT, SMALL, BLOCK, BROADCAST_KEYS = 32, 1 << 20, 32, 256, 1 << 20
 ONE_CLASS_UP_TO, CLASSES = 600, 64
 _U = np.uint64
 
@@ -92,9 +92,13 @@ def fingerprints(docs: DataFrame, k: int, t: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, cols: str) -> DataFrame:
-    """``wanted`` (key and the long columns ``cols``) with each one's shingle set, from one text of that key."""
+    """``wanted`` (a stored table: key and the long columns ``cols``) with each one's shingle set, from one text of that key.
+
+    Up to ``BROADCAST_KEYS`` keys (8 bytes each) are broadcast, so that only wanted texts are shuffled; beyond, all are."""
+    keys = wanted.select("key").distinct()
+    keys = F.broadcast(keys) if wanted.count() <= BROADCAST_KEYS else keys
     keyed = docs.filter("text IS NOT NULL").select(F.xxhash64("text").alias("key"), "text")
-    texts = keyed.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).join(wanted, "key")
+    texts = keyed.join(keys, "key", "left_semi").dropDuplicates(["key"]).join(wanted, "key")
     names = [c.strip() for c in cols.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +283,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
     hot, least_df = frequent_tokens(some.select(F.explode("head").alias("token")))
     # sets made mostly of frequent tokens show more of them than heads do
     dense = F.size("sigs") == 0
-    sets = sets_of(docs, single_signatures(some, hot, t).filter(dense).select("key", "node"), k, "node, key")
+    sets = sets_of(docs, written(single_signatures(some, hot, t).filter(dense).select("key", "node"), "dense"), k, "node, key")
     more, _ = frequent_tokens(sets.select(F.explode("tokens").alias("token")), least_df)
     hot = np.union1d(hot, more)
     single = written(single_signatures(some, hot, t), "signatures")
@@ -287,7 +291,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
     signed = single.filter(~dense).unionByName(paired_signatures(sets, hot, t))
     coarse = components(proposals(signed, t))
     wanted = coarse.join(nodes.select("node", "key"), "node").select("node", F.col("component").alias("g"), "key")
-    linked = components(verified(written(sets_of(docs, wanted, k, "node, g"), "groups"), t))
+    linked = components(verified(written(sets_of(docs, written(wanted, "wanted"), k, "node, g"), "groups"), t))
     # the result: sets to components, components to their least document
     placed = nodes.select("fp1", "fp2", "node", "doc").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
