@@ -199,10 +199,3 @@ def vocabulary(path: str) -> Vocabulary:
 
 def pre_tokens(text: str | None) -> list[str]:
     return PRE_TOKEN.findall(" " + (text or "").replace(BLANK, " "))
-
-
-def decode(ids: list[int], v: Vocabulary) -> str:
-    """The text of piece ids: pieces joined, byte pieces gathered into characters, the first blank dropped."""
-    named = {i: b for b, i in v.bytes.items()}
-    raw = b"".join(bytes([named[i]]) if i in named else v.pieces[i].encode() for i in ids)
-    return raw.decode("utf-8", "replace").replace(BLANK, " ")[1:]

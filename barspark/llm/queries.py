@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, ngram_join, packing, pii, quality, topk, urls
+from . import brown, chat, ngram_join, packing, pii, quality, subwords, topk, urls
 from .common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality_score")
+
+
+@query
+def op9_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return subwords.token_counts(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    best = subwords.n_best(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), n=3, check=True)
+    return best.select("doc_id", "rank", "cost", "n_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")
