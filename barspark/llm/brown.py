@@ -136,7 +136,7 @@ def best_class(now: int, left: np.ndarray, right: np.ndarray, self_pairs: float,
     g[now] -= right
     g[:, now] -= left
     g[now, now] -= self_pairs
-    rows, cols = g.sum(axis=1), g.sum(axis=0)
+    rows, cols = g.sum(axis=1) + left, g.sum(axis=0) + right  # wherever the unit goes, its neighbours' totals hold it
     f = _xlogx(g)
     by_row = (_xlogx(g + right) - f).sum(axis=1)
     by_col = (_xlogx(g + left[:, None]) - f).sum(axis=0)

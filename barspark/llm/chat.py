@@ -9,8 +9,9 @@ So a conversation of any length is cut: turns are range-sorted by (conv_id, turn
 most ``PIECE`` turns with their matrix, the matrices of a conversation (16 numbers for 4,096 turns) are multiplied along it
 to learn each piece's first and last state, and then all pieces are repaired and rendered at once.
 
-Result: one row per piece, so one per conversation of up to ``PIECE`` turns: conv_id, piece, turns, merged, relabelled, inserted,
-cost, text. Texts of a conversation's pieces, joined in order, are the rendered conversation.
+Result: pieces that partition edges cut are put together again, so a conversation of up to ``PIECE`` turns is one row: conv_id,
+part, turns, merged, relabelled, inserted, cost, text. A longer one has a row for about as many turns each; its parts' texts,
+joined in order, are the rendered conversation.
 
 Defined results: a null or unknown role is relabelled at a lower price; null text is empty; a null turn comes first; equal
 turns are ordered by role and text, so repeated rows follow each other and merge; rows with a null ``conv_id`` are one
@@ -31,9 +32,10 @@ from .common import column, written
 ROLES = ("start", "system", "user", "assistant")
 NEXT = {0: (1, 2), 1: (2,), 2: (3,), 3: (2,)}
 LAST = 3
-MERGE, INSERT, RELABEL, NAME = 1, 4, 3, 2
+MERGE, INSERT, RELABEL, NAME = 1, 4, 6, 2
 NEVER = 1 << 40
 PIECE, PIECE_BYTES = 4096, 8 << 20
+NUMBERS = ("turns", "merged", "relabelled", "inserted", "cost")
 
 
 def _path(s: int, t: int) -> list[int] | None:
@@ -162,9 +164,9 @@ def pieces(turns: DataFrame) -> DataFrame:
 
 
 def chat_format(turns: DataFrame) -> DataFrame:
-    """One row per piece, as the module says."""
+    """One row per conversation or part of one, as the module says."""
     held = written(pieces(turns), "turns")
-    along = held.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("no", "costs"))).alias("m")).select("m")
+    along = held.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("no", F.size("roles").alias("turns"), "costs"))).alias("m")).select("m")
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,10 +174,13 @@ def chat_format(turns: DataFrame) -> DataFrame:
             for m in column(b, "m").to_pylist():
                 chain = [[x["costs"][4 * i : 4 * i + 4] for i in range(4)] for x in m]
                 ends = best_path(chain, 0, None)
-                out += [(x["no"], i, s, e if i + 1 < len(m) else -1) for i, (x, s, e) in enumerate(zip(m, [0, *ends[:-1]], ends, strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["no", "piece", "first", "last"])
+                turns = 0
+                for i, (x, s, e) in enumerate(zip(m, [0, *ends[:-1]], ends, strict=True)):
+                    out.append((x["no"], turns // PIECE, s, e if i + 1 < len(m) else -1))
+                    turns += x["turns"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["no", "part", "first", "last"])
 
-    placed = held.join(along.mapInArrow(states, "no long, piece long, first long, last long"), "no")
+    placed = held.join(along.mapInArrow(states, "no long, part long, first long, last long"), "no")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,9 +188,10 @@ def chat_format(turns: DataFrame) -> DataFrame:
             for roles, texts, first, last in zip(*(column(b, c).to_pylist() for c in ("roles", "texts", "first", "last")), strict=True):
                 got.append((len(roles), *repair(roles, texts, first, None if last < 0 else last)))
             cols = [pa.array([g[i] for g in got], pa.int64()) for i in range(5)] + [pa.array([g[5] for g in got], pa.string())]
-            yield pa.RecordBatch.from_arrays([column(b, "conv_id"), column(b, "piece"), *cols], ["conv_id", "piece", "turns", "merged", "relabelled", "inserted", "cost", "text"])
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("conv_id", "part", "no")), *cols], ["conv_id", "part", "no", *NUMBERS, "text"])
 
     kind = turns.schema["conv_id"].dataType.simpleString()
-    return placed.select("conv_id", "piece", "roles", "texts", "first", "last").mapInArrow(
-        render, f"conv_id {kind}, piece long, turns long, merged long, relabelled long, inserted long, cost long, text string"
-    )
+    fields = f"conv_id {kind}, part long, no long, {', '.join(f'{c} long' for c in NUMBERS)}, text string"
+    rendered = placed.select("conv_id", "part", "no", "roles", "texts", "first", "last").mapInArrow(render, fields)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "")
+    return rendered.groupBy("conv_id", "part").agg(*[F.sum(c).alias(c) for c in NUMBERS], text.alias("text"))
