@@ -10,6 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import clip
 from ..kernels.calib import bound_ends
 from ..kernels.calib import knots as window_knots
 from ..session import checkpoint
@@ -27,7 +28,7 @@ def isotonic_fit(pairs: DataFrame, p: str = "p", y: str = "y", weight: str | Non
     """
     spark = pairs.sparkSession
     w = F.lit(1.0) if weight is None else F.col(weight)
-    ok = pairs.filter(F.col(p).isNotNull() & F.col(y).isNotNull())
+    ok = present(pairs, p, y)
     rows = ok.groupBy(F.col(p).alias("p")).agg(
         F.sum(w).alias("w"), (F.sum(w * F.col(y)) / F.sum(w)).alias("label"), F.count(F.lit(1)).alias("n")
     )
@@ -57,7 +58,7 @@ def isotonic_fit(pairs: DataFrame, p: str = "p", y: str = "y", weight: str | Non
 def isotonic_apply(rows: DataFrame, knots: DataFrame, p: str = "p", out: str = "calibrated") -> DataFrame:
     """Piecewise-linear read of the map.
 
-    Segments are listed per 1/1024 of [0, 1], so the range join is an equi-join
+    A missing (NULL or NaN) probability reads NULL.  Segments are listed per 1/1024 of [0, 1], so the range join is an equi-join
     with a residual and its table has at most 1024 + segments rows.
     """
     from pyspark.sql import Window
@@ -69,12 +70,12 @@ def isotonic_apply(rows: DataFrame, knots: DataFrame, p: str = "p", out: str = "
     seg = seg.withColumn(
         "_g", F.explode(F.sequence(F.floor(F.col("x") * _GRID), F.least(F.floor(F.col("x1") * _GRID), F.lit(_GRID - 1))))
     ).withColumnsRenamed({"x": "_x0", "y": "_y0", "x1": "_x1", "y1": "_y1"})
-    v = F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0))
+    v = clip(F.when(~F.isnan(F.col(p).cast("double")), F.col(p)), 0.0, 1.0)  # missing stays missing
     x = rows.withColumns({"_v": v, "_g": F.least(F.floor(v * _GRID), F.lit(_GRID - 1))})
     inside = (F.col("_v") >= F.col("_x0")) & ((F.col("_v") < F.col("_x1")) | (F.col("_end") & (F.col("_v") <= F.col("_x1"))))
-    j = x.join(seg, "_g").filter(inside)
+    j = x.join(seg, "_g", "left").filter(inside | F.col("_v").isNull())
     y = F.col("_y0") + (F.col("_v") - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))
-    return j.withColumn(out, F.least(F.greatest(y, F.lit(1e-6)), F.lit(1.0 - 1e-6))).drop("_g", "_v", "_x0", "_y0", "_x1", "_y1", "_end")
+    return j.withColumn(out, clip(y, 1e-6, 1.0 - 1e-6)).drop("_g", "_v", "_x0", "_y0", "_x1", "_y1", "_end")
 
 
 def platt_fit(pairs: DataFrame, score: str = "score", y: str = "y", max_iter: int = 100) -> tuple[float, float]:
@@ -134,19 +135,25 @@ def calibration_refit(outcomes: DataFrame, every: int = 50, first: int = 200, ca
 # scores of probabilities
 
 
+def present(pairs: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+    """Pairs whose probability and outcome are both there: neither NULL nor NaN."""
+    here = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (p, y)]
+    return pairs.filter(here[0] & here[1])
+
+
 def bin_of(p: Column, bins: int) -> Column:
-    return F.greatest(F.least(F.floor(p * bins), F.lit(bins - 1)), F.lit(0))
+    return F.when(p.isNotNull(), F.greatest(F.least(F.floor(p * bins), F.lit(bins - 1)), F.lit(0)))
 
 
 def binned(pairs: DataFrame, bins: int, keys=()) -> DataFrame:
-    return pairs.groupBy(*keys, bin_of(F.col("p"), bins).alias("bin")).agg(
+    return present(pairs).groupBy(*keys, bin_of(F.col("p"), bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("p").alias("predicted"), F.avg("y").alias("observed"),
         F.sum((F.col("p") - F.col("y")) ** 2).alias("_sq"),
     )
 
 
 def brier(pairs: DataFrame, keys=()) -> DataFrame:
-    return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
+    return present(pairs).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
 
 
 def brier_decomposition(pairs: DataFrame, bins: int = 15, keys=()) -> DataFrame:

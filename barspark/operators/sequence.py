@@ -158,12 +158,13 @@ def running(
     kind is ``sum``, ``max``, ``min`` or ``last`` (last non-null).  The data is
     shuffled once by (key, block); block totals (n/block rows) carry the rest,
     themselves scanned in spans of 1024 blocks.  ``inclusive=False`` excludes
-    the current row.
+    the current row.  Rows of one position go by ``candidate_id`` where there is one.
     """
     keys = list(keys)
     x = df.withColumn("_b", F.floor(F.col(order) / block))
     x = x.withColumns({f"_v_{n}": v for n, (_, v) in spec.items()})
-    wl = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(
+    at = [order, *(c for c in ("candidate_id",) if c in df.columns and c != order)]  # two candidates on a bar keep one order
+    wl = Window.partitionBy(*keys, "_b").orderBy(*at).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1
     )
 
@@ -171,7 +172,8 @@ def running(
         return F.last(c, ignorenulls=True).over(w) if kind == "last" else _LOCAL[kind](c).over(w)
 
     def total(kind: str, c: Column, pos: str) -> Column:
-        return F.max_by(c, F.when(c.isNotNull(), F.col(pos))) if kind == "last" else _LOCAL[kind](c)
+        place = F.struct(*at) if pos == order else F.col(pos)
+        return F.max_by(c, F.when(c.isNotNull(), place)) if kind == "last" else _LOCAL[kind](c)
 
     tot = x.groupBy(*keys, "_b").agg(
         *[total(k, F.col(f"_v_{n}"), order).alias(f"_t_{n}") for n, (k, _) in spec.items()]

@@ -35,13 +35,12 @@ def ohlcv_tumbling(spark, sf):
 
 @query(
     "bar_consistency",
-    f"""WITH {HOURLY}, x AS (SELECT instrument, low <= open AND open <= high AND low <= close AND close <= high AND low > 1
+    f"""WITH {HOURLY}, x AS (SELECT instrument, low <= open AND open <= high AND low <= close AND close <= high AND low > 0
       AND volume >= 0 AS ok FROM hb) SELECT instrument, ok, count(*) AS n FROM x GROUP BY 1, 2""",
 )
 def bar_consistency(spark, sf):
-    # event values are at least 0.01, so shift the floor to make both sides occur
     b = hourly(spark, sf)
-    ok = B.is_consistent() & (F.col("low") > 1)
+    ok = B.is_consistent() & (F.col("low") > 0)
     return b.groupBy("instrument", ok.alias("ok")).agg(F.count(F.lit(1)).alias("n"))
 
 

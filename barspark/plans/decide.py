@@ -498,17 +498,17 @@ def capacity(spark, sf):
 
 
 THR = "CASE WHEN drawdown <= 0.04 THEN 1 WHEN drawdown >= 0.25 THEN 0 WHEN drawdown >= 0.15 THEN 0.25 * (1 - (drawdown - 0.15) / (0.25 - 0.15)) ELSE 1 - (drawdown - 0.04) / (0.15 - 0.04) * 0.75 END"
-SIZE = f"""{COST}, z0 AS (SELECT *, coalesce(2 * (half_spread_sigma + impact_sigma + slippage_sigma + fee_sigma), 'infinity'::DOUBLE) AS cost_sigma, {THR} AS thr FROM co WHERE stop_sigma IS NOT NULL),
+SIZE = f"""{COST}, z0 AS (SELECT *, coalesce(2 * (half_spread_sigma + impact_sigma + slippage_sigma + fee_sigma), 'infinity'::DOUBLE) AS cost_sigma, {THR} AS thr FROM co),
   z1 AS (SELECT *, mean - cost_sigma AS net, lcb - cost_sigma AS low_ FROM z0),
-  sz AS (SELECT *, CASE WHEN low_ > 0 THEN greatest(net, 0) / (outcome_var + var_mean) * 0.25 * least(greatest(low_ / greatest(net, 1e-9), 0), 1) * least(greatest(n_eff / 30, 0.15), 1) ELSE 0 END AS risk_raw FROM z1)"""
+  sz AS (SELECT *, coalesce(low_ > 0 AND stop_sigma > 0, false) AS okz, CASE WHEN low_ > 0 AND stop_sigma > 0 THEN greatest(net, 0) / (outcome_var + var_mean) * 0.25 * least(greatest(low_ / greatest(net, 1e-9), 0), 1) * least(greatest(n_eff / 30, 0.15), 1) ELSE 0 END AS risk_raw FROM z1)"""
 
 
 def sized(spark, sf):
-    x = costed(spark, sf).filter("stop_sigma IS NOT NULL")
+    x = costed(spark, sf)  # bars without a plan stay: their size is 0 and their gate says why
     return x.withColumns(D.position_size(D.throttle(F.col("drawdown"))))
 
 
-@query("position_size", f"{SIZE} SELECT instrument, bar_index, round(risk_raw, 7) AS risk_raw, round(least(greatest(risk_raw * thr, 0), 0.02), 7) AS risk_fraction, round(least(greatest(risk_raw * thr, 0), 0.02) / abs(close * (1 - exp(-stop_sigma * sigma_fcst))), 6) AS units FROM sz")
+@query("position_size", f"{SIZE} SELECT instrument, bar_index, round(risk_raw, 7) AS risk_raw, round(least(greatest(risk_raw * thr, 0), 0.02), 7) AS risk_fraction, CASE WHEN okz THEN round(least(greatest(risk_raw * thr, 0), 0.02) / abs(close * (1 - exp(-stop_sigma * sigma_fcst))), 6) ELSE 0 END AS units FROM sz")
 def position_size(spark, sf):
     x = sized(spark, sf)
     return x.select(*KEYS, F.round("risk_raw", 7).alias("risk_raw"), F.round("risk_fraction", 7).alias("risk_fraction"), F.round("units", 6).alias("units"))
@@ -584,7 +584,7 @@ def position_ledger(spark, sf):
     return D.position_ledger(ledger_rows(spark, sf))
 
 
-@query("trade_net", f"{SIZE.replace('SELECT instrument, bar_index, round(risk_raw', 'SELECT instrument, bar_index, round(risk_raw')} SELECT instrument, bar_index, round(mean - cost_sigma, 6) AS net_sigma FROM sz WHERE cost_sigma < 'infinity'::DOUBLE")
+@query("trade_net", f"{SIZE.replace('SELECT instrument, bar_index, round(risk_raw', 'SELECT instrument, bar_index, round(risk_raw')} SELECT instrument, bar_index, round(mean - cost_sigma, 6) AS net_sigma FROM sz WHERE stop_sigma IS NOT NULL AND cost_sigma < 'infinity'::DOUBLE")
 def trade_net(spark, sf):
     x = costed(spark, sf).filter("stop_sigma IS NOT NULL").withColumn("ret_sigma", F.col("mean")).filter(F.col("cost_sigma") < float("inf"))
     return rr(D.trade_net(x), 6, KEYS, "net_sigma")
@@ -598,14 +598,14 @@ def trades(spark, sf):
 @query(
     "rejected_decision",
     f"""{SI}, g AS (SELECT instrument, bar_index, CASE WHEN valid THEN 'BUY' ELSE 'NO TRADE' END AS action, CASE WHEN valid THEN '' ELSE 'features not valid' END AS veto FROM si)
-    SELECT * FROM g UNION ALL SELECT instrument, bar_index, 'NO TRADE', 'bar rejected: zero_range' FROM bars WHERE bar_index % 50 = 7""",
+    SELECT * FROM g UNION ALL SELECT instrument, bar_index, 'NO TRADE', 'bar rejected: zero_range' FROM bars WHERE high = low""",
 )
 def rejected_decision(spark, sf):
     d = inputs(spark, sf).select(
         *KEYS, F.when(F.col("valid"), "BUY").otherwise("NO TRADE").alias("action"),
         F.when(F.col("valid"), F.array().cast("array<string>")).otherwise(F.array(F.lit("features not valid"))).alias("veto"),
     )
-    rej = X.lineitem_bars(spark, sf).filter("bar_index % 50 = 7").select(*KEYS, F.lit("zero_range").alias("kind"))
+    rej = X.lineitem_bars(spark, sf).filter("high = low").select(*KEYS, F.lit("zero_range").alias("kind"))
     return D.with_rejects(d, rej).withColumn("veto", F.array_join("veto", ","))
 
 

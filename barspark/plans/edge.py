@@ -19,7 +19,7 @@ def _signals(spark, sf):
     x = framed(bars, 20, {"_d": F.signum(F.col("close") - F.lag("close", 20).over(w_block()))})
     f = features(spark, sf).select("instrument", "bar_index", F.round("sigma_fcst", 9).alias("sigma"))
     i = F.col("bar_index")
-    x = x.filter((i >= 101) & ((i - 101) % 3 == 0) & (F.col("_d") != 0)).join(f, ["instrument", "bar_index"])
+    x = x.filter((i >= 101) & (F.col("_d") != 0)).join(f, ["instrument", "bar_index"])
 
     def u(tag):
         return hash_uniform(F.lit(tag), F.col("instrument"), i)
@@ -56,7 +56,7 @@ SIGNALS = f"""{CHAIN}, dd AS (SELECT *, sign(close - lag(close, 20) OVER ({PART}
   sig AS (SELECT instrument, instrument || ':' || bar_index AS candidate_id, bar_index, CAST(dirn AS BIGINT) AS direction, round(sigma_fcst, 9) AS sigma,
    1.6::DOUBLE AS ss_, 2.6::DOUBLE AS ts_, 30 AS hold, round(0.5 + 0.1 * {_u('p')}, 6) AS p_success, CAST(floor(4 * {_u('r')}) AS BIGINT) AS regime,
    CAST(floor(4 * {_u('s')}) AS BIGINT) AS setup, CAST(floor(5 * {_u('b')}) AS BIGINT) AS bucket, round(0.02 + 0.06 * {_u('c')}, 6) AS cost_sigma
-   FROM dd WHERE bar_index >= 101 AND (bar_index - 101) % 3 = 0 AND dirn <> 0)"""
+   FROM dd WHERE bar_index >= 101 AND dirn <> 0)"""
 
 
 def tb_sql(sig="sig", name="lab", extra=""):
