@@ -102,3 +102,22 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     best = subwords.n_best(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), n=3, check=True)
     return best.select("doc_id", "rank", "cost", "n_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
+SQL["op5_norm_buckets"] = """
+WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (SELECT q.n AS q, q.vec_id AS query_id, c.n, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.n <> c.n WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, n) AS rank FROM pairs) WHERE rank <= 10"""
+
+SQL["op7_ngram_jaccard"] = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS s FROM w),
+tokens AS (SELECT r, unnest(s) AS t FROM sets),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM tokens a JOIN tokens b ON a.t = b.t AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sets x ON x.r = a JOIN sets y ON y.r = b WHERE 100 * o >= 90 * (len(x.s) + len(y.s) - o)),
+reach(root, r) AS (SELECT r, r FROM sets UNION SELECT root, b FROM reach JOIN links ON a = r),
+least AS (SELECT root, min(doc_id) AS component_id FROM reach JOIN sets USING (r) GROUP BY root)
+SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN least ON root = r"""
