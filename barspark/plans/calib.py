@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import hash_uniform, norm_ppf, sql_uniform
+from ..functions.expr import clip, hash_uniform, norm_ppf, sql_uniform
 from ..operators import calib as C
 from ..operators import drift as D
 from ..operators.sequence import running
@@ -51,8 +51,9 @@ def isotonic_apply(spark, sf):
 
 @query("platt_fit")
 def platt_fit(spark, sf):
-    x = pairs(spark, sf).withColumn("score", F.log(F.col("p") / (1 - F.col("p"))))
-    t, b = C.platt_fit(x.filter("p > 0 AND p < 1"))
+    p = clip(F.col("p"), 1e-6, 1 - 1e-6)
+    x = pairs(spark, sf).withColumn("score", F.log(p / (1 - p)))
+    t, b = C.platt_fit(x)
     return x.agg(F.count(F.lit(1)).alias("n")).withColumns({"scale": F.lit(t), "bias": F.lit(b)})
 
 
