@@ -238,3 +238,30 @@ def test_acceptance_fails_on_missing(spark):
     r = T.acceptance(m).toPandas()
     assert len(r) == len(T.CRITERIA) and not r["accepted"].any()
     assert bool(r[r["name"] == "trade count for power"]["passed"].iloc[0])
+
+
+def test_missing_probabilities_stay_missing(spark):
+    from barspark.operators import calib as C
+
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, None, 1.0), (2, nan, 1.0), (3, 0.5, 1.0), (4, 1.5, 0.0), (5, 0.25, None)], "i long, p double, y double")
+    knots = spark.createDataFrame([(0.0, 0.2), (1.0, 0.9)], "x double, y double")
+    got = {r["i"]: r["calibrated"] for r in C.isotonic_apply(rows.drop("y"), knots).collect()}
+    assert got[1] is None and got[2] is None and abs(got[3] - 0.55) < 1e-12 and abs(got[4] - 0.9) < 1e-12
+    both = rows.filter("p <= 1 OR p IS NULL OR isnan(p)")
+    assert C.brier(both).first()["n"] == 1 and sum(r["n"] for r in C.binned(both, 15).collect()) == 1
+    assert [r[0] for r in rows.select(C.bin_of(rows["p"], 10)).collect()][0] is None
+
+
+def test_candidates_on_one_bar_have_one_order(spark):
+    from barspark.operators.metrics import loss_streak, number_trades
+
+    rows = [("a", f"a:{i}:{j}", i, -1.0 if (i + j) % 3 else 1.0) for i in range(40) for j in range(2)]
+    schema = "instrument string, candidate_id string, bar_index long, ret_sigma double"
+    numbers, streaks = [], []
+    for own in (rows, rows[::-1]):
+        t = spark.createDataFrame(own, schema).repartition(3)
+        numbers.append({r["candidate_id"]: r["k"] for r in number_trades(t).collect()})
+        streaks.append([tuple(r) for r in loss_streak(t).collect()])
+    assert numbers[0] == numbers[1] and [k for k, _ in sorted(numbers[0].items(), key=lambda x: x[1])] == sorted(numbers[0], key=lambda c: [int(x) for x in c[2:].split(":")])
+    assert streaks[0] == streaks[1]
