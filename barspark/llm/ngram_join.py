@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, k: int, t: int) -> DataFrame:
                 fp1 = np.array([s.sum() if len(s) else 0 for s in sets], np.int64)
                 fp2 = np.array([mix(s.view(_U) ^ _U(0xABCDEF)).sum().view(np.int64) if len(s) else 0 for s in sets], np.int64)
                 need = errors(size, t) + 1
-                take = np.where(size < least, 0, need + need // 4 + 16)
+                take = np.where(size < least, 0, need + need // 8 + 8)
                 head = _lists([s[:m] for s, m in zip(sets, take.tolist(), strict=True)])
                 cols = [*(column(b, c).slice(lo, hi - lo) for c in ("rid", "doc_id", "key")), pa.array(size), pa.array(fp1), pa.array(fp2), head]
                 yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "key", "size", "fp1", "fp2", "head"])
@@ -180,9 +180,11 @@ def paired_signatures(sets: DataFrame, hot: np.ndarray, t: int) -> DataFrame:
 
 def proposals(signed: DataFrame, t: int) -> DataFrame:
     """Edges (a, b) between sets whose signatures leave room for a link."""
-    rows = signed.select("node", "size", "rest", F.explode(F.array_distinct("sigs")).alias("sig"))
+    # one shuffle of (signature, node) serves the counts and the join; sizes are added to the few that meet
+    n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = signed.select("node", F.explode(F.array_distinct("sigs")).alias("sig")).repartition(n, "sig")
     many = rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    met = rows.join(many, "sig")
+    met = rows.join(many, "sig").join(signed.select("node", "size", "rest"), "node")
     # small buckets: their pairs, each counted over all signatures
     small = met.filter(F.col("n") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("size", "node", "rest"))).alias("m"))
     pairs = F.flatten(
@@ -276,11 +278,14 @@ def verified(groups: DataFrame, t: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id, rid, first (rid of the component's first row); links at 100 * |x & y| >= t * |x | y|, t < 100."""
     rows = written(fingerprints(docs, k, t), "fingerprints")
-    least = F.min(F.struct("rid", "size", "key", "head")).alias("m")
+    least = F.min(F.struct("rid", "key")).alias("m")
     nodes = rows.filter("size > 0").groupBy("fp1", "fp2").agg(least, F.min("doc_id").alias("doc"))
-    nodes = written(nodes.select("fp1", "fp2", F.col("m.rid").alias("node"), "m.size", "m.key", "m.head", "doc"), "sets")
-    some = nodes.filter(F.size("head") > 0)
-    hot, least_df = frequent_tokens(some.select(F.explode("head").alias("token")))
+    nodes = written(nodes.select("fp1", "fp2", F.col("m.rid").alias("node"), F.col("m.key").alias("key"), "doc"), "sets")
+    ids, few = nodes.select(F.col("node").alias("rid")), nodes.count() <= BROADCAST_KEYS
+    some = rows.filter(F.size("head") > 0).join(F.broadcast(ids) if few else ids, "rid", "left_semi").select(F.col("rid").alias("node"), "size", "key", "head")
+    some = some if few else written(some, "heads")
+    need = (F.col("size") - F.floor((t * F.col("size") + 99) / 100) + 1).cast("int")
+    hot, least_df = frequent_tokens(some.select(F.explode(F.slice("head", 1, need)).alias("token")))
     # sets made mostly of frequent tokens show more of them than heads do
     dense = F.size("sigs") == 0
     sets = sets_of(docs, written(single_signatures(some, hot, t).filter(dense).select("key", "node"), "dense"), k, "node, key")
@@ -288,7 +293,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
     hot = np.union1d(hot, more)
     single = written(single_signatures(some, hot, t), "signatures")
     sets = sets_of(docs, single.filter(dense).select("key", "node"), k, "node, key")
-    signed = single.filter(~dense).unionByName(paired_signatures(sets, hot, t))
+    signed = single.filter(~dense).unionByName(written(paired_signatures(sets, hot, t), "paired"))
     coarse = components(proposals(signed, t))
     wanted = coarse.join(nodes.select("node", "key"), "node").select("node", F.col("component").alias("g"), "key")
     linked = components(verified(written(sets_of(docs, written(wanted, "wanted"), k, "node, g"), "groups"), t))
