@@ -30,6 +30,7 @@ NEVER = np.int64(1) << np.int64(61)
 LONGEST_IN_TRIE = 48
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+_MULTIPLIERS = tuple(_U(pow(0x5851F42D4C957F2D, i, 1 << 64)) for i in range(1, 12))
 
 
 class Vocabulary:
@@ -50,6 +51,19 @@ class Vocabulary:
         self.sorted_hashes = h[order]
         self.sorted_keys = np.array([c for c, _ in self.cost.values()], np.int64)[order] * PIECE + 1
         self.sorted_ids = np.array([i for _, i in self.cost.values()], np.int64)[order]
+        # two direct tables by 21 bits of multiplied hashes: the second holds what meets another piece in the first
+        self.high, self.low = np.zeros(1 << 21, np.int32), np.zeros(1 << 21, np.int32)
+        slot = self._slot(self.sorted_hashes, _MULTIPLIERS[0])
+        _, first = np.unique(slot, return_index=True)
+        self.high[slot[first]] = first
+        rest = np.setdiff1d(np.arange(len(slot)), first)
+        self.second = next((m for m in _MULTIPLIERS[1:] if len(np.unique(self._slot(self.sorted_hashes[rest], m))) == len(rest)), None)
+        if self.second is not None:
+            self.low[self._slot(self.sorted_hashes[rest], self.second)] = rest
+
+    @staticmethod
+    def _slot(h: np.ndarray, multiplier: np.uint64) -> np.ndarray:
+        return ((h * multiplier) >> _U(43)).astype(np.int64)
 
     @staticmethod
     def hashes(chars: np.ndarray) -> np.ndarray:
@@ -59,6 +73,17 @@ class Vocabulary:
             out[:, j + 1] = out[:, j] * _BASE + chars[:, j].astype(_U)
         return out
 
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are a piece's, and those pieces' places in the sorted tables."""
+        if self.second is None:
+            at = np.minimum(np.searchsorted(self.sorted_hashes, h), len(self.sorted_hashes) - 1)
+        else:
+            at = self.high[self._slot(h, _MULTIPLIERS[0])]
+            missed = np.flatnonzero(self.sorted_hashes[at] != h)
+            at[missed] = self.low[self._slot(h[missed], self.second)]
+        hit = np.flatnonzero(self.sorted_hashes[at] == h)
+        return hit, at[hit]
+
     def arcs(self, text: str, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
         """(begin, key, ids) of the pieces that end at ``end``."""
         out = []
@@ -153,26 +178,25 @@ class Vocabulary:
             m1, m2 = np.full(len(nodes), NEVER), np.full(len(nodes), NEVER)
             way, ids = np.zeros(len(nodes), np.int8), np.zeros(len(nodes), np.int32)
             for j in range(max(0, d - self.longest), d):
-                h = prefix[nodes, d] - prefix[nodes, j] * power[d - j]
-                at = np.minimum(np.searchsorted(self.sorted_hashes, h), len(self.sorted_hashes) - 1)
-                hit = self.sorted_hashes[at] == h
-                key, own = np.where(hit, self.sorted_keys[at], NEVER), np.where(hit, self.sorted_ids[at], 0)
-                if j == d - 1:
-                    nb = code_bytes[nodes, j].astype(np.int64)
-                    key, own = np.where(hit, key, nb * (self.byte_cost * PIECE + 1)), np.where(hit, own, -1)
-                    hit = np.ones(len(nodes), bool)
-                if not hit.any():
+                hit, at = self.find(prefix[nodes, d] - prefix[nodes, j] * power[d - j])
+                key, own = self.sorted_keys[at], self.sorted_ids[at]
+                if j == d - 1:  # a character without a piece is spelled
+                    every = code_bytes[nodes, j].astype(np.int64) * (self.byte_cost * PIECE + 1)
+                    names = np.full(len(nodes), -1)
+                    every[hit], names[hit] = key, own
+                    hit, key, own = np.arange(len(nodes)), every, names
+                if not len(hit):
                     continue
-                parent = node_of[j][nodes]
-                a = np.minimum(f1[j][parent] + key, NEVER)
-                b = np.minimum(f2[j][parent] + key, NEVER)
-                better = a < m1
-                m2 = np.where(better, np.minimum(m1, b), np.minimum(np.minimum(m2, a), b))
-                m1, way, ids = np.where(better, a, m1), np.where(better, j, way).astype(np.int8), np.where(better, own, ids).astype(np.int32)
+                parent = node_of[j][nodes[hit]]
+                a, b, c1, c2 = f1[j][parent] + key, f2[j][parent] + key, m1[hit], m2[hit]
+                better = a < c1
+                m2[hit] = np.where(better, np.minimum(c1, b), np.minimum(np.minimum(c2, a), b))
+                m1[hit] = np.where(better, a, c1)
+                way[hit[better]], ids[hit[better]] = j, own[better]
             f1[d][nodes], f2[d][nodes], back[d][nodes], piece[d][nodes] = m1, m2, way, ids
         # terminal nodes: stored scores, and all words' pieces from the end backwards
         at = size.copy()
-        best, second = f1[size, node_of[size, index]], f2[size, node_of[size, index]]
+        best, second = f1[size, node_of[size, index]], np.minimum(f2[size, node_of[size, index]], NEVER)
         taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while True:
             live = np.flatnonzero(at > 0)

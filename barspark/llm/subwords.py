@@ -31,20 +31,36 @@ MASK = lattice.PIECE - 1
 
 
 class Learned(dict):
-    """Pre-token to (best key, second best key, ids), learned in lots."""
+    """Pre-token to a number, and by that number its best key, what the second best costs more, its ids and their length in bytes."""
 
     def __init__(self, path: str):
         super().__init__()
         self.vocabulary = lattice.vocabulary(path)
+        self.forget()
 
-    def texts(self, texts: list[str | None]) -> list[list[str]]:
+    def forget(self) -> None:
+        self.clear()
+        self.ids: list[bytes] = []
+        self.best, self.gap, self.length = (np.zeros(1024, np.int64) for _ in range(3))
+
+    def texts(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """All pre-tokens of the texts in a row, their numbers, and where each text's begin (one more entry than texts)."""
         split = [lattice.pre_tokens(t) for t in texts]
+        flat = [w for words in split for w in words]
         if len(self) > KEPT:
-            self.clear()
-        new = list({w for words in split for w in words if w not in self})
+            self.forget()
+        new = sorted(set(flat).difference(self))
+        at, more = len(self.ids), len(self.ids) + len(new)
+        if more > len(self.best):
+            self.best, self.gap, self.length = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.best, self.gap, self.length))
         got = self.vocabulary.segment([w.replace(" ", lattice.BLANK) for w in new])
-        self.update(zip(new, got, strict=True))
-        return split
+        self.update(zip(new, range(at, more), strict=True))
+        self.ids += [g[2] for g in got]
+        self.best[at:more] = [g[0] for g in got]
+        self.gap[at:more] = [min(g[1], int(lattice.NEVER)) - g[0] for g in got]
+        self.length[at:more] = [len(g[2]) for g in got]
+        numbers = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
+        return flat, numbers, np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -56,11 +72,9 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             texts = column(b, "text")
             for lo, hi in text_slices(texts):
-                split = known.texts(texts.slice(lo, hi - lo).to_pylist())
-                n = np.array([len(s) for s in split], np.int64)
-                keys = np.fromiter((known[w][0] for words in split for w in words), np.int64, int(n.sum()))
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-                cols = [pa.array(n), pa.array(np.add.reduceat(keys & MASK, starts)), pa.array(np.add.reduceat(keys >> 20, starts))]
+                _, numbers, at = known.texts(texts.slice(lo, hi - lo).to_pylist())
+                keys = known.best[numbers]
+                cols = [pa.array(np.diff(at)), pa.array(np.add.reduceat(keys & MASK, at[:-1])), pa.array(np.add.reduceat(keys >> 20, at[:-1]))]
                 yield pa.RecordBatch.from_arrays([column(b, "doc_id").slice(lo, hi - lo), *cols], ["doc_id", "n_pre_tokens", "n_tokens", "cost"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -82,24 +96,30 @@ def combinations(deltas: list[list[int]], n: int) -> list[tuple[int, tuple[int,
     return out
 
 
-def segmentations(words: list[str], known: Learned, n: int) -> list[tuple[tuple[int, int], bytes]]:
-    """((cost, pieces), ids) of the n best segmentations of a text's pre-tokens."""
-    entries = [known[w] for w in words]
-    cost, count = sum(e[0] >> 20 for e in entries), sum(e[0] & MASK for e in entries)
-    parts = [e[2] for e in entries]
+def segmentations(words: list[str], numbers: np.ndarray, known: Learned, n: int) -> list[tuple[tuple[int, int], bytes, list[tuple[str, bytes]]]]:
+    """((cost, pieces), ids, changed words with their ids) of the n best segmentations of a text's pre-tokens."""
+    keys = known.best[numbers]
+    cost, count = int((keys >> 20).sum()), int((keys & MASK).sum())
+    plain = b"".join(map(known.ids.__getitem__, numbers.tolist()))
     if n == 1:
-        return [((cost, count), b"".join(parts))]
-    gaps = np.fromiter((min(e[1], int(lattice.NEVER)) - e[0] for e in entries), np.int64, len(entries))
-    places = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 4 * n else _least(gaps, n - 1)
-    own = [known.vocabulary.n_best(words[i].replace(" ", lattice.BLANK), n) for i in places.tolist()]
+        return [((cost, count), plain, [])]
+    gaps, ends = known.gap[numbers], np.cumsum(known.length[numbers])
+    places = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= n - 1 else _least(gaps, n - 1)
+    places = sorted(places.tolist(), key=lambda i: (gaps[i], i))
+    own = [known.vocabulary.n_best(words[i].replace(" ", lattice.BLANK), n) for i in places]
     out = []
     for _, choice in combinations([[k - x[0][0] for k, _ in x] for x in own], n):
-        c, m, chosen = cost, count, list(parts)
-        for i, x, j in zip(places.tolist(), own, choice, strict=True):
+        c, m, changed = cost, count, {}
+        for i, x, j in zip(places, own, choice, strict=True):
             if j:
                 c, m = c + (x[j][0] >> 20) - (x[0][0] >> 20), m + (x[j][0] & MASK) - (x[0][0] & MASK)
-            chosen[i] = np.array(x[j][1], np.uint32).tobytes()
-        out.append(((c, m), b"".join(chosen)))
+                changed[i] = np.array(x[j][1], np.uint32).tobytes()
+        parts, at = [], 0
+        for i in sorted(changed):
+            end = int(ends[i])
+            parts += [plain[at : end - len(known.ids[numbers[i]])], changed[i]]
+            at = end
+        out.append(((c, m), b"".join([*parts, plain[at:]]), [(words[i], ids) for i, ids in changed.items()]))
     return out
 
 
@@ -123,10 +143,15 @@ def n_best(docs: DataFrame, path: str, n: int = 3, check: bool = False) -> DataF
             texts = column(b, "text")
             for lo, hi in text_slices(texts):
                 raw = texts.slice(lo, hi - lo).to_pylist()
+                flat, numbers, at = known.texts(raw)
                 rows: list[tuple] = []
-                for doc, text, words in zip(column(b, "doc_id").slice(lo, hi - lo).to_pylist(), raw, known.texts(raw), strict=True):
-                    for rank, ((cost, count), ids) in enumerate(segmentations(words, known, n), 1):
-                        same = (decoder.text(ids) == (text or "").replace(lattice.BLANK, " "),) if check else ()
+                for doc, text, x, y in zip(column(b, "doc_id").slice(lo, hi - lo).to_pylist(), raw, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    whole = True
+                    for rank, ((cost, count), ids, changed) in enumerate(segmentations(flat[x:y], numbers[x:y], known, n), 1):
+                        if check and rank == 1:
+                            whole = decoder.text(ids) == (text or "").replace(lattice.BLANK, " ")
+                        # the others differ from the first in the changed words alone
+                        same = (whole and all(decoder.surfaces(i) == w for w, i in changed),) if check else ()
                         rows.append((doc, rank, cost, count, ids, *same))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
@@ -143,8 +168,11 @@ class Decoder:
         for byte, i in v.bytes.items():
             self.surface[i] = bytes([byte])
 
+    def surfaces(self, ids: bytes) -> str:
+        return b"".join(map(self.surface.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")
+
     def text(self, ids: bytes) -> str:
-        return b"".join(map(self.surface.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace")[1:]
+        return self.surfaces(ids)[1:]
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
