@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip
-from ..kernels.calib import bound_ends
 from ..kernels.calib import knots as window_knots
+from ..kernels.calib import steps
 from ..session import checkpoint
 from .metrics import number_trades, wilson
 
@@ -44,15 +44,7 @@ def isotonic_fit(pairs: DataFrame, p: str = "p", y: str = "y", weight: str | Non
         F.coalesce(F.sum(F.when(F.col("p") < zero_end, F.col("n"))), F.lit(0)),
         F.coalesce(F.sum(F.when(F.col("p") >= one_start, F.col("n"))), F.lit(0)),
     ).first()
-    levels = [bound_ends(float(v), ys[0], ys[-1], n_low, n_high) for v in ys]
-    out: dict[float, float] = {0.0: levels[0]}
-    prev = None
-    for a, b in zip(xs.tolist(), levels):
-        if prev is None or b - prev > 1e-12:
-            out.setdefault(float(a), b)
-            prev = b
-    out.setdefault(1.0, levels[-1])
-    return spark.createDataFrame(sorted(out.items()), "x double, y double")
+    return spark.createDataFrame(steps(xs.tolist(), ys, n_low, n_high), "x double, y double")
 
 
 def isotonic_apply(rows: DataFrame, knots: DataFrame, p: str = "p", out: str = "calibrated") -> DataFrame:
