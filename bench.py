@@ -63,7 +63,7 @@ def main() -> None:
     rates["triple_barrier"] = round(m / times["triple_barrier"], 1)
     w = run("combined_weights", lambda: L.combined_weights(bars, lab), m)
     run("edge_posterior", lambda: G.edge_posterior(G.edge_stats(w)))
-    run("cpcv_splits", lambda: S.cpcv_splits(lab.filter("instrument < '2'"), bars, 8, 2))
+    run("cpcv_splits", lambda: S.cpcv_splits(lab, bars, 8, 2))
     led = rows.select(
         "instrument", "bar_index", "open", "high", "low", "close", "direction", "p_success", "ebe",
         (F.col("valid") & F.col("stop_sigma").isNotNull() & (F.col("p_success") > 0.55)).alias("gate_ok"), "stop_sigma", "target_sigma",
