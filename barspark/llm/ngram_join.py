@@ -217,7 +217,7 @@ def _forest(sets: list[np.ndarray], nodes: np.ndarray, left: int, t: int) -> lis
     # tokens by how many sets hold them: all such token's owners form a matrix, and its column pairs are counted together
     for c in np.unique(count[count > 1]).tolist():
         rows = begin[count == c]
-        step = max(1, (1 << 22) // (c * c))
+        step = max(1, (1 << 20) // (c * c))
         for i in range(0, len(rows), step):
             m = owner[rows[i : i + step, None] + np.arange(c)]
             shared += np.bincount((m[:, :, None] * n + m[:, None, :]).ravel(), minlength=n * n).astype(np.int32)
@@ -292,7 +292,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
     more, _ = frequent_tokens(sets.select(F.explode("tokens").alias("token")), least_df)
     hot = np.union1d(hot, more)
     single = written(single_signatures(some, hot, t), "signatures")
-    sets = sets_of(docs, single.filter(dense).select("key", "node"), k, "node, key")
+    # stored between two Python steps: else each task keeps two workers
+    sets = written(sets_of(docs, single.filter(dense).select("key", "node"), k, "node, key"), "dense-sets")
     signed = single.filter(~dense).unionByName(written(paired_signatures(sets, hot, t), "paired"))
     coarse = components(proposals(signed, t))
     wanted = coarse.join(nodes.select("node", "key"), "node").select("node", F.col("component").alias("g"), "key")
