@@ -1,17 +1,18 @@
 """Brown class-based n-grams: exchange clustering, then smoothed class transitions and word emissions.
 
-Tokens are lower-cased words and one end per document. The most frequent words are clustering units of their own; all others,
-unknown ones included, belong to units by spelling (a hash of the last three bytes), so every word has a class. Spark counts the
-unit bigrams of the whole training text; exchange then moves one unit after the other to the class that raises the likelihood of
-the class bigram model most. That table is bounded by ``UNITS`` squared, so one task holds it (moving units in parallel makes
-them chase each other: on a tenth of the data it ended with less than half of the gain).
+Tokens are lower-cased words and one end per document. Every word that occurs ``LEAST`` times or more is a clustering unit of
+its own, however many there are. One task exchanges the most frequent words and spelling groups (a hash of the last three bytes)
+that stand for all others, which is only the start: then every unit moves, one group after the other, by Spark jobs over the
+unit bigrams of the whole training text to the class that raises the likelihood of the class bigram model most; a group's moves
+stay only if together they raise it (else the better half of them is tried, then a quarter). Rarer words join the class that
+their own neighbours fit best. Spelling decides for unknown words alone, and stands in for rare words as neighbours until they have a class.
 
 P(text) = product of P(class | class before) P(word | class). Transitions are counts plus ``STRENGTH`` pseudo-counts shared
 out by class frequency. Emissions are discounted counts (by n1 / (n1 + 2 n2), at most a half: texts near training texts hold
 many words seen once); what the discount takes is the class's one unknown word.
 
-Counts of at most ``TABLE`` words of at most 64 bytes go out with the scoring pass; all rarer words are looked up by a join, so
-that every known word counts whatever the size of the vocabulary.
+Counts and classes of at most ``TABLE`` words of at most 64 bytes go out with the scoring pass; all rarer words are looked up by
+a join before transitions are scored, so that every known word counts whatever the size of the vocabulary.
 
 Defined results: null text is empty and holds only its end; a null ``doc_id`` trains (its text form is taken as empty); repeated
 rows train and are scored each; without training rows every probability is that of an unknown word; an empty table gives an
@@ -27,7 +28,9 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,9 @@ from .common import column, text_slices, written
 
 OWN, SPELLED, CLASSES, PASSES = 1024, 1024, 48, 8
 UNITS = OWN + SPELLED
+#: Count from which a word is a unit; groups that move by turns, and turns at most; entries of a stored row of bigrams.
+LEAST, GROUPS, TURNS, ROW = 32, 4, 3, 4096
+RARE = 64
 TABLE, STRENGTH = 1 << 17, 20.0
 END = b""
 
@@ -76,8 +82,8 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent(words: DataFrame, most: int) -> list[tuple[str, int]]:
-    """Words of high count, at most ``most``: all above a bound that a histogram of counts gives. Longer than 64 bytes: not."""
+def frequent(words: DataFrame, most: int) -> list[tuple[str, int, int]]:
+    """Words of high count, at most ``most``: all above a bound that a histogram of counts gives, with count and class. Longer than 64 bytes: not."""
     short = words.filter("octet_length(word) <= 64 AND word <> ''")
     step = F.floor(F.log2("c") * 16).cast("int")
     sizes = sorted(((r["s"], r["count"]) for r in short.groupBy(step.alias("s")).count().collect()), reverse=True)
@@ -89,26 +95,48 @@ def frequent(words: DataFrame, most: int) -> list[tuple[str, int]]:
         bound = s
     if bound is None:
         return []
-    got = short.filter(step >= bound).select("word", "c").toPandas()
-    return sorted(zip(got["word"], got["c"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    got = short.filter(step >= bound).select("word", "c", "k").toPandas()
+    return sorted(zip(got["word"], got["c"].tolist(), got["k"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def numbered(words: DataFrame) -> dict[bytes, int]:
+    """Unit of every word of ``LEAST`` occurrences or more; the end is 0. Numbers from OWN to UNITS are the spelling groups'."""
+    got = words.filter((F.col("c") >= LEAST) & (F.col("word") != "")).toPandas()
+    top = sorted(zip(got["word"], got["c"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return {END: 0} | {w.encode(): i + 1 if i + 1 < OWN else UNITS + i + 1 - OWN for i, (w, _) in enumerate(top)}
 
 
 def unit_bigrams(train: DataFrame, own: dict[bytes, int]) -> DataFrame:
-    """a, b, n: how often unit b follows unit a. An end stands before the first word; ``own`` holds the end as 0."""
-    spread = train.sparkSession.sparkContext.broadcast(own)
+    """Lists a, b, n: unit b follows unit a n times (a pair may come more than once). An end stands before the first word."""
+    spread, size = train.sparkSession.sparkContext.broadcast(own), UNITS + max(0, len(own) - OWN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, codes, counts = spread.value.get, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        get, held = spread.value.get, []
+
+        def out():
+            codes, times = np.unique(np.concatenate(held), return_counts=True)
+            for lo in range(0, len(codes), 64 * ROW):
+                some, n = codes[lo : lo + 64 * ROW], times[lo : lo + 64 * ROW]
+                offsets = pa.array(np.append(np.arange(0, len(some), ROW), len(some)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((some // size).astype(np.int32), (some % size).astype(np.int32), n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(lists, ["a", "b", "n"])
+
         for b in batches:
             for lo, hi in text_slices(column(b, "text")):
                 words, n = _flat_words(column(b, "text").slice(lo, hi - lo))
                 units = _with_ends(_units(words, get), n, 0)
-                new, times = np.unique(np.concatenate([[0], units[:-1]]) * UNITS + units, return_counts=True)
-                codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
-                counts = np.bincount(at, np.concatenate([counts, times]), len(codes)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array((codes // UNITS).astype(np.int32)), pa.array((codes % UNITS).astype(np.int32)), pa.array(counts)], ["a", "b", "n"])
+                held.append(np.concatenate([[0], units[:-1]]) * size + units)
+            if sum(map(len, held)) > 1 << 22:
+                yield from out()
+                held = []
+        if held:
+            yield from out()
 
-    return train.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return train.select("text").mapInArrow(run, "a array<int>, b array<int>, n array<long>")
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(column(batch, c).flatten().to_numpy() for c in ("a", "b", "n"))
 
 
 def _units(words: list[bytes], get) -> np.ndarray:
@@ -118,6 +146,10 @@ def _units(words: list[bytes], get) -> np.ndarray:
     return units
 
 
+def _offsets(text_of: np.ndarray, n: int) -> pa.Array:
+    return pa.array(np.searchsorted(text_of, np.arange(n + 1)).astype(np.int32))
+
+
 def _with_ends(values: np.ndarray, per_text: np.ndarray, end) -> np.ndarray:
     """``values`` with ``end`` behind each text's own."""
     return np.insert(values, np.cumsum(per_text), end)
@@ -180,26 +212,198 @@ def exchange_passes(pairs: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray
     return classes, g
 
 
-def exchange(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Exchange in one task: the table of unit bigrams has UNITS**2 entries at most, whatever the corpus."""
+def _sums(x: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(x, n, size)
+
+
+def start(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
+    """First classes of all units, by exchange of OWN words and the spelling groups: at most UNITS**2 sums reach its one task."""
+    fold = np.arange(UNITS + max(0, len(own) - OWN))
+    for w, u in own.items():
+        if u >= UNITS:
+            fold[u] = spelled(w)
+    spread = bigrams.sparkSession.sparkContext.broadcast(fold.astype(np.int64))
+
+    def rows(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for u in np.flatnonzero(sums.any(axis=1)).tolist():
+            at = np.flatnonzero(sums[u])
+            yield pa.RecordBatch.from_arrays([pa.array([u], pa.int32()), pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([sums[u, at].tolist()], pa.list_(pa.float64()))], ["u", "b", "n"])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, sums = spread.value, np.zeros(UNITS * UNITS)
+        for batch in batches:
+            a, b, n = _pairs(batch)
+            np.add.at(sums, to[a] * UNITS + to[b], n)
+        yield from rows(sums.reshape(UNITS, UNITS))
+
+    def table(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        sums = np.zeros((UNITS, UNITS))
+        for batch in batches:
+            for u, b, n in zip(column(batch, "u").to_pylist(), column(batch, "b"), column(batch, "n"), strict=True):
+                sums[u, b.values.to_numpy()] += n.values.to_numpy()
+        return sums
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, _ = exchange_passes(table(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([classes.tolist()], pa.list_(pa.int32()))], ["k"])
+
+    schema = "u int, b array<int>, n array<double>"
+    merged = bigrams.mapInArrow(folded, schema).repartition(16, "u").mapInArrow(lambda x: rows(table(x)), schema)
+    got = merged.repartition(1).mapInArrow(run, "k array<int>").first()
+    classes = np.array(got["k"]) if got else exchange_passes(np.zeros((UNITS, UNITS)))[0]
+    return classes[fold]
+
+
+def class_bigrams(bigrams: DataFrame, classes: np.ndarray, spelling: bool = True) -> np.ndarray:
+    """How often a class follows a class; without ``spelling``, between words that are units only."""
+    spread = bigrams.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros((UNITS, UNITS))
+        k, g = spread.value, np.zeros(CLASSES * CLASSES)
+        for batch in batches:
+            a, b, n = _pairs(batch)
+            if not spelling:
+                at = ((a < OWN) | (a >= UNITS)) & ((b < OWN) | (b >= UNITS))
+                a, b, n = a[at], b[at], n[at]
+            g += _sums(k[a] * CLASSES + k[b], n, CLASSES * CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], ["g"])
+
+    parts = [r["g"] for r in bigrams.mapInArrow(run, "g array<double>").collect()]
+    return np.sum(parts, axis=0).reshape(CLASSES, CLASSES) if parts else np.zeros((CLASSES, CLASSES))
+
+
+def likelihood(g: np.ndarray) -> float:
+    return float(_xlogx(g).sum() - _xlogx(g.sum(axis=0)).sum() - _xlogx(g.sum(axis=1)).sum())
+
+
+def offers(bigrams: DataFrame, classes: np.ndarray, g: np.ndarray, group: int):
+    """u, k, gain of the units of a group that would rather be in class k, greatest gain first."""
+    spread, size = bigrams.sparkSession.sparkContext.broadcast((classes, g)), -(-len(classes) // GROUPS)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, _ = spread.value
+        left, right, twice = np.zeros(size * CLASSES), np.zeros(size * CLASSES), np.zeros(size)
+        for batch in batches:
+            a, b, n = _pairs(batch)
+            at, to = a % GROUPS == group, b % GROUPS == group
+            right += _sums(a[at] // GROUPS * CLASSES + k[b[at]], n[at], len(right))
+            left += _sums(b[to] // GROUPS * CLASSES + k[a[to]], n[to], len(left))
+            both = at & (a == b)
+            twice += _sums(a[both] // GROUPS, n[both], size)
+        x = np.concatenate([left.reshape(size, CLASSES), right.reshape(size, CLASSES), twice[:, None]], axis=1)
+        seen = np.flatnonzero(x.any(axis=1))
+        for lo in range(0, len(seen), 1024):
+            at = seen[lo : lo + 1024]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[at].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array((at * GROUPS + group).astype(np.int32)), lists], ["u", "x"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, g = spread.value
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for u, x in zip(column(batch, "u").to_pylist(), column(batch, "x").flatten().to_numpy().reshape(batch.num_rows, -1), strict=True):
+                totals[u] = totals[u] + x if u in totals else x.copy()
+        out = []
+        for u, x in totals.items():
+            before, after, own, now = x[:CLASSES].copy(), x[CLASSES:-1].copy(), float(x[-1]), int(k[u])
+            before[now] -= own
+            after[now] -= own
+            new, gain = best_class(now, before, after, own, g)
+            if u and new != now and gain > 1e-6:
+                out.append((u, new, gain))
+        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["u", "k", "gain"])
+
+    got = bigrams.mapInArrow(sums, "u int, x array<double>").repartition("u").mapInArrow(best, "u int, k int, gain double")
+    return got.toPandas().sort_values(["gain", "u"], ascending=[False, True])
+
+
+def exchange(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
+    """Class of each unit."""
+    classes = start(bigrams, own)
+    g = class_bigrams(bigrams, classes)
+    for _ in range(TURNS):
+        moved = 0
+        for group in range(GROUPS):
+            got = offers(bigrams, classes, g, group)
+            for part in (1, 2, 4):
+                some = got.head(len(got) // part)
+                if not len(some):
+                    break
+                trial = classes.copy()
+                trial[some["u"].to_numpy()] = some["k"].to_numpy()
+                h = class_bigrams(bigrams, trial)
+                if likelihood(h) > likelihood(g):
+                    classes, g, moved = trial, h, moved + len(some)
+                    break
+        if moved <= len(classes) // 200:
+            break
+    return classes
+
+
+def rare_words(train: DataFrame, own: dict[bytes, int], classes: np.ndarray) -> DataFrame:
+    """word, code, next: each occurrence of a word that is no unit, the classes on its sides (left * 128 + right; a side that is
+    such a word too has its spelling's class plus RARE) and that word, if it follows."""
+    spread = train.sparkSession.sparkContext.broadcast((own, classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, classes = spread.value
         for b in batches:
-            np.add.at(pairs, (column(b, "a").to_numpy(), column(b, "b").to_numpy()), column(b, "n").to_numpy())
-        classes, g = exchange_passes(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([classes.tolist()], pa.list_(pa.int32())), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))], ["k", "g"])
+            for lo, hi in text_slices(column(b, "text")):
+                words, n = _flat_words(column(b, "text").slice(lo, hi - lo))
+                units = _with_ends(_units(words, own.get), n, 0)
+                rare = (units >= OWN) & (units < UNITS)
+                kinds = np.concatenate([[0], classes[units] + RARE * rare])
+                at = np.flatnonzero(rare)
+                which = np.flatnonzero(rare[_with_ends(np.ones(len(words), bool), n, False)])
+                mine = pa.array([words[i] for i in which.tolist()], pa.binary()).cast(pa.string())
+                follows = [words[i + 1] if f else None for i, f in zip(which.tolist(), rare[at + 1].tolist(), strict=True)]
+                code = (kinds[at] * 128 + kinds[at + 2]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([mine, pa.array(code), pa.array(follows, pa.binary()).cast(pa.string())], ["word", "code", "next"])
+
+    return train.select("text").mapInArrow(run, "word string, code int, next string")
+
 
-    got = bigrams.repartition(1).mapInArrow(run, "k array<int>, g array<double>").first()
-    if got is None:
-        return exchange_passes(np.zeros((UNITS, UNITS)))
-    return np.array(got["k"]), np.array(got["g"]).reshape(CLASSES, CLASSES)
+def join_classes(met: DataFrame, g: np.ndarray) -> DataFrame:
+    """word, k, codes: the class whose bigrams fit a rare word's neighbours best; such a word has fewer than LEAST occurrences."""
+    fit = np.log(g + 0.5) - np.log(g.sum(axis=1, keepdims=True) + CLASSES / 2) - np.log(g.sum(axis=0, keepdims=True) + CLASSES / 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = column(b, "codes").flatten().to_numpy()
+            of = np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(column(b, "codes")).to_numpy())
+            left, right = (np.bincount(of * CLASSES + side, minlength=b.num_rows * CLASSES).reshape(-1, CLASSES) for side in (codes // 128 % RARE, codes % RARE))
+            value = left @ fit + right @ fit.T
+            value[:, 0] = -np.inf
+            yield pa.RecordBatch.from_arrays([column(b, "word"), pa.array(value.argmax(axis=1).astype(np.int32)), column(b, "codes")], ["word", "k", "codes"])
+
+    return met.groupBy("word").agg(F.collect_list("code").alias("codes")).mapInArrow(run, "word string, k int, codes array<int>")
+
+
+def rare_bigrams(met: DataFrame, rare: DataFrame) -> np.ndarray:
+    """Class bigrams with a rare word on one side or both."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros(CLASSES * CLASSES)
+        for b in batches:
+            codes = column(b, "codes").flatten().to_numpy()
+            k = np.repeat(column(b, "k").to_numpy(), pa.compute.list_value_length(column(b, "codes")).to_numpy())
+            left, right = codes // 128, codes % 128
+            g += np.bincount((left * CLASSES + k)[left < RARE], minlength=len(g)) + np.bincount((k * CLASSES + right)[right < RARE], minlength=len(g))
+        yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], ["g"])
+
+    parts = [r["g"] for r in rare.select("k", "codes").mapInArrow(run, "g array<double>").collect()]
+    g = np.sum(parts, axis=0).reshape(CLASSES, CLASSES) if parts else np.zeros((CLASSES, CLASSES))
+    pairs = met.filter("next IS NOT NULL").groupBy("word", "next").agg(F.count("*").alias("n"))
+    first = pairs.join(rare.select("word", F.col("k").alias("a")), "word").groupBy("next", "a").agg(F.sum("n").alias("n"))
+    for r in first.join(rare.select(F.col("word").alias("next"), F.col("k").alias("b")), "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        g[r["a"], r["b"]] += r["n"]
+    return g
 
 
 class Model:
     """What scoring needs besides the rare words: bounded tables."""
 
-    def __init__(self, words: list[tuple[str, int]], n_end: int, units: dict[bytes, int], classes: np.ndarray, g: np.ndarray, tokens: float, types: float, per_class: dict[int, tuple[float, float]], discount: float):
+    def __init__(self, words: list[tuple[str, int]], n_end: int, kinds: list[int], classes: np.ndarray, g: np.ndarray, tokens: float, types: float, per_class: dict[int, tuple[float, float]], discount: float):
         n_k = np.array([per_class.get(k, (0.0, 0.0))[0] for k in range(CLASSES)])
         v_k = np.array([per_class.get(k, (0.0, 0.0))[1] for k in range(CLASSES)])
         prior = (n_k + 1) / (n_k.sum() + CLASSES)
@@ -210,8 +414,7 @@ class Model:
         count = np.array([n_end, *(c for _, c in words)], np.float64)
         self.base = np.log10(count + 0.5)
         self.emit = np.log10(np.maximum(count - discount, 0.5))
-        unit = np.array([0, *(units.get(w.encode(), spelled(w.encode())) for w, _ in words)])
-        self.classes, self.of_unit = classes[unit], classes
+        self.classes, self.of_spelling = np.array([0, *kinds]), classes[OWN:UNITS]
         self.discount, self.total, self.end_known = discount, math.log10(tokens + 0.5 * (types + 1)), n_end > 0
 
 
@@ -221,17 +424,20 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     train = docs.filter(training)
     words = written(vocabulary(train), "vocabulary")
     end = words.filter("word = ''").agg(F.sum("c")).first()[0] or 0
+    own = numbered(words)
+    bigrams = written(unit_bigrams(train, own), "bigrams")
+    classes = exchange(bigrams, own)
+    met = written(rare_words(train, own, classes), "rare")
+    rare = written(join_classes(met, class_bigrams(bigrams, classes)), "joined")
+    g = class_bigrams(bigrams, classes, spelling=False) + rare_bigrams(met, rare)
+    unit_rows = spark.createDataFrame(pd.DataFrame({"word": [w.decode() for w in own], "k": classes[list(own.values())].astype(np.int32)}), "word string, k int")
+    words = written(words.join(unit_rows.unionByName(rare.select("word", "k")), "word"), "classed")
     top = frequent(words, TABLE)
-    own = {END: 0} | {w.encode(): i + 1 for i, (w, _) in enumerate(top[: OWN - 1])}
-    classes, g = exchange(written(unit_bigrams(train, own), "bigrams"))
-    unit_rows = spark.createDataFrame([(w.decode(), i) for w, i in own.items()], "word string, u int")
-    unit_class = spark.createDataFrame(list(enumerate(classes.tolist())), "u int, k int")
-    placed = words.join(F.broadcast(unit_rows), "word", "left").withColumn("u", F.coalesce("u", _spelled_column(F.col("word"))))
-    sums = placed.join(F.broadcast(unit_class), "u").groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).collect()
+    sums = words.groupBy("k").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).collect()
     n1, n2 = sum(r["n1"] for r in sums), sum(r["n2"] for r in sums)
     discount = min(0.5, n1 / (n1 + 2 * n2)) if n1 else 0.5
     tokens, types = sum(r["n"] for r in sums), sum(r["v"] for r in sums)
-    model = spark.sparkContext.broadcast(Model(top, end, own, classes, g, tokens, types, {r["k"]: (r["n"], r["v"]) for r in sums}, discount))
+    model = spark.sparkContext.broadcast(Model([(w, c) for w, c, _ in top], end, [k for *_, k in top], classes, g, tokens, types, {r["k"]: (r["n"], r["v"]) for r in sums}, discount))
     numbers = ["n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,32 +447,45 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                 flat, per_text = _flat_words(column(b, "text").slice(lo, hi - lo))
                 index = np.fromiter(map(m.index.get, flat, repeat(-1)), np.int64, len(flat))
                 rare = np.flatnonzero(index < 0)
-                rare_words = [flat[i] for i in rare.tolist()]
                 kind = m.classes[np.maximum(index, 0)]
-                kind[rare] = m.of_unit[np.fromiter(map(spelled, rare_words), np.int64, len(rare))]
                 base = np.where(index < 0, -m.total, m.base[np.maximum(index, 0)] - m.total)
-                emit = np.where(index < 0, 0.0, m.emit[np.maximum(index, 0)]) - m.scale[kind]
-                kinds = _with_ends(kind, per_text, 0)
+                emit = np.where(index < 0, 0.0, m.emit[np.maximum(index, 0)] - m.scale[kind])
+                kind[rare] = -1
                 emits = _with_ends(emit, per_text, (m.emit[0] if m.end_known else m.unknown[0]) - m.scale[0])
                 bases = _with_ends(base, per_text, m.base[0] - m.total)
-                moves = m.move[np.concatenate([[0], kinds[:-1]]), kinds]
                 starts = np.concatenate([[0], np.cumsum(per_text + 1)[:-1]])
                 known = np.add.reduceat(_with_ends((index >= 0).astype(np.int64), per_text, int(m.end_known)), starts)
-                text_of = np.repeat(np.arange(hi - lo), per_text)[rare]
-                offsets = pa.array(np.searchsorted(text_of, np.arange(hi - lo + 1)).astype(np.int32))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(rare_words, pa.binary()).cast(pa.string()))
-                missed = pa.ListArray.from_arrays(offsets, pa.array(m.unknown[kind[rare]]))
-                cols = [pa.array(per_text + 1), pa.array(known), pa.array(np.add.reduceat(bases, starts)), pa.array(np.add.reduceat(emits + moves, starts))]
-                yield pa.RecordBatch.from_arrays([*(column(b, c).slice(lo, hi - lo) for c in ("row", "doc_id")), *cols, lists, missed], ["row", "doc_id", *numbers, "rare", "missed"])
+                text_of = np.repeat(np.arange(hi - lo), per_text)
+                kinds = pa.ListArray.from_arrays(_offsets(text_of, hi - lo), pa.array(kind.astype(np.int8)))
+                lists = pa.ListArray.from_arrays(_offsets(text_of[rare], hi - lo), pa.array([flat[i] for i in rare.tolist()], pa.binary()).cast(pa.string()))
+                cols = [pa.array(per_text + 1), pa.array(known), pa.array(np.add.reduceat(bases, starts)), pa.array(np.add.reduceat(emits, starts))]
+                yield pa.RecordBatch.from_arrays([*(column(b, c).slice(lo, hi - lo) for c in ("row", "doc_id")), *cols, kinds, lists], ["row", "doc_id", *numbers, "kinds", "rare"])
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            per_text = pa.compute.list_value_length(column(b, "kinds")).to_numpy().astype(np.int64)
+            found, kind = column(b, "found").flatten(), column(b, "kinds").flatten().to_numpy().astype(np.int64)
+            rare = np.flatnonzero(kind < 0)
+            k, c = (found.field(i).to_numpy() for i in (1, 2))
+            kind[rare] = k = np.where(k < 0, m.of_spelling[np.maximum(-k - 1, 0)], k)
+            emit, base, known = np.zeros(len(kind)), np.zeros(len(kind)), np.zeros(len(kind), np.int64)
+            emit[rare] = np.where(c > 0, np.log10(np.maximum(c - m.discount, 0.5)), m.unknown[k]) - m.scale[k]
+            base[rare], known[rare] = np.log10(c + 0.5), c > 0
+            kinds = _with_ends(kind, per_text, 0)
+            moves = m.move[np.concatenate([[0], kinds[:-1]]), kinds]
+            starts = np.concatenate([[0], np.cumsum(per_text + 1)[:-1]])
+            more = [np.zeros(b.num_rows, np.int64), np.add.reduceat(_with_ends(known, per_text, 0), starts), np.add.reduceat(_with_ends(base, per_text, 0.0), starts), np.add.reduceat(_with_ends(emit, per_text, 0.0) + moves, starts)]
+            yield pa.RecordBatch.from_arrays([column(b, "row"), column(b, "doc_id"), *(pa.array(column(b, c).to_numpy() + x) for c, x in zip(numbers, more, strict=True))], ["row", "doc_id", *numbers])
+
+    schema = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<string>, missed array<double>"), "scored")
-    # rare words by a join with the vocabulary
-    each = held.select("row", F.explode(F.arrays_zip("rare", "missed")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.missed").alias("missed"))
-    met = each.join(words, "word", "left")
-    more = met.select(
-        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.col("c").isNotNull().cast("long").alias("n_known"),
-        F.log10(F.coalesce("c", F.lit(0)) + 0.5).alias("base_score"), F.when(F.col("c").isNull(), F.col("missed")).otherwise(F.log10(F.greatest(F.col("c") - discount, F.lit(0.5)))).alias("score"),
-    )
-    out = held.select("row", "doc_id", *numbers).unionByName(more).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in numbers])
+    held = written(rows.mapInArrow(run, schema + ", kinds array<tinyint>, rare array<string>"), "scored")
+    # classes and counts of rare words by a join with the vocabulary; an unknown word has the number of its spelling, below 0
+    each = held.select("row", F.posexplode("rare").alias("i", "word"))
+    unknown = OWN - 1 - _spelled_column(F.col("word"))
+    met = each.join(words, "word", "left").select("row", F.struct("i", F.coalesce("k", unknown).alias("k"), F.coalesce("c", F.lit(0)).alias("c")).alias("x"))
+    lists = met.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("found"))
+    both = held.drop("rare").join(lists, "row", "left").withColumn("found", F.coalesce("found", F.from_json(F.lit("[]"), "array<struct<i:int,k:int,c:bigint>>")))
+    out = both.mapInArrow(finish, schema)
     return out.withColumn("train_tokens", F.lit(int(tokens)).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

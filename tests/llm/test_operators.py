@@ -401,3 +401,35 @@ def test_n_best_of_texts_counts_and_round_trip(store, odd, nothing):
     text = dict(texts_of(odd))
     assert all(r["decoded"] == (text[r["doc_id"]] or "") for r in decoded)
     assert subwords.n_best(nothing, PIECES).count() == 0 and subwords.token_counts(nothing, PIECES).count() == 0
+
+
+def test_brown_every_word_has_the_class_of_its_neighbours(store):
+    """More words than OWN, all of one spelling: each still gets the class of the words that it stands in for, rare ones too."""
+    rng = random.Random(5)
+    nouns, verbs, rare = [f"n{i}abc" for i in range(600)], [f"v{i}abc" for i in range(600)], [f"r{i}abc" for i in range(20)]
+    pairs = list(zip(rng.sample(nouns * 40, 24000), rng.sample(verbs * 40, 24000)))
+    rows = [(i, " ".join(f"{n} {v}" for n, v in pairs[i * 100 : i * 100 + 100])) for i in range(240)]
+    rows += [(240 + i, f"{rng.choice(nouns)} {w} {rng.choice(nouns)} {rng.choice(verbs)}") for i, w in enumerate(rare * 2)]
+    docs = store(rows, "doc_id long, text string")
+    words = brown.written(brown.vocabulary(docs), "v")
+    own = brown.numbered(words)
+    assert set(own) == {b"", *(w.encode() for w in nouns + verbs)}
+    assert len(own) > brown.OWN
+    pairs = brown.written(brown.unit_bigrams(docs, own), "p")
+    first, classes = brown.start(pairs, own), brown.exchange(pairs, own)
+    g = brown.class_bigrams(pairs, classes)
+    assert brown.likelihood(g) > brown.likelihood(brown.class_bigrams(pairs, first)) + 100
+    of = {w: int(classes[own[w.encode()]]) for w in nouns + verbs}
+    assert not {of[w] for w in nouns} & {of[w] for w in verbs}
+    met = brown.written(brown.rare_words(docs, own, classes), "r")
+    joined = brown.written(brown.join_classes(met, g), "j")
+    got = {r["word"]: r["k"] for r in joined.collect()}
+    assert set(got) == set(rare) and sum(k in {of[w] for w in verbs} for k in got.values()) >= 18
+    whole = brown.class_bigrams(pairs, classes, spelling=False) + brown.rare_bigrams(met, joined)
+    k = {w.encode(): c for w, c in (of | got).items()} | {b"": 0}
+    want = np.zeros_like(whole)
+    for _, text in rows:
+        line = [0, *(k[w.encode()] for w in text.split()), 0]
+        for a, b in itertools.pairwise(line):
+            want[a, b] += 1
+    assert (whole == want).all()
