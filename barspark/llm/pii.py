@@ -7,8 +7,8 @@ so each runs in linear time and constant stack on any text.
 
 Seeds then induce lexical patterns: the word on the left or right of an identifier. A pattern's confidence for a kind is the
 score of the identifiers seen there over all occurrences of that word in the corpus, so that common words weigh nothing; it
-needs at least ``support`` different identifiers. Unseen candidates (tokens with at least four digits outside every base span)
-score by the patterns around them (noisy or), raise or lower the patterns' confidence in the next round, and are spans of
+needs at least ``support`` different identifiers. Unseen candidates (tokens and runs of numbers with at least four digits, and malformed or obfuscated addresses, of
+any length and outside every base span) score by the patterns around them (noisy or), raise or lower the patterns' confidence in the next round, and are spans of
 that kind when they end at ``accept`` or more. All of this is joins and groupings of (word, identifier) edges.
 
 Defined results: null text counts as empty; a null ``doc_id`` is carried; repeated rows each get their spans; an empty table
@@ -36,6 +36,11 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Tokens of six characters or more with four digits, cut at white space and at marks that do not belong to identifiers.
 _OUT = r"\s\"',;()<>="
 CANDIDATE = rf"(?<![^{_OUT}])(?=[^{_OUT}]{{6}})(?=(?:[^{_OUT}0-9]*+[0-9]){{4}})[^{_OUT}]++"
+#: Digit runs joined by at most two blanks, brackets, dots or hyphens (phones without a country code, cards that fail Luhn).
+NUMBERS = r"(?<![\p{L}0-9])[+]?+[(]?+[0-9]++(?:[ ().-]{1,2}+[0-9]++)*+"
+#: Addresses with a written-out "at" or "dot", and any other token with an @.
+_AT, _DOT = r" ?+(?:@|[(\[]at[)\]]) ?+", r" ?+(?:\.|[(\[]dot[)\]]) ?+"
+ADDRESSES = rf"(?i)(?<![{_LOCAL}])[{_LOCAL}]++{_AT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+|(?<![^{_OUT}])[^{_OUT}@]*+@[^{_OUT}]*+"
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string,left:string,right:string>>"
 
 
@@ -97,12 +102,15 @@ def base_spans(text: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base (spans) and candidates (tokens with four digits or more that touch no base span)."""
+    """row, doc_id, base (spans) and candidates (tokens, runs of numbers and addresses that touch no base span)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    free = lambda c: (F.length(c["value"]) <= 64) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    return rows.select("row", "doc_id", "base", F.filter(found(F.col("text"), CANDIDATE, -1), free).alias("candidates"))
+    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    numbers = F.filter(found(F.col("text"), NUMBERS, -1), lambda c: F.length(_digits(c["value"])) >= 4)
+    tokens = F.filter(found(F.col("text"), CANDIDATE, -1), lambda c: c["value"].rlike("[^0-9().+-]"))  # the others are runs of numbers
+    every = F.array_distinct(F.concat(numbers, found(F.col("text"), ADDRESSES, -1), tokens))
+    return rows.select("row", "doc_id", "base", F.filter(every, free).alias("candidates"))
 
 
 def discovered(docs: DataFrame, spans: DataFrame, support: int, confidence: float, accept: float, rounds: int) -> DataFrame:

@@ -433,3 +433,13 @@ def test_brown_every_word_has_the_class_of_its_neighbours(store):
         for a, b in itertools.pairwise(line):
             want[a, b] += 1
     assert (whole == want).all()
+
+
+def test_pii_candidates_of_each_kind(store):
+    long = "k" * 70 + "1234"
+    text = f"call (743) 555-3824 or card 4111 1111 1111 1112 or ann (at) site (dot) org or bob@ nowhere or key {long} end"
+    got = pii.mentions(store([(1, text)], "doc_id long, text string")).first()
+    values = {c["value"]: (c["left"], c["right"]) for c in got["candidates"]}
+    assert values["(743) 555-3824"] == ("call", "or") and values["4111 1111 1111 1112"] == ("card", "or")
+    assert values["ann (at) site (dot) org"] == ("or", "or") and values[long] == ("key", "end")
+    assert any(v.startswith("bob@") for v in values)
