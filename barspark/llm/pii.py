@@ -6,7 +6,8 @@ expressions are possessive where nothing needs to be given back, and do not star
 so each runs in linear time and constant stack on any text.
 
 Seeds then induce lexical patterns: the word on the left or right of an identifier. A pattern's confidence for a kind is the
-score of the identifiers seen there over all occurrences of that word in the corpus, so that common words weigh nothing; it
+score of the identifiers seen there over all occurrences of that word in the corpus, alone or glued to an identifier or
+candidate (a glued mark: to any word), so that common words weigh nothing and candidates that score low pull it down; it
 needs at least ``support`` different identifiers. Unseen candidates (tokens and runs of numbers with at least four digits, and malformed or obfuscated addresses, of
 any length and outside every base span) score by the patterns around them (noisy or), raise or lower the patterns' confidence in the next round, and are spans of
 that kind when they end at ``accept`` or more. All of this is joins and groupings of (word, identifier) edges.
@@ -41,11 +42,11 @@ NUMBERS = r"(?<![\p{L}0-9])[+]?+[(]?+[0-9]++(?:[ ().-]{1,2}+[0-9]++)*+"
 #: Addresses with a written-out "at" or "dot", and any other token with an @.
 _AT, _DOT = r" ?+(?:@|[(\[]at[)\]]) ?+", r" ?+(?:\.|[(\[]dot[)\]]) ?+"
 ADDRESSES = rf"(?i)(?<![{_LOCAL}])[{_LOCAL}]++{_AT}[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)*+|(?<![^{_OUT}])[^{_OUT}@]*+@[^{_OUT}]*+"
-_SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string,left:string,right:string>>"
+_SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string,left:string,right:string,glued_left:boolean,glued_right:boolean>>"
 
 
 def found(text: Column, pattern: str, kind: int) -> Column:
-    """All matches as (start, kind, end, value, the word before, the word after), by start."""
+    """All matches as (start, kind, end, value, the word before, the word after, whether these touch something), by start."""
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -56,9 +57,13 @@ def found(text: Column, pattern: str, kind: int) -> Column:
         gap, value, after = x["gap"], x["value"], x["after"]
         start = acc["at"] + F.length(gap)
         end = start + F.length(value)
-        left = F.lower(F.regexp_extract(F.substring(gap, -80, 80), r"(\S++)\s*+$", 1))
-        right = F.lower(F.regexp_extract(F.substring(after, 1, 80), r"^\s*+(\S++)", 1))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"), left.alias("left"), right.alias("right"))
+        near, then = F.substring(gap, -80, 80), F.substring(after, 1, 80)
+        left = F.lower(F.regexp_extract(near, r"(\S++)\s*+$", 1))
+        right = F.lower(F.regexp_extract(then, r"^\s*+(\S++)", 1))
+        # no word of its own between white space: it touches the match, the match beyond, or is cut at 80 characters
+        glued_left = near.rlike(r"\S$") | (near.rlike(r"^\S++\s*+$") & ((start > F.length(gap)) | (F.length(gap) > 80)))
+        glued_right = then.rlike(r"^\S") | (then.rlike(r"^\s*+\S++$") & ((end + F.length(after) < F.length(text)) | (F.length(after) > 80)))
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value.alias("value"), left.alias("left"), right.alias("right"), glued_left.alias("glued_left"), glued_right.alias("glued_right"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
     none = F.from_json(F.lit("[]"), _SPAN)
@@ -113,22 +118,39 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "base", F.filter(every, free).alias("candidates"))
 
 
+def totals(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """side, word, total of every word beside an identifier or candidate: how often it stands between white space, or glued to one
+    of these; marks count wherever they are glued to a letter or digit. So no word is seen more often than its total."""
+    text = F.lower("text")
+    marks = {"L": r"(?<!\S)[^\p{L}0-9\s]++(?=[\p{L}0-9])", "R": r"(?<=[\p{L}0-9])[^\p{L}0-9\s]++(?!\S)"}
+    alone = docs.select(F.explode(F.split(text, r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    beside = [docs.select(F.lit(side).alias("side"), F.explode(F.regexp_extract_all(text, F.lit(p), F.lit(0))).alias("word")).groupBy("side", "word").agg(F.count("*").alias("n")) for side, p in marks.items()]
+    glued = places.groupBy("side", "word").agg(F.sum(F.col("glued").cast("long")).alias("n"))
+    words = glued.select("side", "word")
+    parts = [glued, *(words.join(x, ["side", "word"]).select("side", "word", "n") for x in beside), words.join(alone, "word").select("side", "word", "n")]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.groupBy("side", "word").agg(F.sum("n").alias("total"))
+
+
 def discovered(docs: DataFrame, spans: DataFrame, support: int, confidence: float, accept: float, rounds: int) -> DataFrame:
     """row, start, end, kind of the identifiers that the patterns find."""
 
     def edges(column: str) -> DataFrame:
         one = spans.select("row", F.explode(column).alias("s")).select("row", "s.*")
-        sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word")))
-        return one.select("row", "start", "end", "kind", "value", F.explode(sides).alias("c")).select("row", "start", "end", "kind", "value", "c.side", "c.word").filter("word <> ''")
+        sides = F.array(*[F.struct(F.lit(x[0].upper()).alias("side"), F.col(x).alias("word"), F.col(f"glued_{x}").alias("glued")) for x in ("left", "right")])
+        return one.select("row", "start", "end", "kind", "value", F.explode(sides).alias("c")).select("row", "start", "end", "kind", "value", "c.*").filter("word <> ''")
 
-    seeds = edges("base").groupBy("side", "word", "kind", "value").agg(F.count("*").alias("n"))
+    base, every = edges("base"), written(edges("candidates"), "candidates")
+    seeds = base.groupBy("side", "word", "kind", "value").agg(F.count("*").alias("n"))
     # patterns with enough different seeds, and how often their word stands anywhere
     some = seeds.groupBy("side", "word", "kind").agg(F.count("*").alias("values"), F.sum("n").alias("seen")).filter(F.col("values") >= support)
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
     # candidates may add to a pattern what seeds do not reach, so the first cut asks for half the confidence
-    patterns = written(some.join(words, "word").filter(F.col("seen") >= confidence / 2 * F.col("total")).select("side", "word", "kind", "seen", "total"), "patterns")
-    free = edges("candidates").join(patterns.select("side", "word").distinct(), ["side", "word"])
-    free = written(free.select("row", "start", "end", "value", "side", "word"), "candidates")
+    patterns = some.join(totals(docs, base.unionByName(every)), ["side", "word"]).filter(F.col("seen") >= confidence / 2 * F.col("total"))
+    patterns = written(patterns.select("side", "word", "kind", "seen", "total"), "patterns")
+    free = every.join(patterns.select("side", "word").distinct(), ["side", "word"])
+    free = written(free.select("row", "start", "end", "value", "side", "word"), "free")
     links = free.groupBy("side", "word", "value").agg(F.count("*").alias("n"))
     trusted = patterns.withColumn("weight", F.least(F.lit(0.999), F.col("seen") / F.col("total")))
     for _ in range(rounds):

@@ -443,3 +443,12 @@ def test_pii_candidates_of_each_kind(store):
     assert values["(743) 555-3824"] == ("call", "or") and values["4111 1111 1111 1112"] == ("card", "or")
     assert values["ann (at) site (dot) org"] == ("or", "or") and values[long] == ("key", "end")
     assert any(v.startswith("bob@") for v in values)
+
+
+def test_pii_counts_glued_words_as_their_contexts(store):
+    """A label that is never a word of its own is a pattern; a comma that stands alone a few times is none."""
+    rows = [(i, f"me tel:+1 (456) 555-2{i:03d}, ok") for i in range(40)] + [(40, "so tel:456-555-9999 ok"), (41, "built in 123456, then , and , this, that, those")]
+    rows += [(50 + i, "one, two, three, four, five") for i in range(40)]
+    docs = store(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["spans"]] for r in pii.personal_data(docs).collect()}
+    assert got[40] == ["phone"] and got[41] == [] and got[0] == ["phone"]
