@@ -9,8 +9,9 @@ Seeds then induce lexical patterns: the word on the left or right of an identifi
 score of the identifiers seen there over all occurrences of that word in the corpus, alone or glued to an identifier or
 candidate (a glued mark: to any word), so that common words weigh nothing and candidates that score low pull it down; it
 needs at least ``support`` different identifiers. Unseen candidates (tokens and runs of numbers with at least four digits, and malformed or obfuscated addresses, of
-any length and outside every base span) score by the patterns around them (noisy or), raise or lower the patterns' confidence in the next round, and are spans of
-that kind when they end at ``accept`` or more. All of this is joins and groupings of (word, identifier) edges.
+any length and outside every base span) score by the patterns around them (noisy or), raise or lower the patterns' confidence, and are accepted as that kind at
+``accept`` or more. Accepted values induce patterns as seeds do, until a round (``rounds`` at most, if given) accepts none; then every
+place where an accepted value stands is a span, whatever is beside it. All of this is joins and groupings of (word, identifier) edges.
 
 Defined results: null text counts as empty; a null ``doc_id`` is carried; repeated rows each get their spans; an empty table
 gives an empty table. ``personal_data`` reads only ``doc_id`` and ``text``; ``masked`` passes all columns through. The input
@@ -134,7 +135,7 @@ def totals(docs: DataFrame, places: DataFrame) -> DataFrame:
     return out.groupBy("side", "word").agg(F.sum("n").alias("total"))
 
 
-def discovered(docs: DataFrame, spans: DataFrame, support: int, confidence: float, accept: float, rounds: int) -> DataFrame:
+def discovered(docs: DataFrame, spans: DataFrame, support: int, confidence: float, accept: float, rounds: int | None) -> DataFrame:
     """row, start, end, kind of the identifiers that the patterns find."""
 
     def edges(column: str) -> DataFrame:
@@ -144,26 +145,39 @@ def discovered(docs: DataFrame, spans: DataFrame, support: int, confidence: floa
 
     base, every = edges("base"), written(edges("candidates"), "candidates")
     seeds = base.groupBy("side", "word", "kind", "value").agg(F.count("*").alias("n"))
-    # patterns with enough different seeds, and how often their word stands anywhere
-    some = seeds.groupBy("side", "word", "kind").agg(F.count("*").alias("values"), F.sum("n").alias("seen")).filter(F.col("values") >= support)
-    # candidates may add to a pattern what seeds do not reach, so the first cut asks for half the confidence
-    patterns = some.join(totals(docs, base.unionByName(every)), ["side", "word"]).filter(F.col("seen") >= confidence / 2 * F.col("total"))
-    patterns = written(patterns.select("side", "word", "kind", "seen", "total"), "patterns")
-    free = every.join(patterns.select("side", "word").distinct(), ["side", "word"])
-    free = written(free.select("row", "start", "end", "value", "side", "word"), "free")
-    links = free.groupBy("side", "word", "value").agg(F.count("*").alias("n"))
-    trusted = patterns.withColumn("weight", F.least(F.lit(0.999), F.col("seen") / F.col("total")))
-    for _ in range(rounds):
-        sure = trusted.filter(F.col("weight") >= confidence)
-        scores = links.join(sure, ["side", "word"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("weight"))))).alias("score"))
-        more = links.join(scores, "value").groupBy("side", "word", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
-        trusted = patterns.join(more, ["side", "word", "kind"], "left")
-        trusted = written(trusted.withColumn("weight", F.least(F.lit(0.999), (F.col("seen") + F.coalesce("gain", F.lit(0.0))) / F.col("total"))), "trusted")
-    best = scores.filter(F.col("score") >= accept).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
-    return free.join(best, "value").select("row", "start", "end", "kind").distinct()
-
-
-def personal_data(docs: DataFrame, support: int = 3, confidence: float = 0.5, accept: float = 0.8, rounds: int = 3) -> DataFrame:
+    links = written(every.groupBy("side", "word", "value").agg(F.count("*").alias("n")), "links")
+    count = written(totals(docs, base.unionByName(every)), "totals")
+    accepted = docs.sparkSession.createDataFrame([], "value string, kind int")
+    n_accepted, turn = 0, 0
+    while rounds is None or turn < rounds:
+        turn += 1
+        # patterns with enough different identifiers, and how often their word stands anywhere
+        known = seeds.unionByName(links.join(accepted, "value").select("side", "word", "kind", "value", "n"))
+        some = known.groupBy("side", "word", "kind").agg(F.count("*").alias("values"), F.sum("n").alias("seen")).filter(F.col("values") >= support)
+        # candidates may add to a pattern what identifiers do not reach, so the first cut asks for half the confidence
+        patterns = some.join(count, ["side", "word"]).filter(F.col("seen") >= confidence / 2 * F.col("total"))
+        patterns = written(patterns.select("side", "word", "kind", "seen", "total"), "patterns")
+        weight = lambda seen: F.least(F.lit(0.999), seen / F.col("total"))
+
+        def score(sure: DataFrame) -> DataFrame:
+            sure = sure.filter(F.col("weight") >= confidence)
+            return links.join(sure, ["side", "word"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("weight"))))).alias("score"))
+
+        first = score(patterns.withColumn("weight", weight(F.col("seen"))))
+        more = links.join(first.join(accepted, "value", "left_anti"), "value").groupBy("side", "word", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("gain"))
+        trusted = patterns.join(more, ["side", "word", "kind"], "left").withColumn("weight", weight(F.col("seen") + F.coalesce("gain", F.lit(0.0))))
+        best = score(trusted).filter(F.col("score") >= accept).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+        # a value stays once it is accepted, so the turns end
+        accepted = written(accepted.unionByName(best.join(accepted, "value", "left_anti")), "accepted")
+        n_before, n_accepted = n_accepted, accepted.count()
+        if n_accepted == n_before:
+            break
+    # wherever an accepted value stands, beside a pattern or not
+    places = spans.select("row", F.explode("candidates").alias("s")).select("row", "s.start", "s.end", "s.value")
+    return places.join(accepted, "value").select("row", "start", "end", "kind").distinct()
+
+
+def personal_data(docs: DataFrame, support: int = 3, confidence: float = 0.5, accept: float = 0.8, rounds: int | None = None) -> DataFrame:
     """row, doc_id, base and spans (base and found ones): arrays of (start, kind, end), by start and kind; kind indexes KINDS."""
     held = written(mentions(docs), "mentions")
     new = discovered(docs, held, support, confidence, accept, rounds).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("found"))

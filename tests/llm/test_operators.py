@@ -452,3 +452,11 @@ def test_pii_counts_glued_words_as_their_contexts(store):
     docs = store(rows, "doc_id long, text string")
     got = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["spans"]] for r in pii.personal_data(docs).collect()}
     assert got[40] == ["phone"] and got[41] == [] and got[0] == ["phone"]
+
+
+def test_pii_marks_found_values_everywhere_and_learns_from_them(store):
+    rows = [(i, f"dial +1 (456) 555-2{i:03d} x{i}") for i in range(20)] + [(20 + i, f"dial 456-555-90{i:02d} alsoreach") for i in range(6)]
+    rows += [(30, "y 456-777-1234 alsoreach"), (31, "nothing here but 456-777-1234 z"), (32, "plain 456-555-9003 q")]
+    got = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["spans"]] for r in pii.personal_data(store(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == ["phone"] for i in range(33) if i in got)
+
