@@ -319,19 +319,18 @@ def asof(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
     return u.filter("_k = 1").select("instrument", "ts", "bar_index", *[F.col(f"_last.{c}").alias(c) for c in cols])
 
 
-def peer_returns(rets: DataFrame, k: int = 8) -> DataFrame:
-    """Map of the first ``k`` other instruments (by name) with a return at the same time.
+def peer_returns(rets: DataFrame, peer_sets: DataFrame | None = None) -> DataFrame:
+    """Map of the peers' returns at the same time, by peer.
 
-    ``k`` is the size of a peer set, part of the definition.  Each time keeps the
-    first ``k + 1`` names, so a bar needs no pairing with every other instrument.
+    ``peer_sets`` holds (instrument, peer); without it all other instruments are peers.  A map lists each of them,
+    so its size is that of the peer set.
     """
-    w = Window.partitionBy("ts").orderBy("instrument")
-    have = rets.filter(F.col("ret").isNotNull()).select("ts", "instrument", "ret")
-    top = have.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k + 1)
-    peers = top.groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("instrument", "ret"))).alias("_all"))
-    others = F.slice(F.filter("_all", lambda e: e["instrument"] != F.col("instrument")), 1, k)
-    return (
-        rets.join(peers, "ts", "left")
-        .withColumn("peers", F.coalesce(F.map_from_entries(others), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))))
-        .drop("_all")
-    )
+    have = rets.filter(F.col("ret").isNotNull()).select("ts", F.col("instrument").alias("peer"), F.col("ret").alias("_ret"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    if peer_sets is None:
+        sets = have.groupBy("ts").agg(F.array_sort(F.collect_list(F.struct("peer", "_ret"))).alias("_all"))
+        others = F.filter("_all", lambda e: e["peer"] != F.col("instrument"))
+        return rets.join(sets, "ts", "left").withColumn("peers", F.coalesce(F.map_from_entries(others), empty)).drop("_all")
+    wanted = rets.select("ts", "instrument").distinct().join(peer_sets.select("instrument", "peer").filter("peer <> instrument").distinct(), "instrument")
+    found = wanted.join(have, ["peer", "ts"]).groupBy("ts", "instrument").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("peer", "_ret")))).alias("_peers"))
+    return rets.join(found, ["ts", "instrument"], "left").withColumn("peers", F.coalesce("_peers", empty)).drop("_peers")

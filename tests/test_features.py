@@ -112,3 +112,14 @@ def test_beta_terms_integrate_to_one():
         for a, b, z in row:
             dens = np.exp(a * np.log(x) + b * np.log1p(-x) - z)
             assert np.trapezoid(dens, x) == pytest.approx(1.0, abs=2e-2)
+
+
+def test_peer_returns_keep_every_peer(spark):
+    from barspark.operators import bars as B
+
+    rets = spark.createDataFrame([(f"i{i:02d}", t, t, 0.01 * i) for i in range(12) for t in (1, 2)], "instrument string, ts long, bar_index long, ret double")
+    got = {(r["instrument"], r["ts"]): r["peers"] for r in B.peer_returns(rets).collect()}
+    assert len(got) == 24 and all(p == {f"i{k:02d}": 0.01 * k for k in range(12) if f"i{k:02d}" != i} for (i, _), p in got.items())
+    sets = spark.createDataFrame([("i00", "i11"), ("i00", "i10"), ("i01", "i01")], "instrument string, peer string")
+    got = {(r["instrument"], r["ts"]): r["peers"] for r in B.peer_returns(rets, sets).collect()}
+    assert len(got) == 24 and got["i00", 1] == {"i10": 0.01 * 10, "i11": 0.01 * 11} and got["i01", 2] == {}
