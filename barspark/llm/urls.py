@@ -6,7 +6,7 @@ address can have: the list's shapes (labels in the host, length of the path) say
 path to join into a key. The filter has 256-bit blocks, 16 bits a key; a key's hash names its block and eight bits there, so
 one look-up by block number answers for it. What passes meets the list in a join on the key itself, which removes false hits.
 
-List and filter are broadcast only while the list holds at most ``BROADCAST_KEYS`` keys of at most 2,083 characters; beyond,
+List and filter are broadcast only while the list holds at most ``BROADCAST_KEYS`` keys of at most 2,083 characters each; beyond,
 both joins shuffle, and hits, which may all be on one popular prefix, are salted.
 
 Defined results: a null address, or one without ``://``, has empty host and path and no rule; no rule gives the ``default``
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-BROADCAST_KEYS, SALTS, BLOCK_BITS, BITS_A_KEY, PROBES = 20_000, 16, 256, 16, 8
+BROADCAST_KEYS, BROADCAST_LENGTH, SALTS, BLOCK_BITS, BITS_A_KEY, PROBES = 20_000, 2083, 16, 256, 16, 8
 
 
 def host_of(url: Column) -> Column:
@@ -36,7 +36,7 @@ def listed(rules: DataFrame) -> DataFrame:
     """rule, verdict, key, labels, size. A rule written twice counts once: the verdict that sorts first."""
     host = lower_ascii(F.regexp_extract("rule", "^([^/]*)", 1))
     path = F.regexp_extract("rule", "^[^/]*(.*)$", 1)
-    one = rules.filter("rule IS NOT NULL AND length(rule) <= 2083").select("rule", "verdict", host.alias("host"), path.alias("path"))
+    one = rules.filter("rule IS NOT NULL").select("rule", "verdict", host.alias("host"), path.alias("path"))
     one = one.groupBy("host", "path").agg(F.min("rule").alias("rule"), F.min("verdict").alias("verdict"))
     return one.select("rule", "verdict", F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("size"))
 
@@ -65,7 +65,7 @@ def may_hold(words: Column, key: Column) -> Column:
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url); ``rules``: rule, verdict."""
     keys = listed(rules)
-    n = keys.count()
+    n, longest = keys.agg(F.count("*"), F.max(F.length("key"))).first()
     shapes = keys.select("labels", "size").distinct().collect()  # bounded by the lengths that a rule may have
     base = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     best = F.struct(F.lit(None).cast("int").alias("size"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
@@ -78,7 +78,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     asked = base.withColumn("l", labels).select("row", F.explode(key).alias("key"))
     n_blocks = -(-n * BITS_A_KEY // BLOCK_BITS)
     blocks = bloom_filter(keys, n_blocks)
-    small = n <= BROADCAST_KEYS
+    small = n <= BROADCAST_KEYS and longest <= BROADCAST_LENGTH
     hint = F.broadcast if small else (lambda df: df)
     possible = asked.withColumn("block", _block(F.col("key"), n_blocks)).join(hint(blocks), "block").filter(may_hold(F.col("words"), F.col("key")))
     if small:

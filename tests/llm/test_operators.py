@@ -460,3 +460,11 @@ def test_pii_marks_found_values_everywhere_and_learns_from_them(store):
     got = {r["doc_id"]: [pii.KINDS[s["kind"]] for s in r["spans"]] for r in pii.personal_data(store(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == ["phone"] for i in range(33) if i in got)
 
+
+
+def test_urls_keep_long_rules(spark, store):
+    path = "/" + "a" * 3000
+    pages = store([(1, f"http://x.org{path}/b"), (2, "http://x.org/c")], "page_id long, url string")
+    rules = spark.createDataFrame([("x.org/", "allow"), (f"x.org{path}", "block")], "rule string, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, rules).collect()}
+    assert got == {1: "block", 2: "allow"}
