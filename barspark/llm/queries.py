@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, ngram_join, packing, pii, quality, subwords, topk, urls
+from . import brown, chat, interplay, ngram_join, packing, pii, quality, subwords, topk, urls, whiten
 from .common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,41 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "rank", "cost", "n_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")
 
 
+@query
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whiten.whiten(table(spark, sf_dir, "embeddings"), components=16)
+    explained = F.array(*(F.lit(e).cast("double") for e in made.explained)) if made.explained else F.array(F.lit(None).cast("double"))
+    rows = made.rows.select(F.col("id").alias("vec_id"), "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(made.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(made.identity_error).alias("identity_error"),
+    )
+
+
+@query
+def op13_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interplay.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op13_filter_diagrams"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS lo FROM d),
+l AS (SELECT doc_id, max(CAST(coalesce(quality, 0) = 1 AS INT)) AS g, max(CAST(coalesce(toxic, 0) = 1 AS INT)) AS x FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(g, 0) AS g, coalesce(x, 0) AS x, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT)
+  + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+  + 16 * CAST(coalesce(w.doc_id > lo, false) AS INT) AS mask FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(g) AS g, sum(x) AS x FROM m GROUP BY ALL),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+p(o, step, letter, bit, before) AS (SELECT '', 0, '', 0, 0 UNION ALL SELECT o || f.letter, step + 1, f.letter, f.bit, before + p.bit FROM p JOIN f ON NOT contains(o, f.letter)),
+full_orders AS (SELECT o FROM p WHERE step = 5),
+s AS (SELECT full_orders.o, p.step, p.letter, p.bit, p.before FROM full_orders JOIN p ON p.step > 0 AND starts_with(full_orders.o, p.o)),
+r AS (SELECT part, o AS filter_order, step, s.letter, sum(n) FILTER (mask & (before + bit) = 0) AS kept, sum(n) FILTER (mask & before = 0 AND mask & bit > 0) AS removed,
+  sum(n) FILTER (mask & before > 0 AND mask & bit > 0) AS redundant, sum(n) FILTER (mask = bit) AS unique_fails,
+  sum(g) FILTER (mask & before = 0 AND mask & bit > 0) AS good_lost, sum(x) FILTER (mask & before = 0 AND mask & bit > 0) AS toxic_lost FROM s CROSS JOIN c GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM r"""
+
 SQL["op5_norm_buckets"] = """
 WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
