@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, interplay, ngram_join, packing, pii, quality, subwords, topk, urls, whiten
+from . import brown, chat, interplay, mixing, ngram_join, packing, pii, quality, subwords, topk, urls, whiten
 from .common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,39 @@ def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_multinomial_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
+_N = mixing.BLOCK
+SQL["op12_multinomial_mix"] = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size, row_number() OVER () AS r FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, greatest(1, count(*) // {mixing.BUCKET}) AS buckets, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+g1 AS (SELECT *, CAST([5, 2, 1][CAST(no % 3 + 1 AS INT)] AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS stop, (source_size + {_N - 1}) // {_N} AS blocks FROM g),
+g2 AS (SELECT *, stop / w AS level, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS here
+  FROM g1 WINDOW b AS (ORDER BY stop / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g3 AS (SELECT *, least(stop, w * (SELECT here FROM g2 WHERE level >= here ORDER BY level, no LIMIT 1)) AS target FROM g2),
+g4 AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(least(2 * blocks, floor(target * blocks / source_size + 0.5)) AS BIGINT) END AS slots FROM g3),
+g5 AS (SELECT *, CAST(sum(slots) OVER () AS BIGINT) AS total, CAST(sum(slots) OVER (ORDER BY no) AS BIGINT) AS upto FROM g4),
+g6 AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor((upto - slots)::DOUBLE / total * 2147483647.0::DOUBLE) AS BIGINT) END AS low,
+  CASE WHEN total > 0 THEN CAST(floor(upto::DOUBLE / total * 2147483647.0::DOUBLE) AS BIGINT) END AS high FROM g5),
+placed AS (SELECT d.*, g6.no, g6.source_size, g6.target, CAST(coalesce(sum(size) OVER (PARTITION BY g6.no ORDER BY ({mixing.bucket_hash("doc_id", "size")}) % buckets,
+  doc_id NULLS FIRST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM d JOIN g6 ON d.source IS NOT DISTINCT FROM g6.source),
+draws AS (SELECT range AS slot, {mixing.drawn("range")} AS u FROM range((SELECT coalesce(max(total), 0) FROM g6))),
+met AS (SELECT slot, no, blocks, slots, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS i FROM draws JOIN g6 ON u >= low AND u < high),
+s1 AS (SELECT no, blocks, slots, coalesce(n, 0) AS n FROM g6 LEFT JOIN (SELECT no AS k, count(*) AS n FROM met GROUP BY no) ON no = k),
+s2 AS (SELECT *, sum(greatest(n - slots, 0)) OVER (ORDER BY no) - greatest(n - slots, 0) AS over_low, sum(greatest(slots - n, 0)) OVER (ORDER BY no) AS short_high, greatest(slots - n, 0) AS short FROM s1),
+vacant AS (SELECT i - met.slots + over_low AS v FROM met JOIN s2 USING (no) WHERE i >= met.slots),
+final AS (SELECT no, blocks, i FROM met WHERE i < slots UNION ALL SELECT no, blocks, CAST(n + v - (short_high - short) AS BIGINT) FROM vacant JOIN s2 ON v >= short_high - short AND v < short_high),
+f1 AS (SELECT no, blocks, i % blocks AS j, {mixing.round_key("no", "(i // blocks)")} AS key FROM final),
+f2 AS (SELECT *, list_transform(range({mixing.ROUNDS}), lambda r: {mixing.reflection("key", "r", "blocks")}) AS ks FROM f1),
+f3 AS (SELECT no, list_reduce(list_prepend(j, ks), lambda x, k: {mixing.swapped("x", "k", "blocks", "key")}) AS block FROM f2),
+pieces AS (SELECT r, no, unnest(range(first // {_N}, (first + size - 1) // {_N} + 1)) AS block, first, size FROM placed WHERE size > 0),
+sums AS (SELECT r, sum(least((block + 1) * {_N}, first + size) - greatest(block * {_N}, first)) AS taken FROM pieces JOIN f3 USING (no, block) GROUP BY r)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM placed LEFT JOIN sums USING (r)"""
+
+
 @query
 def op13_filter_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interplay.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
