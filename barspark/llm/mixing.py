@@ -114,7 +114,7 @@ def _with_source(sized: DataFrame, sources: DataFrame, n_sources: int) -> DataFr
     if n_sources <= FEW:
         return sized.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     salt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS))
-    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return sized.withColumn("sown", salt).join(own, F.col("source").eqNullSafe(F.col("s")) & (F.col("sown") == F.col("salt"))).drop("s", "source", "sown", "salt")
 
 
