@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +31,40 @@ def local_session(cpus: int | str = 8, app: str = "barspark") -> SparkSession:
     return spark
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names.
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside go when their job ends: for jobs whose result is stored."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
 
-    ``spark.checkpoint.dir`` is read from the session; only where neither it nor
-    the context names a folder (tests, laptop runs) is a temporary one set.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` or the context's checkpoint folder.
+
+    Where neither is set, a local master (tests, laptop runs) gets a temporary one; on a cluster, whose machines
+    would not see it, that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager)
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    with shuffles_removed(df.sparkSession):
+        return df.checkpoint(eager)
 
 
 _STORED: dict[tuple[str, str], str] = {}
@@ -53,9 +79,8 @@ def stored(df_of, spark: SparkSession, name: str) -> DataFrame:
     sc = spark.sparkContext
     key = (sc.applicationId, name)
     if key not in _STORED:
-        root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-        root = root or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        path = f"{root.rstrip('/')}/barspark-{sc.applicationId}/{name}"
-        df_of().write.mode("overwrite").parquet(path)
+        path = f"{shared_folder(spark)}/barspark-{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+        with shuffles_removed(spark):
+            df_of().write.parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])
