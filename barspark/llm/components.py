@@ -1,37 +1,51 @@
-"""Connected components of an edge table by alternating large and small stars; every round is a few joins on Spark."""
+"""Connected components of an edge table by alternating large and small stars; every round is a few joins on Spark.
+
+A round's tables are stored and the former round's deleted. The least neighbours are stored before they are joined, so that both
+sides of that join come from exchanges of its own, which adaptive execution splits where a node has very many edges.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from .common import discard, written
 
 
 def _fingerprint(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit((1 << 40) - 87)))).first())
 
 
-def _to_least(pairs: DataFrame) -> DataFrame:
-    """(a, b, m): m is the least of a and its neighbours b. Aggregate and join, so that a hot node is split like any skewed join."""
+def _least(pairs: DataFrame) -> DataFrame:
+    """(k, m): m is the least of node k and its neighbours. Minima combine before the shuffle."""
     least = pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m"))
-    return pairs.join(least, F.col("a") == F.col("k")).select("a", "b", "m")
+    return written(least, "least")
+
+
+def _downwards(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (a, b: long) to (node, component), component being the least node reachable. Nodes without edges are absent."""
-    e = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """``edges`` (a, b: long) to a stored (node, component), component being the least node reachable. Nodes without edges are absent."""
+    e = written(_downwards(edges), "edges")
     before = _fingerprint(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _to_least(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.filter("a <> b").distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        small = _to_least(down)
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        e = checkpoint(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        least = _least(both)
+        large = both.filter("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = written(_downwards(large), "down")
+        discard(least, e)
+        least = _least(down)
+        small = down.join(least, F.col("a") == F.col("k"))
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        e = written(_downwards(small), "edges")
+        discard(least, down)
         after = _fingerprint(e)
         if after == before:
             break
         before = after
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = written(e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), "components")
+    discard(e)
+    return found

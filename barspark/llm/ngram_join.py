@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, column, mix, written
+from .common import Words, blocks, column, discard, mix, written
 from .components import components
 
 FREQUENT, MOST_FREQUENT, SMALL, BLOCK, BROADCAST_KEYS = 32, 1 << 20, 32, 256, 1 << 20
@@ -115,6 +115,7 @@ def frequent_tokens(tokens: DataFrame, least: int = FREQUENT) -> tuple[np.ndarra
     steps = counts.groupBy(F.floor(F.log2(F.col("count") / least)).cast("int").alias("step")).count().collect()
     step = next(s for s in range(64) if sum(r["count"] for r in steps if r["step"] >= s) <= MOST_FREQUENT)
     got = counts.filter(F.col("count") >= least << step).select("token").toPandas()["token"].to_numpy(np.int64)
+    discard(counts)
     return np.sort(got), least << step
 
 
@@ -276,46 +277,62 @@ def verified(groups: DataFrame, t: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id, rid, first (rid of the component's first row); links at 100 * |x & y| >= t * |x | y|, t < 100."""
-    rows = written(fingerprints(docs, k, t), "fingerprints")
+    """doc_id, key (hash of the text), n_shingles, component_id, rid, first (rid of the component's first row); links at 100 * |x & y| >= t * |x | y|, t < 100."""
+    prints = written(fingerprints(docs, k, t), "fingerprints")
     least = F.min(F.struct("rid", "key")).alias("m")
-    nodes = rows.filter("size > 0").groupBy("fp1", "fp2").agg(least, F.min("doc_id").alias("doc"))
+    nodes = prints.filter("size > 0").groupBy("fp1", "fp2").agg(least, F.min("doc_id").alias("doc"))
     nodes = written(nodes.select("fp1", "fp2", F.col("m.rid").alias("node"), F.col("m.key").alias("key"), "doc"), "sets")
     ids, few = nodes.select(F.col("node").alias("rid")), nodes.count() <= BROADCAST_KEYS
-    some = rows.filter(F.size("head") > 0).join(F.broadcast(ids) if few else ids, "rid", "left_semi").select(F.col("rid").alias("node"), "size", "key", "head")
-    some = some if few else written(some, "heads")
+    some = prints.filter(F.size("head") > 0).join(F.broadcast(ids) if few else ids, "rid", "left_semi")
+    some = written(some.select(F.col("rid").alias("node"), "size", "key", "head"), "heads")
+    rows = written(prints.drop("head"), "rows")
+    discard(prints)
     need = (F.col("size") - F.floor((t * F.col("size") + 99) / 100) + 1).cast("int")
     hot, least_df = frequent_tokens(some.select(F.explode(F.slice("head", 1, need)).alias("token")))
     # sets made mostly of frequent tokens show more of them than heads do
     dense = F.size("sigs") == 0
-    sets = sets_of(docs, written(single_signatures(some, hot, t).filter(dense).select("key", "node"), "dense"), k, "node, key")
-    more, _ = frequent_tokens(sets.select(F.explode("tokens").alias("token")), least_df)
+    few_rare = written(single_signatures(some, hot, t).filter(dense).select("key", "node"), "dense")
+    more, _ = frequent_tokens(sets_of(docs, few_rare, k, "node, key").select(F.explode("tokens").alias("token")), least_df)
     hot = np.union1d(hot, more)
     single = written(single_signatures(some, hot, t), "signatures")
+    discard(some, few_rare)
     # stored between two Python steps: else each task keeps two workers
     sets = written(sets_of(docs, single.filter(dense).select("key", "node"), k, "node, key"), "dense-sets")
-    signed = single.filter(~dense).unionByName(written(paired_signatures(sets, hot, t), "paired"))
-    coarse = components(proposals(signed, t))
-    wanted = coarse.join(nodes.select("node", "key"), "node").select("node", F.col("component").alias("g"), "key")
-    linked = components(verified(written(sets_of(docs, written(wanted, "wanted"), k, "node, g"), "groups"), t))
+    paired = written(paired_signatures(sets, hot, t), "paired")
+    discard(sets)
+    proposed = written(proposals(single.filter(~dense).unionByName(paired), t), "proposed")
+    discard(single, paired)
+    coarse = components(proposed)
+    discard(proposed)
+    wanted = written(coarse.join(nodes.select("node", "key"), "node").select("node", F.col("component").alias("g"), "key"), "wanted")
+    groups = written(sets_of(docs, wanted, k, "node, g"), "groups")
+    discard(coarse, wanted)
+    links = written(verified(groups, t), "links")
+    discard(groups)
+    linked = components(links)
+    discard(links)
     # the result: sets to components, components to their least document
     placed = nodes.select("fp1", "fp2", "node", "doc").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
     by_set = placed.join(heads, "component").select("fp1", "fp2", "component_id", F.col("component").alias("first"))
-    out = rows.select("rid", "doc_id", "size", "fp1", "fp2").join(by_set, ["fp1", "fp2"], "left")
+    out = rows.join(by_set, ["fp1", "fp2"], "left")
     own = F.col("size") > 0
     return out.select(
-        "doc_id", F.col("size").alias("n_shingles"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "rid",
+        "doc_id", "key", F.col("size").alias("n_shingles"), F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "rid",
         F.when(own, F.col("first")).otherwise(F.col("rid")).alias("first"),
     )
 
 
 def one_of_each(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: the row of least ``doc_id`` (a null one last). Texts without words all stay.
+    """``docs`` with one row of each component: the row of least ``doc_id`` (a null one last; of several, the one whose text has the
+    least hash; of rows equal in id and text, one). Texts without words all stay.
 
-    ``docs`` is read again to drop rows, by row number: it has to be a stored table, which reads the same each time."""
+    The rows that stay are found again by their id and the hash of their text, both in the row itself, never by a row number."""
     found = jaccard_components(docs, k, t)
-    row = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("rid"))
-    best = found.groupBy("first").agg(F.min(row).alias("b")).select(F.col("b.rid").alias("rid"))
-    numbered = docs.select("*", F.monotonically_increasing_id().alias("_rid_"))
-    return numbered.join(best.withColumnRenamed("rid", "_rid_"), "_rid_", "left_semi").select(*docs.columns)
+    row = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("key"))
+    best = found.filter("n_shingles > 0").groupBy("first").agg(F.min(row).alias("b"), F.min("doc_id").isNull().alias("none"))
+    best = written(best.select("b.id", "b.key", "none"), "kept")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("key"), F.col("doc_id").isNull().alias("none")]
+    held = docs.select(F.struct(*docs.columns).alias("doc"), *own)
+    kept = held.join(best, ["id", "key", "none"], "left_semi").dropDuplicates(["id", "key", "none"]).select("doc.*")
+    return kept.unionByName(docs.filter(F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*+$")))

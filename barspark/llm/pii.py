@@ -14,8 +14,8 @@ any length and outside every base span) score by the patterns around them (noisy
 place where an accepted value stands is a span, whatever is beside it. All of this is joins and groupings of (word, identifier) edges.
 
 Defined results: null text counts as empty; a null ``doc_id`` is carried; repeated rows each get their spans; an empty table
-gives an empty table. ``personal_data`` reads only ``doc_id`` and ``text``; ``masked`` passes all columns through. The input
-is read more than once, by row number: it has to be a stored table.
+gives an empty table. ``personal_data`` reads only ``doc_id`` and ``text``; ``masked`` passes all columns through, whatever their
+names. Rows are numbered once and stored with their spans (``masked``: with the whole row), so a number never means two rows.
 """
 
 from __future__ import annotations
@@ -108,15 +108,15 @@ def base_spans(text: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base (spans) and candidates (tokens, runs of numbers and addresses that touch no base span)."""
+    """row, doc_id, doc (the row as it came), base (spans) and candidates (tokens, runs of numbers and addresses that touch no base span)."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("doc"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     numbers = F.filter(found(F.col("text"), NUMBERS, -1), lambda c: F.length(_digits(c["value"])) >= 4)
     tokens = F.filter(found(F.col("text"), CANDIDATE, -1), lambda c: c["value"].rlike("[^0-9().+-]"))  # the others are runs of numbers
     every = F.array_distinct(F.concat(numbers, found(F.col("text"), ADDRESSES, -1), tokens))
-    return rows.select("row", "doc_id", "base", F.filter(every, free).alias("candidates"))
+    return rows.select("row", "doc_id", "doc", "base", F.filter(every, free).alias("candidates"))
 
 
 def totals(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -179,7 +179,11 @@ def discovered(docs: DataFrame, spans: DataFrame, support: int, confidence: floa
 
 def personal_data(docs: DataFrame, support: int = 3, confidence: float = 0.5, accept: float = 0.8, rounds: int | None = None) -> DataFrame:
     """row, doc_id, base and spans (base and found ones): arrays of (start, kind, end), by start and kind; kind indexes KINDS."""
-    held = written(mentions(docs), "mentions")
+    return spans_of(docs, written(mentions(docs).drop("doc"), "mentions"), support, confidence, accept, rounds)
+
+
+def spans_of(docs: DataFrame, held: DataFrame, support: int = 3, confidence: float = 0.5, accept: float = 0.8, rounds: int | None = None) -> DataFrame:
+    """The same from stored ``mentions``."""
     new = discovered(docs, held, support, confidence, accept, rounds).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("found"))
     plain = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))
     out = held.select("row", "doc_id", plain.alias("base")).join(new, "row", "left")
@@ -194,10 +198,11 @@ def digest(spans: Column) -> Column:
 
 def masked(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each span's text replaced by its kind in angle brackets; overlapping spans become one."""
-    spans = personal_data(docs, **options).filter(F.size("spans") > 0).select(F.col("row").alias("_row_"), F.col("spans").alias("_spans_"))
-    rows = docs.select("*", F.monotonically_increasing_id().alias("_row_")).join(spans, "_row_", "left")
+    held = written(mentions(docs), "mentions")
+    spans = spans_of(docs, held, **options).filter(F.size("spans") > 0).select("row", "spans")
+    rows = held.select("row", "doc").join(spans, "row", "left")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    text = F.col("text")
+    text = F.col("doc.text")
 
     def step(acc: Column, s: Column) -> Column:
         cut = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
@@ -205,5 +210,6 @@ def masked(docs: DataFrame, **options) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("_spans_", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    return rows.withColumn("text", F.when(F.col("_spans_").isNull(), text).otherwise(new)).select(*docs.columns)
+    new = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
+    masked_text = F.when(F.col("spans").isNull(), text).otherwise(new)
+    return rows.select(*(masked_text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, written
 
 BROADCAST_KEYS, BROADCAST_LENGTH, SALTS, BLOCK_BITS, BITS_A_KEY, PROBES = 20_000, 2083, 16, 256, 16, 8
 
@@ -68,6 +68,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     n, longest = keys.agg(F.count("*"), F.max(F.length("key"))).first()
     shapes = keys.select("labels", "size").distinct().collect()  # bounded by the lengths that a rule may have
     base = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    base = written(base, "addresses")  # read twice by row number: number the rows once
     best = F.struct(F.lit(None).cast("int").alias("size"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
     if not n:
         return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))

@@ -468,3 +468,42 @@ def test_urls_keep_long_rules(spark, store):
     rules = spark.createDataFrame([("x.org/", "allow"), (f"x.org{path}", "block")], "rule string, verdict string")
     got = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, rules).collect()}
     assert got == {1: "block", 2: "allow"}
+
+
+@pytest.fixture
+def many_files(spark, tmp_path):
+    """A table of 24 files whose numbering changes with the smallest number of partitions that a scan makes."""
+    texts = [f"note {i} write to user{i}@mail{i % 7}.org or call +1 555 010 {i:04d} {' '.join(f'w{i % 90}.{j}' for j in range(30))}" for i in range(240)]
+    rows = [(i % 200, t, "en", f"http://h{i}.org/es/{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, url string").repartition(24).write.parquet(str(tmp_path / "t"))
+    return str(tmp_path / "t")
+
+
+def test_rows_keep_their_identity_when_the_cluster_changes(spark, many_files, monkeypatch):
+    from barspark.llm import common, ngram_join, pii, urls
+
+    def wrapped(module):
+        plain = common.written
+
+        def written(df, name):
+            made = plain(df, name)  # between any two reads the splits change
+            n = int(spark.conf.get("spark.sql.files.minPartitionNum", "1"))
+            spark.conf.set("spark.sql.files.minPartitionNum", str(n % 30 + 9))
+            return made
+
+        monkeypatch.setattr(module, "written", written)
+
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        docs = spark.read.parquet(many_files)
+        want = [sorted(map(tuple, pii.masked(docs).collect())), sorted(map(tuple, urls.url_filter(docs.withColumnRenamed("doc_id", "page_id"), spark.createDataFrame([("org/es/1", "block")], "rule string, verdict string")).collect()), key=repr)]
+        assert not any("@" in r[1] for r in want[0])
+        n = ngram_join.one_of_each(docs).count()
+        for module in (pii, urls, ngram_join):
+            wrapped(module)
+        assert sorted(map(tuple, pii.masked(docs).collect())) == want[0]
+        assert sorted(map(tuple, urls.url_filter(docs.withColumnRenamed("doc_id", "page_id"), spark.createDataFrame([("org/es/1", "block")], "rule string, verdict string")).collect()), key=repr) == want[1]
+        assert ngram_join.one_of_each(docs).count() == n
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
