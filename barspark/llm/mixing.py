@@ -7,7 +7,7 @@
    which makes a shard's counts multinomial. Where the draws of all shards leave a source over its planned slots, the last of them
    are handed to sources below theirs, so that every source meets its target up to a block.
 4. The i-th slot of a source with B blocks takes block p(i mod B) of round i div B, p being a pseudorandom permutation of 0..B-1
-   (swap or not: 16 rounds of reflections, each taken or left by a hash bit), and is joined with that block by index.
+   (swap or not: 12 rounds of reflections, each taken or left by a hash bit), and is joined with that block by index.
 
 A slot index never passes ``most`` * B, so no block, and no document, is taken more than ``most`` times. All draws are arithmetic on
 indices: reruns and retries agree. Nothing but DataFrame and SQL functions is used.
@@ -32,14 +32,16 @@ from .common import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-BLOCK = 32
+BLOCK = 64
 SHARD = 1024
-ROUNDS = 16
+ROUNDS = 12
 #: Documents of a source to a bucket, on average.
 BUCKET = 4096
 #: Sources that are broadcast.
 FEW = 100_000
 SALTS = 64
+#: Slots that a task handles: their rows are small and their arithmetic is not, so sizes in bytes would leave too few tasks.
+SLOTS_A_TASK = 1 << 17
 
 _P, _Q, _BIG = 2147483647, 2147483629, 1152921504606846883
 
@@ -148,7 +150,7 @@ def _ranged(value: Column, ranges: DataFrame, low: str, high: str, bits: int) ->
 
 def _slots(spark: SparkSession, sources: DataFrame, n_slots: int) -> DataFrame:
     """(slot, shard, no, blocks, i): each slot's source and its number among the slots of that source."""
-    slots = spark.range(0, n_slots, 1, max(spark.sparkContext.defaultParallelism, n_slots >> 20)).withColumnRenamed("id", "slot")
+    slots = spark.range(0, n_slots, 1, max(1, -(-n_slots // SLOTS_A_TASK))).withColumnRenamed("id", "slot")
     slots = slots.withColumn("shard", F.expr(f"slot div {SHARD}")).withColumn("u", F.expr(drawn("slot")))
     key, ranges = _ranged(F.col("u"), sources.select("no", "blocks", "slots", "low", "high"), "low", "high", 19)
     slots = slots.join(ranges, (key == F.col("range_key")) & (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
@@ -169,6 +171,8 @@ def _slots(spark: SparkSession, sources: DataFrame, n_slots: int) -> DataFrame:
     bases = groups.select("group", "no", "ahead").join(settled.select("no", "over_low"), "no")
     counts = counts.withColumn("inside", F.coalesce(F.sum("n").over(upto("group", "no").orderBy("shard")), F.lit(0)))
     counts = counts.join(bases, ["group", "no"]).select("shard", "no", (F.col("ahead") + F.col("inside")).alias("base"), "over_low")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_slots // SLOTS_A_TASK))
+    slots = slots.repartition(tasks, "shard", "no")  # a number of its own, which adaptive execution leaves alone
     rank = F.row_number().over(Window.partitionBy("shard", "no").orderBy("slot"))
     slots = slots.withColumn("rank", rank).join(counts, ["shard", "no"]).withColumn("i", F.col("base") + F.col("rank") - 1)
     # slots over the plan are numbered together and given to the ranges of sources short of theirs
@@ -186,10 +190,10 @@ def _slots(spark: SparkSession, sources: DataFrame, n_slots: int) -> DataFrame:
 
 def _permuted(slots: DataFrame) -> DataFrame:
     """(slot, shard, no, turn, block)."""
-    turned = slots.withColumn("turn", F.expr("i div blocks")).withColumn("j", F.expr("i % blocks")).withColumn("key", F.expr(round_key("no", "turn")))
-    keys = f"transform(sequence(0L, {ROUNDS - 1}L), r -> {reflection('key', 'r', 'blocks')})"
-    turned = turned.withColumn("keys", F.expr(keys))
-    return turned.select("slot", "shard", "no", "turn", F.expr(f"aggregate(keys, j, (x, k) -> {swapped('x', 'k', 'blocks', 'key')})").alias("block"))
+    turned = slots.withColumn("turn", F.expr("i div blocks")).withColumn("block", F.expr("i % blocks")).withColumn("key", F.expr(round_key("no", "turn")))
+    for r in range(ROUNDS):  # a projection each: compiled one by one, where a lambda over an array would be interpreted
+        turned = turned.withColumn("mirror", F.expr(reflection("key", f"{r}L", "blocks"))).withColumn("block", F.expr(swapped("block", "mirror", "blocks", "key")))
+    return turned.select("slot", "shard", "no", "turn", "block")
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = BLOCK, text: bool = False) -> Mix:
@@ -202,7 +206,8 @@ def mix(docs: DataFrame, share: float = 1.5, most: int = 2, block: int = BLOCK,
     met = _with_source(sized, sources, n_sources)
     placed = written(_placed(met), "placed")
     empty = met.filter("size = 0").select(*(F.lit(None).cast(kind).alias(c) if c == "first" else F.col(c) for c, kind in placed.dtypes))
-    slots = _permuted(_slots(docs.sparkSession, sources, n_slots))
+    # stored: a predicate on ``block`` pushed through the rounds would be rewritten in terms of the first one's input
+    slots = written(_permuted(_slots(docs.sparkSession, sources, n_slots)), "slots")
     pieces = _pieces(placed, block, text).join(slots, ["no", "block"])
     return Mix(sources, placed.unionByName(empty), pieces)
 
