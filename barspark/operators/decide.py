@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip
+from ..kernels import chain as N
 from ..kernels import ledger as K
 from .features import as_fold
-from .sequence import running
+from .sequence import fold_forward, index_bars, running
 
 c = F.col
 INF = float("inf")
@@ -176,6 +177,64 @@ def gate(p_min: float = 0.58, ebe_min: float = 1.25, lcb_min: float = 0.05, haza
     return F.when(first.isNotNull(), F.array(first)).otherwise(rest)
 
 
+def decision_events(rows: DataFrame, rejects: DataFrame | None = None, psi: DataFrame | None = None) -> DataFrame:
+    """One ordered stream of accepted bars (``train.decision_inputs``) and rejected ones (instrument, ts, kind), numbered by ``seq``.
+
+    ``psi`` (instrument, bar_index, psi_max) is the worst feature's drift as known at a bar; without it drift never demotes.
+    """
+    x = rows.withColumns({"issue": F.lit(None).cast("string"), "sigma": c("sigma_fcst"), "max_posterior": F.greatest("p0", "p1", "p2", "p3")})
+    x = x.withColumn("psi_max", F.lit(None).cast("double")) if psi is None else x.join(psi.select("instrument", "bar_index", "psi_max"), ["instrument", "bar_index"], "left")
+    names = [k for k in N.IN if k != "seq"]
+    if rejects is None:
+        return x.select("instrument", c("bar_index").alias("seq"), *names)
+    x = x.select("instrument", "ts", *names)
+    none = [F.lit(None).cast(kind).alias(k) for k, kind in x.dtypes if k not in ("instrument", "ts", "issue")]
+    both = x.unionByName(rejects.select("instrument", "ts", c("kind").alias("issue"), *none))
+    return index_bars(both, ("ts", "issue"), name="seq").drop("ts")  # a bar before the rejected ones of its time
+
+
+def decisions(events: DataFrame, rules: dict | None = None, learn: bool = True, equity: float = 1.0, start: DataFrame | None = None, block: int = 16384) -> tuple[DataFrame, DataFrame]:
+    """(one decision per event, last state per instrument) of the whole chain with its feedback; see :mod:`..kernels.chain`.
+
+    ``start`` (instrument, state) resumes: from the states of an earlier call, or from a trained book (:func:`book_start`).
+    A call on ten batches, each from the states of the one before, gives the rows of one call on all.
+    """
+    step = N.chain(rules, learn, equity)
+    keep = ["instrument", "seq", "bar_index"]
+
+    def kernel(state, rows):
+        nxt, got = step(state, rows)
+        return nxt, rows[keep].assign(**got)
+
+    schema = "instrument string, seq long, bar_index long, " + ", ".join(f"{k} {t}" for k, t in N.OUT.items())
+    return fold_forward(events.select("instrument", *N.IN), kernel, schema, start=start, block=block)
+
+
+def book_start(instruments: DataFrame, stats: DataFrame, knots: DataFrame | None = None, equity: float = 1.0, clock: int = 0) -> DataFrame:
+    """(instrument, state) that begins with a trained book (``edge.edge_stats``: at most 80 cells, 16 nodes and a root) and calibration knots."""
+    key = F.concat_ws(":", c("regime").cast("string"), c("setup").cast("string"), c("bucket").cast("string"))
+    cells = stats.filter("n_w > 0").select(F.struct(key.alias("key"), F.array(F.lit(float(clock)), "n_w", "s1", "s2").alias("value")).alias("c")).agg(F.collect_list("c").alias("cs"))
+    cells = cells.select(F.to_json(F.map_from_entries("cs")).alias("book"))
+    steps = F.lit("null")
+    if knots is not None:
+        fitted = knots.agg(F.to_json(F.sort_array(F.collect_list(F.array("x", "y")))).alias("steps"))  # the knots of one map
+        cells, steps = cells.crossJoin(fitted), F.when(c("steps") == "[]", "null").otherwise(c("steps"))
+    state = F.format_string(
+        f'{{"open": null, "recent": [], "equity": {equity!r}, "peak": {equity!r}, "book": %s, "outcomes": [], "since": 0, "map": %s, "level": 0, "brier": null}}', "book", steps
+    )
+    return instruments.select("instrument").distinct().crossJoin(F.broadcast(cells.select(state.alias("state"))))  # one row
+
+
+def decision_trades(made: DataFrame) -> DataFrame:
+    """Closed positions of :func:`decisions`."""
+    return made.filter(c("entry_index").isNotNull()).select(
+        "instrument", "entry_index", c("bar_index").alias("exit_index"), c("trade_direction").alias("direction"), "entry_price", "exit_price",
+        c("trade_sigma").alias("ret_sigma"), c("trade_outcome").alias("outcome"), c("trade_cell").alias("cell"), c("trade_p").alias("p_at_entry"),
+        c("trade_risk").alias("risk_fraction"), c("equity").alias("equity_after"), "reason", c("trade_cost").alias("cost_sigma"),
+        (c("trade_sigma") - c("trade_cost")).alias("net_sigma"),
+    )
+
+
 LEDGER_IN = (
     "open", "high", "low", "close", "direction", "p_success", "ebe", "gate_ok", "stop_sigma", "target_sigma", "sigma",
     "max_holding", "cost_sigma", "risk_raw", "tradeable", "cell",

@@ -15,6 +15,7 @@ bars and every operator is one of four shapes:
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint
+from ..session import checkpoint, shared_folder, shuffles_removed
 
 BLOCK = 4096
 FOLD_BLOCK = 16384
@@ -321,6 +322,67 @@ def fold(
     return out, grouped(ts, tail, "state", state_schema).drop("blk")
 
 
+def fold_forward(
+    df: DataFrame,
+    kernel: Kernel,
+    schema: str,
+    keys: Sequence[str] = ("instrument",),
+    order: str = "seq",
+    block: int = FOLD_BLOCK,
+    start: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """A recursion that never forgets: (output rows, last state per key).
+
+    Round k runs the k-th block of every series at once, from the states that round k - 1 stored beside its rows. Each row
+    goes through Python once, however many rounds there are, where :func:`fold` would run all later blocks again whenever a
+    start changes. A task holds one block of one series; the rounds are the blocks of the longest series. ``order`` numbers
+    a series without gaps; ``start`` (keys, state) resumes it.
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-forward-{uuid.uuid4().hex[:12]}"
+    with shuffles_removed(spark):
+        df.withColumn("blk", F.floor(F.col(order) / block)).repartition("blk", *keys).write.partitionBy("blk").parquet(f"{path}/in")
+    x = spark.read.schema(f"{_ddl(df)}, blk long").parquet(f"{path}/in")
+    names = [c.split()[0] for c in schema.split(",")]
+    kinds = dict(df.dtypes)
+    state_schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", state string"
+    out_schema = f"{schema}, state string"
+
+    def step(group, pdf: pd.DataFrame, state: str | None) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        nxt, out = kernel(json.loads(state) if state else None, pdf)
+        out = out[names].astype(object).where(out[names].notna(), None).assign(state=None)
+        out.loc[len(out)] = [dict(zip(keys, group)).get(n) for n in names] + [json.dumps(nxt)]
+        return out
+
+    def run(group, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty:
+            return pd.DataFrame(columns=[*names, "state"])
+        return step(group, left, right["state"].iloc[0] if len(right) else None)
+
+    span = x.agg(F.min("blk").alias("lo"), F.max("blk").alias("hi")).first()
+    if span.lo is None:
+        return spark.createDataFrame([], schema), (start if start is not None else spark.createDataFrame([], state_schema))
+    begun = start if start is not None else spark.createDataFrame([], state_schema)
+    states = begun
+    for b in range(span.lo, span.hi + 1):
+        rows = x.filter(F.col("blk") == b).drop("blk")
+        with shuffles_removed(spark):
+            made = rows.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(run, out_schema)
+            made.write.parquet(f"{path}/out/round={b}")
+        new = spark.read.schema(out_schema).parquet(f"{path}/out/round={b}").filter("state IS NOT NULL").select(*keys, "state")
+        states = new.unionByName(begun.join(new, keys, "left_anti")) if start is not None else new
+    every = spark.read.schema(f"{out_schema}, round long").parquet(f"{path}/out")
+    last = every.filter("state IS NOT NULL").groupBy(*keys).agg(F.max_by("state", "round").alias("state"))
+    ends = last.unionByName(begun.join(last, keys, "left_anti"))
+    return every.filter("state IS NULL").select(*names), ends
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 # --------------------------------------------------------------------------- #
 # exact order statistics of unbounded groups
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, hash_uniform, norm_ppf, sql_uniform
 from ..operators import calib as C
 from ..operators import drift as D
+from ..operators.features import FEATURES
 from ..operators.sequence import running
 from ..sources import fixtures as X
 from .edge import LABELS, labels
-from .features import MICRO, PART, features, srank
+from .features import features
 from .metrics import rr
 from .registry import query
 
@@ -133,37 +134,22 @@ def calibration_health(spark, sf):
 # --------------------------------------------------------------------------- #
 # drift
 
-NAMES = ("sigma_bp", "sigma_rv", "sigma_rs", "sigma_ew", "sigma_fcst", "ret", "ret_norm")
-LONG = f"""{MICRO}, n1 AS (SELECT *, ln(sigma_fcst) AS lf, d AS ret_norm FROM m), n2 AS (SELECT *, {srank('lf')} AS vr, {srank('mag')} AS lr FROM n1),
-  vb AS (SELECT *, row_number() OVER ({PART}) - 1 AS vno FROM n2 WHERE bar_index >= 99 AND vr IS NOT NULL AND lr IS NOT NULL),
-  lg AS (SELECT instrument, vno, feature, value FROM (SELECT instrument, vno, {", ".join(f"round({c}, 10) AS {c}" for c in NAMES)} FROM vb) UNPIVOT (value FOR feature IN ({", ".join(NAMES)}))),
-  nv AS (SELECT instrument, max(vno) + 1 AS nv FROM lg GROUP BY 1),
-  rf AS (SELECT instrument, feature, value FROM lg JOIN nv USING (instrument) WHERE nv >= {{ref}} AND vno < {{ref}}),
-  lk AS (SELECT lg.*, row_number() OVER (PARTITION BY instrument, feature ORDER BY vno DESC) AS k, count(*) OVER (PARTITION BY instrument, feature) AS t FROM lg JOIN nv USING (instrument) WHERE nv >= {{ref}}),
-  lv AS (SELECT instrument, feature, value FROM lk WHERE k <= 500 AND t >= 100),
-  eg AS (SELECT instrument, feature, list_distinct(quantile_cont(value, [{", ".join(str(i / 10) for i in range(1, 10))}])) AS e FROM rf GROUP BY 1, 2),
-  rb AS (SELECT instrument, feature, len(list_filter(e, lambda x: x <= value)) AS b, count(*) AS c FROM rf JOIN eg USING (instrument, feature) GROUP BY 1, 2, 3),
-  lb AS (SELECT instrument, feature, len(list_filter(e, lambda x: x <= value)) AS b, count(*) AS c FROM lv JOIN eg USING (instrument, feature) GROUP BY 1, 2, 3),
-  fj AS (SELECT coalesce(rb.instrument, lb.instrument) AS instrument, coalesce(rb.feature, lb.feature) AS feature, coalesce(rb.c, 0) AS rc, coalesce(lb.c, 0) AS lc
-    FROM rb FULL JOIN lb ON rb.instrument = lb.instrument AND rb.feature = lb.feature AND rb.b = lb.b),
-  fs AS (SELECT *, greatest(rc / sum(rc) OVER (PARTITION BY instrument, feature), 1e-6) AS rp, greatest(lc / sum(lc) OVER (PARTITION BY instrument, feature), 1e-6) AS lp FROM fj),
-  ps AS (SELECT instrument, feature, CAST(sum(rc) AS BIGINT) AS n_ref, CAST(sum(lc) AS BIGINT) AS n_live, sum((lp - rp) * ln(lp / rp)) AS psi FROM fs GROUP BY 1, 2)"""
 REF = 1500
 
 
 def long_features(spark, sf):
     f = running(features(spark, sf).filter("valid"), {"_k": ("sum", F.lit(1))})
-    x = f.select("instrument", "bar_index", (F.col("_k") - 1).alias("valid_no"), *[F.round(c, 10).alias(c) for c in NAMES])
-    return x.unpivot(["instrument", "bar_index", "valid_no"], list(NAMES), "feature", "value").filter("value IS NOT NULL")
+    x = f.select("instrument", "bar_index", (F.col("_k") - 1).alias("valid_no"), *[F.round(c, 10).alias(c) for c in FEATURES])
+    return x.unpivot(["instrument", "bar_index", "valid_no"], list(FEATURES), "feature", "value").filter("value IS NOT NULL AND NOT isnan(value) AND abs(value) < double('Infinity')")
 
 
-@query("psi", f"{LONG.format(ref=REF)} SELECT instrument, feature, n_ref, n_live, round(psi, 7) AS psi FROM ps")
+@query("psi")
 def psi(spark, sf):
     ref, live = D.psi_split(long_features(spark, sf), REF)
     return D.psi(ref, live, ["instrument", "feature"]).withColumn("psi", F.round("psi", 7))
 
 
-@query("psi_monitor", f"{LONG.format(ref=2000)} SELECT instrument, round(max(psi), 7) AS psi_max, arg_max(feature, psi) AS worst_feature, count(*) AS n_features FROM ps GROUP BY 1")
+@query("psi_monitor")
 def psi_monitor(spark, sf):
     return D.psi_monitor(long_features(spark, sf)).withColumn("psi_max", F.round("psi_max", 7))
 
@@ -182,7 +168,7 @@ def slippage_ratio(spark, sf):
     return D.slippage_ratio(fills(spark, sf)).withColumn("slippage_ratio", F.round("slippage_ratio", 7))
 
 
-HEALTH = f"""{LABELS}, {SLIP}, oc AS (SELECT instrument, p_success AS p, (outcome > 0)::INT::DOUBLE AS y FROM lab),
+HEALTH = f"""{LABELS}, {SLIP}, oc AS (SELECT instrument, p, y FROM (SELECT instrument, p_success AS p, (outcome > 0)::INT::DOUBLE AS y, row_number() OVER (PARTITION BY instrument ORDER BY exit_index DESC, bar_index DESC) AS back FROM lab) WHERE back <= 2000),
   hb AS (SELECT instrument, least(floor(p * 15), 14) AS bin, count(*) AS n, avg(p) AS pb, avg(y) AS ob FROM oc GROUP BY 1, 2),
   ha AS (SELECT instrument, count(*) AS n, avg((p - y) * (p - y)) AS brier, 1 - avg((p - y) * (p - y)) / (avg(y) * (1 - avg(y))) AS skill FROM oc GROUP BY 1),
   hc AS (SELECT instrument, sum(n * abs(pb - ob)) / sum(n) AS ece FROM hb GROUP BY 1),

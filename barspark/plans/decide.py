@@ -19,6 +19,7 @@ from ..operators.features import REGIME_OUT, as_fold, nan_to_null
 from ..kernels import series as K
 from ..session import stored
 from ..sources import fixtures as X
+from .edge import LABELS, labels
 from .features import CHAIN, PART, features
 from .metrics import rr
 from .registry import query
@@ -565,12 +566,10 @@ def classify_setup(spark, sf):
 
 
 def ledger_rows(spark, sf):
-    """Per-bar signals on the feature table's bars; sizes come from the cell columns of the inputs."""
-    x = gated(spark, sf)
-    ok = F.size(F.array_except("veto", F.array(F.lit("expectancy lower bound"), F.lit("effective breadth"), F.lit("probability")))) == 0
-    return x.select(
-        *KEYS, "open", "high", "low", "close", "direction", "p_success", "ebe", ok.alias("gate_ok"), "stop_sigma", "target_sigma",
-        F.col("sigma_fcst").alias("sigma"), "max_holding", F.least("cost_sigma", F.lit(0.3)).alias("cost_sigma"), F.lit(0.005).alias("risk_raw"),
+    """Per-bar signals with the gate's whole verdict, the modelled cost and the size of the cell, as they are."""
+    return gated(spark, sf).select(
+        *KEYS, "open", "high", "low", "close", "direction", "p_success", "ebe", (F.size("veto") == 0).alias("gate_ok"), "stop_sigma", "target_sigma",
+        F.col("sigma_fcst").alias("sigma"), "max_holding", "cost_sigma", "risk_raw",
         (~F.col("phase").isin(1, 7, 8)).alias("tradeable"), F.concat_ws(":", "dominant", F.lit(0), F.lit(0)).alias("cell"),
     )
 
@@ -584,10 +583,9 @@ def position_ledger(spark, sf):
     return D.position_ledger(ledger_rows(spark, sf))
 
 
-@query("trade_net", f"{SIZE.replace('SELECT instrument, bar_index, round(risk_raw', 'SELECT instrument, bar_index, round(risk_raw')} SELECT instrument, bar_index, round(mean - cost_sigma, 6) AS net_sigma FROM sz WHERE stop_sigma IS NOT NULL AND cost_sigma < 'infinity'::DOUBLE")
+@query("trade_net", f"{LABELS} SELECT candidate_id, round(ret_sigma - cost_sigma, 6) AS net_sigma FROM lab")
 def trade_net(spark, sf):
-    x = costed(spark, sf).filter("stop_sigma IS NOT NULL").withColumn("ret_sigma", F.col("mean")).filter(F.col("cost_sigma") < float("inf"))
-    return rr(D.trade_net(x), 6, KEYS, "net_sigma")
+    return rr(D.trade_net(labels(spark, sf)), 6, ["candidate_id"], "net_sigma")
 
 
 @query("trades")
@@ -595,20 +593,6 @@ def trades(spark, sf):
     return D.trades(ledger(spark, sf))
 
 
-@query(
-    "rejected_decision",
-    f"""{SI}, g AS (SELECT instrument, bar_index, CASE WHEN valid THEN 'BUY' ELSE 'NO TRADE' END AS action, CASE WHEN valid THEN '' ELSE 'features not valid' END AS veto FROM si)
-    SELECT * FROM g UNION ALL SELECT instrument, bar_index, 'NO TRADE', 'bar rejected: zero_range' FROM bars WHERE high = low""",
-)
-def rejected_decision(spark, sf):
-    d = inputs(spark, sf).select(
-        *KEYS, F.when(F.col("valid"), "BUY").otherwise("NO TRADE").alias("action"),
-        F.when(F.col("valid"), F.array().cast("array<string>")).otherwise(F.array(F.lit("features not valid"))).alias("veto"),
-    )
-    rej = X.lineitem_bars(spark, sf).filter("high = low").select(*KEYS, F.lit("zero_range").alias("kind"))
-    return D.with_rejects(d, rej).withColumn("veto", F.array_join("veto", ","))
-
-
 @query("run_summary")
 def run_summary(spark, sf):
     lg = ledger(spark, sf)
@@ -620,19 +604,6 @@ def carded(spark, sf):
     return x.withColumn("setup", S.classify_setup()).withColumn("action", F.when(F.size("veto") == 0, F.when(F.col("direction") > 0, "BUY").otherwise("SHORT")).otherwise("NO TRADE"))
 
 
-CARD_ROWS = ("Liquidity", "Volatility", "Regime", "Institutional Flow")
-
-
-@query(
-    "explain_card",
-    f"""{GATE}, cv AS (SELECT instrument, bar_index, bool_or(engine = 'liquidity' AND valid) AS lv, max(CASE WHEN engine = 'momentum' AND valid THEN abs(score) END) AS ms, max(CASE WHEN engine = 'momentum' AND valid THEN reliability END) AS mr FROM sco GROUP BY 1, 2),
-    k AS (SELECT g.instrument, g.bar_index, CASE WHEN NOT lv THEN 'n/a' WHEN q.age <= 4 THEN 'Confirmed sweep' WHEN g.absorption_rank > 0.65 THEN 'Absorbing' ELSE 'None' END AS a1,
-      CASE WHEN g.vol_rank IS NULL THEN 'n/a' WHEN g.compression > 0.75 THEN 'Compressed' WHEN g.vol_rank > 0.85 THEN 'Elevated' WHEN g.vol_rank < 0.15 THEN 'Very low' ELSE 'Favourable' END AS a2,
-      ['Trending', 'Mean-Reverting', 'Stress', 'Quiet'][g.dominant + 1] AS a3,
-      CASE WHEN NOT lv THEN 'Neutral' WHEN g.absorption_rank < 0.65 THEN CASE WHEN ms > 0.4 AND mr > 0.4 THEN 'Directional flow' ELSE 'Neutral' END WHEN g.clv_ema > 0.15 THEN 'Accumulation' WHEN g.clv_ema < -0.15 THEN 'Distribution' ELSE 'Absorption, side unclear' END AS a4
-      FROM g0 g JOIN lq q ON q.instrument = g.instrument AND q.bar_index = g.bar_index JOIN cv ON cv.instrument = g.instrument AND cv.bar_index = g.bar_index)
-    SELECT instrument, bar_index, label, value FROM (SELECT instrument, bar_index, a1 AS "Liquidity", a2 AS "Volatility", a3 AS "Regime", a4 AS "Institutional Flow" FROM k) UNPIVOT (value FOR label IN ("Liquidity", "Volatility", "Regime", "Institutional Flow"))""",
-)
+@query("explain_card")
 def explain_card(spark, sf):
-    x = carded(spark, sf).select(*KEYS, F.inline(S.explain_card()))
-    return x.filter(F.col("label").isin(*CARD_ROWS))
+    return carded(spark, sf).select(*KEYS, F.inline(S.explain_card()))

@@ -328,14 +328,15 @@ def warmup_valid(spark, sf):
     return features(spark, sf).select("instrument", "bar_index", "warmup_remaining", "valid")
 
 
-@query(
-    "feature_unpivot",
-    f"""{CHAIN} SELECT instrument, bar_index, feature, round(value, 9) AS value FROM (SELECT instrument, bar_index, sigma_bp, sigma_rv, sigma_rs, sigma_ew, sigma_fcst, ret, d AS ret_norm FROM v3)
-      UNPIVOT (value FOR feature IN (sigma_bp, sigma_rv, sigma_rs, sigma_ew, sigma_fcst, ret, ret_norm))""",
-)
+@query("feature_unpivot")
 def feature_unpivot(spark, sf):
-    names = ("sigma_bp", "sigma_rv", "sigma_rs", "sigma_ew", "sigma_fcst", "ret", "ret_norm")
-    return E.feature_unpivot(features(spark, sf)).filter(F.col("feature").isin(*names)).withColumn("value", F.round("value", 9))
+    return E.feature_unpivot(features(spark, sf)).withColumn("value", F.round("value", 9))
+
+
+@query("regime_features")
+def regime_features(spark, sf):
+    """Inputs of the regime filter and what it makes of them, for every bar."""
+    return features(spark, sf).select("instrument", "bar_index", *E.REGIME_OUT)
 
 
 @query("htf_view")

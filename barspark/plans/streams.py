@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import edge as G
-from ..session import stored
+from ..session import shared_folder, stored
+from ..operators import decide as D
 from ..sources import files as IO
 from ..sources import fixtures as X
 from ..streaming import streams as R
@@ -16,16 +17,12 @@ from .calib import ordered_outcomes
 from .decide import SI, inputs, ledger_rows
 from .edge import STATS, stats
 from .registry import query
+from .train import decision_rows
 
 
 def scratch(spark, name):
     """A folder for one run, under the shared checkpoint folder where one is set."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    base = f"{root.rstrip('/')}/runs" if root else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    import uuid
-
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/runs/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def drain(df, spark, name, mode="append"):
@@ -179,12 +176,19 @@ def stream_features(spark, sf):
     return spark.read.parquet(f"{fs.path}/features").drop("ts", "epoch")
 
 
-@query("stream_decisions")
-def stream_decisions(spark, sf):
+@query("stream_ledger")
+def stream_ledger(spark, sf):
     rows = ledger_rows(spark, sf).withColumn("ts", F.timestamp_seconds("bar_index"))
     return drain(R.stream_decisions(stream_of(spark, rows, "dec")), spark, "dec-out")
 
 
+@query("stream_decisions")
+def stream_decisions(spark, sf):
+    """The learning chain on the real feature table, ten batches: book, map and health level pass from one to the next."""
+    events = D.decision_events(decision_rows(spark, sf)).withColumn("ts", F.timestamp_seconds("seq"))
+    return drain(R.stream_chain(stream_of(spark, events, "chain", 10)), spark, "chain-out")
+
+
 @query("stream_health")
 def stream_health(spark, sf):
     o = ordered_outcomes(spark, sf).withColumn("ts", F.timestamp_seconds("pos"))

@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import sql_norm_cdf
 
+from ..operators import bars as B
 from ..operators import calib as C
+from ..operators import decide as D
+from ..operators import features as E
 
 
 from ..operators import metrics as M
 
 from ..operators import structure as ST
 from ..operators import train as T
+from ..operators.sequence import index_bars
 
 from ..session import stored
 from ..sources import fixtures as X
+from .bars import hourly
 from .calib import outcomes
 from .decide import CORE, scores
 from .edge import STATS, chain_sql, labels, signals, tb_sql, WEIGHTS, SIGNALS
@@ -79,7 +84,50 @@ def candidates(spark, sf):
 
 @query("train_edge")
 def train_edge(spark, sf):
-    return T.train_edge(X.lineitem_bars(spark, sf), signals(spark, sf))[2]
+    """The trained tables: cells, calibration knots and diagnostics, one row each, told apart by ``part``."""
+    stats, knots, diag = T.train_edge(X.lineitem_bars(spark, sf), signals(spark, sf))
+    names = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).cast("double").alias("value")) for k in diag.columns])
+    sums = F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("value")) for k in ("n_w", "s1", "s2")])
+    cell = F.concat_ws(":", "level", *[F.coalesce(F.col(k).cast("string"), F.lit("*")) for k in ("regime", "setup", "bucket")])
+    parts = [
+        stats.select(F.lit("cell").alias("part"), cell.alias("key"), F.inline(sums)),
+        knots.select(F.lit("knot").alias("part"), F.col("x").cast("string").alias("key"), F.lit("y").alias("name"), F.col("y").alias("value")),
+        diag.select(F.lit("diagnostic").alias("part"), F.lit("").alias("key"), F.inline(names)),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def chain(spark, sf):
+    make = lambda: D.decisions(D.decision_events(decision_rows(spark, sf)))[0]
+    return stored(make, spark, X._name("decision_chain", sf))
+
+
+@query("decisions")
+def decisions(spark, sf):
+    """Every bar of every series through the whole chain on the real feature table, learning from its own trades."""
+    return chain(spark, sf)
+
+
+@query("decision_walk")
+def decision_walk(spark, sf):
+    """The chain on each series' last two fifths, from a book and a map trained on the first three."""
+    bars, rows = X.lineitem_bars(spark, sf), decision_rows(spark, sf)
+    cut = bars.groupBy("instrument").agg(F.floor(0.6 * (F.max("bar_index") + 1)).alias("_cut"))
+    before = lambda df: df.join(cut, "instrument").filter(F.col("bar_index") < F.col("_cut")).drop("_cut")
+    stats, knots, _ = T.train_edge(before(bars), before(T.candidates(rows)))
+    later = rows.join(cut, "instrument").filter(F.col("bar_index") >= F.col("_cut")).drop("_cut")
+    return D.decisions(D.decision_events(later), start=D.book_start(rows, stats, knots))[0]
+
+
+@query("rejected_decision")
+def rejected_decision(spark, sf):
+    """Hourly bars through the validator: accepted ones are decided on their features, rejected ones keep their place and their reason."""
+    raw = hourly(spark, sf)
+    checked = stored(lambda: B.bar_validate(raw), spark, X._name("hourly_checked", sf))
+    clean = B.clean_bars(raw, checked).drop("bar_index", "issues")
+    fatal = raw.join(checked.filter("fatal"), ["instrument", "bar_index"]).select("instrument", "ts", F.array_join(F.array_except("issues", F.array(F.lit("large_time_gap"))), "+").alias("kind"))
+    rows = T.decision_inputs(E.feature_table(index_bars(clean)))
+    return D.decisions(D.decision_events(rows, fatal))[0].select("instrument", "seq", "bar_index", "action", "position", "veto")
 
 
 WALK = f"""{SIGNALS}, ct AS (SELECT instrument, floor(0.6::DOUBLE * (max(bar_index) + 1)) AS cut FROM bars GROUP BY 1),

@@ -120,6 +120,22 @@ def stream_decisions(rows: DataFrame) -> DataFrame:
     return stream_fold(rows.select("instrument", "bar_index", *LEDGER_IN), kernel, schema)
 
 
+def stream_chain(events: DataFrame, rules: dict | None = None, learn: bool = True) -> DataFrame:
+    """The decision chain over a stream of accepted and rejected bars: book, calibration map and health level are the key's state,
+    so each batch decides with what the batches before it taught, also after a restart."""
+    from ..kernels import chain as N
+
+    step = N.chain(rules, learn)
+    cols = ["instrument", "seq", "bar_index", *N.OUT]
+
+    def kernel(state, pdf: pd.DataFrame):
+        nxt, got = step(state, pdf)
+        return nxt, pdf.assign(**got)[cols]
+
+    schema = "instrument string, seq long, bar_index long, " + ", ".join(f"{k} {t}" for k, t in N.OUT.items())
+    return stream_fold(events.select("instrument", *N.IN), kernel, schema, order="seq")
+
+
 class FeatureStream:
     """Bars to features by micro-batch: the batch operators on new bars plus a stored tail.
 

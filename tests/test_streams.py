@@ -17,7 +17,7 @@ from barspark.plans.decide import ledger_rows  # noqa: E402
 
 
 def test_stream_decisions_equal_batch(spark):
-    a = PS.stream_decisions(spark, SF).orderBy("instrument", "bar_index").toPandas()
+    a = PS.stream_ledger(spark, SF).orderBy("instrument", "bar_index").toPandas()
     b = D.position_ledger(ledger_rows(spark, SF)).orderBy("instrument", "bar_index").toPandas()
     assert (a["action"] == b["action"]).all() and (a["reason"].fillna("") == b["reason"].fillna("")).all()
     np.testing.assert_allclose(a["growth"], b["growth"], rtol=1e-12)
