@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.llm import ngram_join, packing, pii, quality
-from barspark.llm.common import small_batches, table, written
+from barspark.llm.common import table, written
 from barspark.llm.queries import public_tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,13 +18,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the trees both keep."""
-    small_batches(spark)
     return quality.quality_rules(docs, table(spark, sf_dir, "labels")).filter("kept").select(*COLUMNS)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8 or more: the one of least id."""
-    small_batches(spark)
     return ngram_join.one_of_each(docs, k=5, t=80).select(*COLUMNS)
 
 
@@ -34,7 +32,6 @@ def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return packing.pack(docs, public_tokenizer("word_bpe_49k.json"))
 
 
