@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, column, discard, mix, written
@@ -242,15 +242,10 @@ def _forest(sets: list[np.ndarray], nodes: np.ndarray, left: int, t: int) -> lis
     return edges
 
 
-def verified(groups: DataFrame, t: int) -> DataFrame:
-    """``groups`` (node, g, tokens) to links (a, b), a spanning forest per task's block or pair of blocks."""
-    sized = groups.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
-    own = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = groups.join(sized, "g", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", own).withColumn("p", F.explode(pair))
-    dealt = dealt.select("g", "p.i", "p.j", "own", "node", "tokens")
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "own", "node")
+def _pairs_checked(dealt: DataFrame, t: int) -> DataFrame:
+    """Links (a, b) inside each pair of blocks (g, i, j) of sets dealt to it, a spanning forest per pair."""
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("g", "i", "j", "own", "node", "tokens").repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j", "own", "node")
 
     def links(rows: list) -> list[tuple[int, int]]:
         flats, nodes, left = [r[1] for r in rows], np.array([r[0] for r in rows]), sum(r[2] for r in rows)
@@ -276,6 +271,44 @@ def verified(groups: DataFrame, t: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _block_of(n: Column | str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(n) if isinstance(n, str) else n).cast("int")
+
+
+def _between(i: Column, j: Column) -> Column:
+    return F.struct(F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+
+
+def verified(groups: DataFrame, t: int) -> DataFrame:
+    """``groups`` (node, g, tokens), a stored table, to stored links (a, b) with the components of all links.
+
+    First every block of a group meets itself and the group's first block. Sets of one component then need no further pair among
+    themselves, so only the sets outside a group's largest component meet all blocks: every set is copied twice, and once more for
+    each block of such outsiders, not once for each block of the group."""
+    sized = groups.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"))
+    sized = written(sized, "large-groups")
+    own = groups.join(sized, "g", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("own", _block_of("nb"))
+    with_first = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: _between(F.lit(0), j))
+    pairs = F.when(F.col("own") == 0, with_first).otherwise(F.array(_between(F.col("own"), F.col("own")), _between(F.lit(0), F.col("own"))))
+    first = written(_pairs_checked(own.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j"), t), "first-links")
+    if sized.isEmpty():
+        return first
+    found = components(first)
+    big = groups.select("node", "g").join(sized.select("g"), "g").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    counts = big.groupBy("g", "c").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("held"))
+    up = lambda c: F.ceil(c / BLOCK).cast("int")
+    mains = mains.filter(F.col("all") > F.col("held")).select("g", "main", up(F.col("all") - F.col("held")).alias("ns"), up(F.col("held")).alias("nm"))
+    places = written(big.select("node", "g", "c").join(mains, "g").select("node", "g", (F.col("c") != F.col("main")).alias("outside"), "ns", "nm"), "outsiders")
+    own = groups.join(places, ["g", "node"]).withColumn("own", F.when(F.col("outside"), _block_of("ns")).otherwise(F.col("ns") + _block_of("nm")))
+    every = F.when(F.col("outside"), F.col("ns") + F.col("nm")).otherwise(F.col("ns"))
+    pairs = F.transform(F.sequence(F.lit(0), every - 1), lambda j: _between(F.col("own"), j))
+    more = written(_pairs_checked(own.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j"), t), "more-links")
+    links = written(first.unionByName(more), "links")
+    discard(sized, first, found, places, more)
+    return links
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
     """doc_id, key (hash of the text), n_shingles, component_id, rid, first (rid of the component's first row); links at 100 * |x & y| >= t * |x | y|, t < 100."""
     prints = written(fingerprints(docs, k, t), "fingerprints")
@@ -307,7 +340,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
     wanted = written(coarse.join(nodes.select("node", "key"), "node").select("node", F.col("component").alias("g"), "key"), "wanted")
     groups = written(sets_of(docs, wanted, k, "node, g"), "groups")
     discard(coarse, wanted)
-    links = written(verified(groups, t), "links")
+    links = verified(groups, t)
     discard(groups)
     linked = components(links)
     discard(links)
@@ -330,9 +363,13 @@ def one_of_each(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
     The rows that stay are found again by their id and the hash of their text, both in the row itself, never by a row number."""
     found = jaccard_components(docs, k, t)
     row = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("key"))
-    best = found.filter("n_shingles > 0").groupBy("first").agg(F.min(row).alias("b"), F.min("doc_id").isNull().alias("none"))
-    best = written(best.select("b.id", "b.key", "none"), "kept")
+    best = found.filter("n_shingles > 0").groupBy("first").agg(F.min(row).alias("b"), F.min("doc_id").isNull().alias("none")).select("b.id", "b.key", "none")
+    alike = found.groupBy(row["id"].alias("id"), "key", F.col("doc_id").isNull().alias("none")).agg(F.count("*").alias("n"))
+    best = written(best.join(alike, ["id", "key", "none"]), "kept")
+    hint = F.broadcast if best.count() <= BROADCAST_KEYS else (lambda df: df)  # 25 bytes each
     own = [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("key"), F.col("doc_id").isNull().alias("none")]
     held = docs.select(F.struct(*docs.columns).alias("doc"), *own)
-    kept = held.join(best, ["id", "key", "none"], "left_semi").dropDuplicates(["id", "key", "none"]).select("doc.*")
+    single = held.join(hint(best.filter("n = 1")), ["id", "key", "none"], "left_semi")
+    several = held.join(hint(best.filter("n > 1")), ["id", "key", "none"], "left_semi").dropDuplicates(["id", "key", "none"])
+    kept = single.unionByName(several).select("doc.*")
     return kept.unionByName(docs.filter(F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*+$")))

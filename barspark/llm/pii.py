@@ -183,12 +183,13 @@ def personal_data(docs: DataFrame, support: int = 3, confidence: float = 0.5, ac
 
 
 def spans_of(docs: DataFrame, held: DataFrame, support: int = 3, confidence: float = 0.5, accept: float = 0.8, rounds: int | None = None) -> DataFrame:
-    """The same from stored ``mentions``."""
+    """The same from stored ``mentions``, with ``doc`` where they hold it. Found spans are stored before they are joined, so that
+    Spark knows their size: few are broadcast, and no text is shuffled."""
     new = discovered(docs, held, support, confidence, accept, rounds).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("found"))
     plain = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    out = held.select("row", "doc_id", plain.alias("base")).join(new, "row", "left")
+    out = held.withColumn("base", plain).join(written(new, "found"), "row", "left")
     spans = F.when(F.col("found").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "found")))
-    return out.select("row", "doc_id", "base", spans.alias("spans"))
+    return out.select("row", "doc_id", *[c for c in held.columns if c == "doc"], "base", spans.alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -198,9 +199,7 @@ def digest(spans: Column) -> Column:
 
 def masked(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each span's text replaced by its kind in angle brackets; overlapping spans become one."""
-    held = written(mentions(docs), "mentions")
-    spans = spans_of(docs, held, **options).filter(F.size("spans") > 0).select("row", "spans")
-    rows = held.select("row", "doc").join(spans, "row", "left")
+    rows = spans_of(docs, written(mentions(docs), "mentions"), **options).select("doc", "spans")
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     text = F.col("doc.text")
 
@@ -211,5 +210,5 @@ def masked(docs: DataFrame, **options) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     new = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    masked_text = F.when(F.col("spans").isNull(), text).otherwise(new)
+    masked_text = F.when(F.size("spans") == 0, text).otherwise(new)
     return rows.select(*(masked_text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown, chat, interplay, mixing, ngram_join, packing, pii, quality, subwords, topk, urls, whiten
-from .common import small_batches, table
+from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,14 +27,12 @@ def public_tokenizer(name: str) -> str:
 
 @query
 def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query
 def op2_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
     scored = brown.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
@@ -79,13 +77,11 @@ def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality_score")
@@ -93,13 +89,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return subwords.token_counts(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"))
 
 
 @query
 def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     best = subwords.n_best(table(spark, sf_dir, "documents"), public_tokenizer("piece_bpe_32k.model"), n=3, check=True)
     return best.select("doc_id", "rank", "cost", "n_pieces", F.crc32("ids").alias("ids_crc32"), "round_trip")
 
