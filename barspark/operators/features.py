@@ -8,6 +8,7 @@ sort for the first part and one shuffle for the second.
 
 from __future__ import annotations
 
+import json
 import math
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, safe_div
 from ..kernels import series as S
 from ..kernels import windows as K
+from ..session import checkpoint
 from .bars import bar_columns, htf_bars, session_tag
 from .rolling import ew_mean, ew_weight
 from .sequence import fold, own_rows, w_block, w_last, with_lookback
@@ -187,52 +189,132 @@ RANKED = (
 )
 
 
-def rank_columns(pdf: pd.DataFrame, ratio: str | None = None, w: int = 252, min_obs: int = 60) -> dict:
-    """Participation, impact, absorption and rank columns of one sorted block."""
+def rank_columns(pdf: pd.DataFrame, ratio: str | None = None, w: int = 252, min_obs: int = 60, before: dict | None = None, level: int = 0) -> dict:
+    """Participation, impact, absorption and rank columns of one sorted block.
+
+    Windows hold the last present values, however far back those lie: ``before`` has, per input series, the last ``w`` present
+    values in front of the block. A ``level`` above 0 gives the block's own last present values of the inputs that become exact
+    with the carries of the levels below: 1 what a row alone decides, 2 what needs windows over level 1, 3 ranked readings.
+    """
     import numpy as np
 
     f = {k: pdf[k].to_numpy(dtype=float) for k in ("ret", "sigma_bp", "dollar_volume", "volume", "delta", "_cs", "_ar", "_logf", "_comp", "_logss")}
+    before = {k: np.array(v, dtype=float) for k, v in (before or {}).items()}
+    none = np.zeros(0)
+
+    def on(fn, name: str, x: np.ndarray, *args) -> np.ndarray:
+        old = before.get(name, none)
+        return fn(np.concatenate([old, x]), *args)[old.size :]
+
+    def last(**series: np.ndarray) -> dict:
+        return {k: v[~np.isnan(v)][-w:].tolist() for k, v in series.items()}
+
     with np.errstate(all="ignore"):
         dv = f["dollar_volume"]
+        live = ~np.isnan(f["ret"]) & (f["sigma_bp"] > 0)
+        paid = live & (dv > 0)
+        amihud = np.where(paid, np.abs(f["ret"]) / dv, np.nan)
+        share = np.where(live & (f["volume"] > 0), f["delta"] / f["volume"], np.nan)
+        if level == 1:
+            return last(
+                dv=dv, amihud=np.log(amihud + 1e-300), share=np.abs(share), cs=f["_cs"], ar=f["_ar"], logf=f["_logf"], comp=f["_comp"], logss=f["_logss"], ret=f["ret"]
+            )
         if ratio is None:
-            med = K.quantile(dv, 60, 0.5, 5)
+            med = on(K.quantile, "dv", dv, 60, 0.5, 5)
             part = np.where(med > 0, dv / med, np.nan)
         else:
             part = pdf[ratio].to_numpy(dtype=float)
-        live = ~np.isnan(f["ret"]) & (f["sigma_bp"] > 0)
         d = np.where(live, f["ret"] / f["sigma_bp"], np.nan)
         pos = np.where(part > 0, part, np.nan)
         mag = np.abs(d) / np.sqrt(pos)
         absorb = pos / (np.abs(d) + 1e-6)
-        paid = live & (dv > 0)
-        amihud = np.where(paid, np.abs(f["ret"]) / dv, np.nan)
-        share = np.where(live & (f["volume"] > 0), f["delta"] / f["volume"], np.nan)
-        scale = K.mad(np.abs(share), 60)
-        vr_z, hurst = K.variance_ratio(f["ret"])
+        old = before.get("ret", none)
+        vr_z, hurst = (v[old.size :] for v in K.variance_ratio(np.concatenate([old, f["ret"]])))
+        if level == 2:
+            return last(pos=pos, mag=mag, absorb=np.log1p(absorb), z=vr_z, h=hurst)
+        # a reading holds until the next one, across blocks as well
+        vr_z, hurst = on(K.hold, "z", vr_z), on(K.hold, "h", hurst)
+        if level == 3:
+            return last(vr=vr_z)
+        scale = on(K.mad, "share", np.abs(share), 60)
         out = {
             "participation": part,
-            "participation_rank": K.rank(pos, w, min_obs),
+            "participation_rank": on(K.rank, "pos", pos, w, min_obs),
             "ladr": np.sign(f["ret"]) * mag,
-            "ladr_rank": K.rank(mag, w, min_obs),
+            "ladr_rank": on(K.rank, "mag", mag, w, min_obs),
             "absorption": absorb,
-            "absorption_rank": K.rank(np.log1p(absorb), w, min_obs),
+            "absorption_rank": on(K.rank, "absorb", np.log1p(absorb), w, min_obs),
             "amihud": amihud,
-            "amihud_rank": K.rank(np.log(amihud + 1e-300), w, min_obs),
+            "amihud_rank": on(K.rank, "amihud", np.log(amihud + 1e-300), w, min_obs),
             "kyle_lambda": np.where(paid, np.abs(f["ret"]) / np.sqrt(dv), np.nan),
             "delta_norm": np.where(scale > 1e-12, share / scale, share),
-            "spread": K.quantile(f["_cs"], 22, 0.5, 5),
-            "spread_ar": K.quantile(f["_ar"], 22, 0.5, 5),
-            "vol_rank": K.rank(f["_logf"], w, min_obs),
-            "compression": 1.0 - K.rank(f["_comp"], w, min_obs),
+            "spread": on(K.quantile, "cs", f["_cs"], 22, 0.5, 5),
+            "spread_ar": on(K.quantile, "ar", f["_ar"], 22, 0.5, 5),
+            "vol_rank": on(K.rank, "logf", f["_logf"], w, min_obs),
+            "compression": 1.0 - on(K.rank, "comp", f["_comp"], w, min_obs),
             "vr_z": vr_z,
             "hurst_implied": hurst,
-            "vr_rank": K.rank(vr_z, w, min_obs),
-            "ret_kurtosis": K.kurtosis(f["ret"], 126, 31),
-            "vol_of_vol": K.std(f["_logss"], 60, 10),
+            "vr_rank": on(K.rank, "vr", vr_z, w, min_obs),
+            "ret_kurtosis": on(K.kurtosis, "ret", f["ret"], 126, 31),
+            "vol_of_vol": on(K.std, "logss", f["_logss"], 60, 10),
         }
     return out
 
 
+LEVELS = 3
+
+
+def carried(x: DataFrame, ratio: str | None, w: int = 252) -> DataFrame:
+    """(instrument, blk, carries): the last ``w`` present values of every windowed series in front of each block, as JSON parts.
+
+    A block gives its own last values; a fold over the blocks' short lists puts them together. Three levels, since what is
+    ranked depends on medians of what came before. ``x`` is stored: own rows with ``blk``.
+    """
+    need = ["instrument", "blk", "bar_index", "ret", "sigma_bp", "dollar_volume", "volume", "delta", "_cs", "_ar", "_logf", "_comp", "_logss"] + ([ratio] if ratio else [])
+    rows, known = x.select(*need), None
+
+    def put_together(state, lists: pd.DataFrame):
+        have, out = dict(state or {}), []
+        for own in map(json.loads, lists["own"]):
+            out.append(json.dumps(have))
+            have = have | {k: (have.get(k, []) + v)[-w:] for k, v in own.items()}
+        return have, lists[["instrument"]].assign(no=lists["seq"], carry=out)
+
+    for level in range(1, LEVELS + 1):
+        own = _with_carries(rows, known, _own_last(ratio, w, level), "instrument string, no long, own string")
+        lists = own.select("instrument", "own", F.col("no").alias("seq"))
+        new = fold(lists, put_together, "instrument string, no long, carry string", order="seq", block=256)
+        new = new.select("instrument", F.col("no").alias("blk"), F.array("carry").alias("carries"))
+        if known is not None:
+            new = known.withColumnRenamed("carries", "old").join(new, ["instrument", "blk"]).select("instrument", "blk", F.concat("old", "carries").alias("carries"))
+        known = checkpoint(new)
+    return known
+
+
+def _own_last(ratio: str | None, w: int, level: int):
+    def run(group, pdf: pd.DataFrame, before: dict) -> pd.DataFrame:
+        own = rank_columns(pdf, ratio, w, before=before, level=level)
+        return pd.DataFrame({"instrument": [group[0]], "no": [group[1]], "own": [json.dumps(own)]})
+
+    return run
+
+
+def _with_carries(rows: DataFrame, carries: DataFrame | None, fn, schema: str) -> DataFrame:
+    """``fn(key, sorted block, carry)`` for each (instrument, blk); ``carries`` has the block's JSON parts."""
+    names = [k.split()[0] for k in schema.split(",")]
+
+    def run(group, pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame(columns=names)
+        before = {k: v for part in (given["carries"].iloc[0] if len(given) else ()) for k, v in json.loads(part).items()}
+        return fn(group, pdf.sort_values("bar_index", kind="stable").reset_index(drop=True), before)
+
+    by = rows.groupBy("instrument", "blk")
+    if carries is None:
+        return by.applyInPandas(lambda g, p: run(g, p, pd.DataFrame()), schema)
+    return by.cogroup(carries.groupBy("instrument", "blk")).applyInPandas(run, schema)
+
+
 BASE = (
     "open", "high", "low", "close", "volume", "delta", "ret", "dollar_volume", "clv", "sigma_bp", "sigma_rv",
     "sigma_rs", "sigma_gk", "sigma_ew", "sigma_short", "sigma_long", "sigma_fcst", "jump_share",
@@ -274,15 +356,17 @@ def block_features(bars: DataFrame, profile: str = "daily", lookback: int = LOOK
     need = ["_cs", "_ar", "_logf", "_comp", "_logss"] + ([ratio] if ratio else [])
     types = dict(x.dtypes)
     keep = ["instrument", "ts", "bar_index", *SESSION, *BASE]
-    x = x.select(*keep, *need, "halo", "blk")
+    x = x.filter("NOT halo").select(*keep, *need, "blk")
     schema = ", ".join(f"{k} {types[k]}" for k in keep) + "".join(f", {k} double" for k in RANKED)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_index", kind="stable").reset_index(drop=True)
-        out = pdf[keep].assign(**rank_columns(pdf, ratio))
-        return out[~pdf["halo"].to_numpy()]
+    def run(group, pdf: pd.DataFrame, before: dict) -> pd.DataFrame:
+        return pdf[keep].assign(**rank_columns(pdf, ratio, before=before))
 
-    return x.groupBy("instrument", "blk").applyInPandas(run, schema)
+    longest = bars.agg(F.max("bar_index")).first()[0]
+    if longest is None or longest < max(block, lookback):  # a block is a whole series: nothing lies in front of it
+        return _with_carries(x, None, run, schema)
+    x = checkpoint(x)
+    return _with_carries(x, carried(x, ratio), run, schema)
 
 
 # --------------------------------------------------------------------------- #

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,27 @@ def test_peer_returns_keep_every_peer(spark):
     sets = spark.createDataFrame([("i00", "i11"), ("i00", "i10"), ("i01", "i01")], "instrument string, peer string")
     got = {(r["instrument"], r["ts"]): r["peers"] for r in B.peer_returns(rets, sets).collect()}
     assert len(got) == 24 and got["i00", 1] == {"i10": 0.01 * 10, "i11": 0.01 * 11} and got["i01", 2] == {}
+
+
+def test_windows_over_present_values_cross_any_gap(spark):
+    """90 % of the bars have no volume: ranks and medians are those of one block, whatever the size of a block."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = 3500
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+    open_ = close * np.exp(rng.normal(0, 0.003, n))
+    volume = np.where(rng.random(n) < 0.1, rng.integers(1, 500, n), 0).astype(float)
+    volume[600:2400] = 0.0  # a gap longer than a block and its look-back
+    bars = pd.DataFrame(
+        {
+            "instrument": "X", "ts": pd.date_range("2000-01-01", periods=n), "bar_index": np.arange(n), "open": open_, "high": np.maximum(open_, close) * 1.004,
+            "low": np.minimum(open_, close) * 0.996, "close": close, "volume": volume, "trades": 1.0, "delta": np.where(volume > 0, volume * rng.uniform(-1, 1, n), 0.0),
+        }
+    )
+    table = spark.createDataFrame(bars)
+    frames = [E.block_features(table, lookback=look, block=block).toPandas().sort_values("bar_index").reset_index(drop=True) for look, block in ((1024, 1024), (1024, 4096))]
+    assert frames[1]["amihud_rank"].notna().sum() > 50 and frames[1]["delta_norm"].notna().sum() > 100
+    for c in frames[0].columns:
+        if frames[0][c].dtype.kind == "f":
+            np.testing.assert_allclose(frames[0][c], frames[1][c], rtol=1e-7, atol=1e-9, err_msg=c)
