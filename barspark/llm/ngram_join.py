@@ -36,6 +36,7 @@ from .components import components
 
 FREQUENT, MOST_FREQUENT, SMALL, BLOCK, BROADCAST_KEYS = 32, 1 << 20, 32, 256, 1 << 20
 ONE_CLASS_UP_TO, CLASSES = 600, 64
+WAVE = 4
 _U = np.uint64
 
 
@@ -303,9 +304,16 @@ def verified(groups: DataFrame, t: int) -> DataFrame:
     own = groups.join(places, ["g", "node"]).withColumn("own", F.when(F.col("outside"), _block_of("ns")).otherwise(F.col("ns") + _block_of("nm")))
     every = F.when(F.col("outside"), F.col("ns") + F.col("nm")).otherwise(F.col("ns"))
     pairs = F.transform(F.sequence(F.lit(0), every - 1), lambda j: _between(F.col("own"), j))
-    more = written(_pairs_checked(own.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j"), t), "more-links")
-    links = written(first.unionByName(more), "links")
-    discard(sized, first, found, places, more)
+    # a few blocks of outsiders at a time: a wave copies a set WAVE times at most, and its shuffle goes before the next one's
+    waves = [first]
+    for low in range(0, places.agg(F.coalesce(F.max("ns"), F.lit(0))).first()[0], WAVE):
+        now = F.filter(pairs, lambda p: (p["i"] >= low) & (p["i"] < low + WAVE))  # noqa: B023
+        waves.append(written(_pairs_checked(own.withColumn("p", F.explode(now)).select("*", "p.i", "p.j"), t), "more-links"))
+    links = waves[0]
+    for more in waves[1:]:
+        links = links.unionByName(more)
+    links = written(links, "links")
+    discard(sized, found, places, *waves)
     return links
 
 

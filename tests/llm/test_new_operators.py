@@ -208,3 +208,35 @@ def test_mix_of_nothing(nothing, store):
     assert mixing.taken(mixing.mix(nothing)).collect() == []
     blank = mixing.taken(mixing.mix(store([(1, None, None, 1, "s"), (2, " ", "a", 1, "s")], SCHEMA))).collect()
     assert sorted(tuple(r) for r in blank) == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+
+
+def test_large_groups_are_verified_whole(store, monkeypatch):
+    """One coarse group of near copies and unrelated sets: every link between blocks, outsiders and waves is found, none is made up."""
+    from barspark.llm import ngram_join
+    from tests.llm import brute
+
+    for name, value in (("BLOCK", 8), ("WAVE", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(6)
+    sets = {}
+    for family in range(9):
+        base = [family * 10000 + j for j in range(60)]
+        for _ in range(rng.choice([1, 2, 30])):
+            sets[len(sets)] = sorted(set(base) - set(rng.sample(base, rng.randint(0, 4))) | {rng.randrange(1 << 40) for _ in range(rng.randint(0, 3))})
+    groups = store([(node, 0, tokens) for node, tokens in sets.items()], "node long, g long, tokens array<long>")
+    links = [tuple(r) for r in ngram_join.verified(groups, 90).collect()]
+    for a, b in links:
+        shared = len(set(sets[a]) & set(sets[b]))
+        assert 100 * shared >= 90 * (len(sets[a]) + len(sets[b]) - shared)
+    want = brute.link_components({n: set(s) for n, s in sets.items()}, 90)
+    parent = {n: n for n in sets}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert {n: root(n) for n in sets} == want
