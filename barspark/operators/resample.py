@@ -177,6 +177,7 @@ def garch_fit(s: DataFrame) -> DataFrame:
     v = d.groupBy("instrument").agg(F.avg(F.col("_e") ** 2).alias("_v"))
     d = d.join(v, "instrument").select("instrument", "t", "_e", "_v", "mu")
 
+    # The parameter grids of the search.
     def coarse(r):
         a, b = (g.ravel() for g in np.meshgrid(np.linspace(0.005, 0.4, 24), np.linspace(0.3, 0.99, 36), indexing="ij"))
         return r["_v"] * (1.0 - a - b), a, b

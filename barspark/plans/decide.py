@@ -565,9 +565,14 @@ def classify_setup(spark, sf):
     return inputs(spark, sf).join(w, KEYS).select(*KEYS, S.classify_setup().alias("setup"))
 
 
+#: The hashed scores are nearly independent of each other and weak, so their pooled breadth stays below the gate's usual 1.25: the
+#: ledger's queries run a gate of lower thresholds, with all its conditions.
+LEDGER_GATE = {"p_min": 0.5, "ebe_min": 0.25, "lcb_min": 0.0}
+
+
 def ledger_rows(spark, sf):
     """Per-bar signals with the gate's whole verdict, the modelled cost and the size of the cell, as they are."""
-    return gated(spark, sf).select(
+    return gated(spark, sf).withColumn("veto", D.gate(**LEDGER_GATE)).select(
         *KEYS, "open", "high", "low", "close", "direction", "p_success", "ebe", (F.size("veto") == 0).alias("gate_ok"), "stop_sigma", "target_sigma",
         F.col("sigma_fcst").alias("sigma"), "max_holding", "cost_sigma", "risk_raw",
         (~F.col("phase").isin(1, 7, 8)).alias("tradeable"), F.concat_ws(":", "dominant", F.lit(0), F.lit(0)).alias("cell"),
