@@ -8,7 +8,8 @@ hash classes of frequent tokens (a class of c tokens takes c - 1 errors to break
 tokens. Sets of t * 600 to 600 tokens take part in both forms, so any two sets within the threshold's size ratio meet in one.
 
 Signatures only propose. Proposals of small buckets are counted per pair and must reach the overlap that the rest of the
-two sets cannot make up; buckets over ``SMALL`` members are tied as stars. The groups that result are verified whole, all
+two sets cannot make up; then their bitmaps (a bit per token's hash, two to four bits a token) must not differ in more places than
+linked sets may have tokens of their own. Buckets over ``SMALL`` members are tied as stars. The groups that result are verified whole, all
 against all, in blocks of ``BLOCK`` sets per task; a task returns a spanning forest of the links that it found, never pairs
 of a group. Equal sets are merged before all this and copies never meet. Sets are stored nowhere: texts of proposed groups
 are shingled again.
@@ -34,9 +35,10 @@ from pyspark.sql import functions as F
 from .common import Words, blocks, column, discard, mix, written
 from .components import components
 
-FREQUENT, MOST_FREQUENT, SMALL, BLOCK, BROADCAST_KEYS = 32, 1 << 20, 32, 256, 1 << 20
+FREQUENT, MOST_FREQUENT, SMALL, BLOCK, BROADCAST_KEYS = 32, 1 << 20, 64, 256, 1 << 20
 ONE_CLASS_UP_TO, CLASSES = 600, 64
 WAVE = 4
+SIGNED = "node long, size long, key long, bits binary, rest long, sigs array<long>"
 _U = np.uint64
 
 
@@ -71,8 +73,30 @@ def _ravel(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Bits at the hashes of a set's tokens; a power of two of bits, twice the set's size at least."""
+    m = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(m, bool)
+    bits[(tokens.view(_U) & _U(m - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, size_x: int, size_y: int, t: int) -> bool:
+    """False where the bitmaps prove that the sets do not link: a bit of one alone is a token, or more, of that one alone."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    m, n = 8 * len(x), 8 * len(y)
+    while m > n:
+        m //= 2
+        a = (a >> m) | (a & ((1 << m) - 1))
+    while n > m:
+        n //= 2
+        b = (b >> n) | (b & ((1 << n) - 1))
+    overlap = -(-t * (size_x + size_y) // (100 + t))
+    return (a & ~b).bit_count() <= size_x - overlap and (b & ~a).bit_count() <= size_y - overlap
+
+
 def fingerprints(docs: DataFrame, k: int, t: int) -> DataFrame:
-    """rid, doc_id, key (hash of the text), size, fp1, fp2, head: the first tokens in hash order, some more than the errors allow."""
+    """rid, doc_id, key (hash of the text), size, fp1, fp2, bits (bitmap), head: the first tokens in hash order, some more than the errors allow."""
     least = -(-t // (100 - t))  # smaller sets can only equal a partner
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,11 +109,12 @@ def fingerprints(docs: DataFrame, k: int, t: int) -> DataFrame:
                 need = errors(size, t) + 1
                 take = np.where(size < least, 0, need + need // 8 + 8)
                 head = _lists([s[:m] for s, m in zip(sets, take.tolist(), strict=True)])
-                cols = [*(column(b, c).slice(lo, hi - lo) for c in ("rid", "doc_id", "key")), pa.array(size), pa.array(fp1), pa.array(fp2), head]
-                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "key", "size", "fp1", "fp2", "head"])
+                bits = pa.array([bitmap(s) if m else b"" for s, m in zip(sets, take.tolist(), strict=True)], pa.binary())
+                cols = [*(column(b, c).slice(lo, hi - lo) for c in ("rid", "doc_id", "key")), pa.array(size), pa.array(fp1), pa.array(fp2), bits, head]
+                yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "key", "size", "fp1", "fp2", "bits", "head"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(run, "rid long, doc_id long, key long, size long, fp1 long, fp2 long, head array<long>")
+    return rows.mapInArrow(run, "rid long, doc_id long, key long, size long, fp1 long, fp2 long, bits binary, head array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int, cols: str) -> DataFrame:
@@ -127,7 +152,7 @@ def _contained(values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 def single_signatures(nodes: DataFrame, hot: np.ndarray, t: int) -> DataFrame:
-    """node, size, key, rest (tokens behind the prefix), sigs; sigs is null where the head has too few rare tokens."""
+    """node, size, key, bits, rest (tokens behind the prefix), sigs; sigs is empty where the head has too few rare tokens."""
     spread = nodes.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,18 +165,18 @@ def single_signatures(nodes: DataFrame, hot: np.ndarray, t: int) -> DataFrame:
             for i, m in enumerate(need.tolist()):
                 own = flat[at[i] : at[i + 1]][rare[at[i] : at[i + 1]]]
                 sigs.append(own[:m] if len(own) >= m else np.zeros(0, np.int64))
-            cols = [column(b, "node"), pa.array(size), column(b, "key"), pa.array(size - need), _lists(sigs)]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "size", "key", "rest", "sigs"])
+            cols = [column(b, "node"), pa.array(size), column(b, "key"), column(b, "bits"), pa.array(size - need), _lists(sigs)]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "size", "key", "bits", "rest", "sigs"])
 
-    return nodes.select("node", "size", "key", "head").mapInArrow(run, "node long, size long, key long, rest long, sigs array<long>")
+    return nodes.select("node", "size", "key", "bits", "head").mapInArrow(run, SIGNED)
 
 
-def combination_signatures(tokens: np.ndarray, hot: np.ndarray, t: int) -> np.ndarray:
-    """Signatures of a set with many frequent tokens: its rare ones, then pairs of frequent ones."""
+def combination_signatures(tokens: np.ndarray, hot: np.ndarray, t: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set whose head has few rare tokens, and the tokens that may lie behind them: its rare ones, then pairs of frequent ones."""
     need = int(errors(len(tokens), t)) + 1
     rare, often = tokens[~hot], tokens[hot]
     if len(rare) >= need:
-        return rare[:need]
+        return rare[:need], len(tokens) - need
     rest, out = need - len(rare), [rare]
     for classes in (1,) * (len(tokens) <= ONE_CLASS_UP_TO) + (CLASSES,) * (100 * len(tokens) >= t * ONE_CLASS_UP_TO):
         kind = (often.view(_U) >> _U(7)) % _U(classes)
@@ -163,7 +188,7 @@ def combination_signatures(tokens: np.ndarray, hot: np.ndarray, t: int) -> np.nd
             own = often[:used][kind[:used] == c].view(_U)
             i, j = np.triu_indices(len(own), 1)
             out.append(mix(own[i] * _U(0x9E3779B97F4A7C15) + own[j] + _U(classes)).view(np.int64))
-    return np.concatenate(out)
+    return np.concatenate(out), len(tokens)
 
 
 def paired_signatures(sets: DataFrame, hot: np.ndarray, t: int) -> DataFrame:
@@ -173,11 +198,26 @@ def paired_signatures(sets: DataFrame, hot: np.ndarray, t: int) -> DataFrame:
         for b in batches:
             flat, at = _ravel(column(b, "tokens"))
             often = _contained(flat, spread.value)
-            sigs = [combination_signatures(flat[at[i] : at[i + 1]], often[at[i] : at[i + 1]], t) for i in range(b.num_rows)]
-            size = np.diff(at)
-            yield pa.RecordBatch.from_arrays([column(b, "node"), pa.array(size), column(b, "key"), pa.array(size), _lists(sigs)], ["node", "size", "key", "rest", "sigs"])
+            own = [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            made = [combination_signatures(s, often[x : x + len(s)], t) for s, x in zip(own, at.tolist(), strict=False)]
+            bits, rest = pa.array([bitmap(s) for s in own], pa.binary()), pa.array([m[1] for m in made], pa.int64())
+            cols = [column(b, "node"), pa.array(np.diff(at)), column(b, "key"), bits, rest, _lists([m[0] for m in made])]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "size", "key", "bits", "rest", "sigs"])
+
+    return sets.mapInArrow(run, SIGNED)
+
+
+def _alike(pairs: DataFrame, signed: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose bitmaps leave room for a link."""
+    side = lambda c: signed.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n, m = (column(b, c).to_pylist() for c in ("bits_a", "bits_b", "size_a", "size_b"))
+            keep = pa.array([may_link(*p, t) for p in zip(x, y, n, m, strict=True)], pa.bool_())
+            yield b.select(["a", "b"]).filter(keep)
 
-    return sets.mapInArrow(run, "node long, size long, key long, rest long, sigs array<long>")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
 def proposals(signed: DataFrame, t: int) -> DataFrame:
@@ -198,6 +238,7 @@ def proposals(signed: DataFrame, t: int) -> DataFrame:
     # overlap wanted: 100 o >= t (sx + sy - o); what the prefixes do not share must lie behind one of them
     wanted = F.ceil(F.lit(t) * (F.col("x.size") + F.col("y.size")) / F.lit(100.0 + t) - 1e-6)
     near = p.filter(F.col("shared") + F.greatest("x.rest", "y.rest") >= wanted).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    near = _alike(near, signed, t)
     # large buckets: stars among sets of like size (a pair within the size ratio shares one of its two bands)
     band = F.floor(F.log("size") / float(-np.log(t / 100) * 1.001)).cast("long")
     large = met.filter(F.col("n") > SMALL).select("sig", "node", F.explode(F.array(band, band + 1)).alias("band"))
@@ -325,8 +366,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
     nodes = written(nodes.select("fp1", "fp2", F.col("m.rid").alias("node"), F.col("m.key").alias("key"), "doc"), "sets")
     ids, few = nodes.select(F.col("node").alias("rid")), nodes.count() <= BROADCAST_KEYS
     some = prints.filter(F.size("head") > 0).join(F.broadcast(ids) if few else ids, "rid", "left_semi")
-    some = written(some.select(F.col("rid").alias("node"), "size", "key", "head"), "heads")
-    rows = written(prints.drop("head"), "rows")
+    some = written(some.select(F.col("rid").alias("node"), "size", "key", "bits", "head"), "heads")
+    rows = written(prints.drop("head", "bits"), "rows")
     discard(prints)
     need = (F.col("size") - F.floor((t * F.col("size") + 99) / 100) + 1).cast("int")
     hot, least_df = frequent_tokens(some.select(F.explode(F.slice("head", 1, need)).alias("token")))

@@ -312,7 +312,7 @@ def test_signatures_meet_for_every_pair_within_the_threshold():
             y = np.union1d(np.delete(x, rng.choice(size, lost, replace=False)), rng.choice(hot, lost, replace=False))
             if 100 * len(np.intersect1d(x, y)) >= t * len(np.union1d(x, y)):
                 frequent = np.sort(rng.choice(hot, size, replace=False))
-                a, b = (set(ngram_join.combination_signatures(s, np.isin(s, frequent), t).tolist()) for s in (x, y))
+                a, b = (set(ngram_join.combination_signatures(s, np.isin(s, frequent), t)[0].tolist()) for s in (x, y))
                 assert a & b
 
 
@@ -507,3 +507,23 @@ def test_rows_keep_their_identity_when_the_cluster_changes(spark, many_files, mo
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_bitmaps_refuse_no_link_and_most_strangers():
+    rng = np.random.default_rng(7)
+    refused = 0
+    for case in range(400):
+        t = int(rng.choice([80, 90, 95]))
+        size = int(rng.choice([12, 64, 300, 1024, 1025, 5000]))
+        pool = np.unique(rng.integers(-(2**63), 2**63 - 1, size * 2))
+        rng.shuffle(pool)
+        lost = int(rng.integers(0, size // 4 + 1)) if case % 2 else size
+        x, y = pool[:size], np.concatenate([pool[lost:size], pool[size : size + int(rng.integers(0, max(lost, 1) + 1))]])
+        if not len(y):
+            continue
+        linked = 100 * len(np.intersect1d(x, y)) >= t * len(np.union1d(x, y))
+        passed = ngram_join.may_link(ngram_join.bitmap(np.sort(x)), ngram_join.bitmap(np.sort(y)), len(x), len(y), t)
+        assert passed == ngram_join.may_link(ngram_join.bitmap(y), ngram_join.bitmap(x), len(y), len(x), t)
+        assert passed or not linked
+        refused += not passed and lost == size
+    assert refused > 150
