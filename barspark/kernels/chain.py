@@ -179,11 +179,11 @@ def chain(rules: dict | None = None, learn: bool = True, equity: float = 1.0):
             trade: dict = {}
             if op is not None:
                 side = op["d"]
-                if op["px"] is None:
+                if op["px"] is None and o > 0:  # no fill and no exit at a price of zero
                     op["px"] = o
-                stop, target = (op["px"] * math.exp(side * k * op["sg"]) for k in (-op["ss"], op["ts"]))
+                stop, target = (op["px"] * math.exp(side * k * op["sg"]) for k in (-op["ss"], op["ts"])) if op["px"] else (math.nan, math.nan)
                 if (lo <= stop) if side > 0 else (h >= stop):
-                    gap = (o < stop) if side > 0 else (o > stop)
+                    gap = (0 < o < stop) if side > 0 else (o > stop)
                     trade = booked(o if gap else stop, -1, "stop (gapped through)" if gap else "stop")
                 elif (h >= target) if side > 0 else (lo <= target):
                     trade = booked(target, 1, "target")
@@ -201,7 +201,7 @@ def chain(rules: dict | None = None, learn: bool = True, equity: float = 1.0):
                     why = "reversal"
                 elif phase in CLOSED_PHASES:
                     why = "session closing"
-                if why:
+                if why and op["px"] and cl > 0:
                     action = EXIT[op["d"]]
                     trade = booked(cl, 0, why)
                     emit(action=action, position=0, veto=why, equity=wealth, **told, **trade)

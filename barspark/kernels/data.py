@@ -34,7 +34,7 @@ def validate(max_abs_return: float = 0.75, split_tol: float = 0.02, gap_multiple
                     if dt_run is not None and gap > gap_multiple * dt_run:
                         issues.append("large_time_gap")
                     dt_run = gap if dt_run is None else (dt_run + gap) / 2
-                    if last_close > 0 and abs(math.log(c / last_close)) > max_abs_return:
+                    if last_close > 0 and (c <= 0 or abs(math.log(c / last_close)) > max_abs_return):
                         near = any(abs(c / last_close * d / n - 1) < split_tol for n, d in SPLIT_RATIOS)
                         fatal = "probable_split" if near else "extreme_return"
             if fatal is None:

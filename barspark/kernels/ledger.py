@@ -57,12 +57,11 @@ def ledger(rules: dict | None = None):
             growth, done, action, size = 1.0, None, "NO TRADE", None
             if op is not None:
                 side = op["d"]
-                if op["px"] is None:
+                if op["px"] is None and o > 0:  # no fill and no exit at a price of zero
                     op["px"] = o
-                stop = op["px"] * math.exp(-side * op["ss"] * op["sg"])
-                target = op["px"] * math.exp(side * op["ts"] * op["sg"])
+                stop, target = (op["px"] * math.exp(side * k * op["sg"]) for k in (-op["ss"], op["ts"])) if op["px"] else (math.nan, math.nan)
                 if (lo <= stop) if side > 0 else (h >= stop):
-                    gap = (o < stop) if side > 0 else (o > stop)
+                    gap = (0 < o < stop) if side > 0 else (o > stop)
                     done = (o if gap else stop, -1, "stop (gapped through)" if gap else "stop")
                 elif (h >= target) if side > 0 else (lo <= target):
                     done = (target, 1, "target")
@@ -74,6 +73,7 @@ def ledger(rules: dict | None = None):
                         done = (cl, 0, "reversal")
                     elif not live:
                         done = (cl, 0, "session closing")
+                    done = done if op["px"] and cl > 0 else None
                     if done:
                         action = EXIT[side]
             trade = None

@@ -21,10 +21,11 @@ def kalman(q_level: float = 0.02, q_slope: float = 0.002):
     def step(state, rows: pd.DataFrame):
         s = state or {"n": 0, "x": [0.0, 0.0], "p": [0.0, 0.0, 0.0]}
         n, (lv, sl), (p0, p1, p2) = s["n"], s["x"], s["p"]
-        price = np.log(rows["close"].to_numpy(dtype=float)).tolist()
+        with np.errstate(divide="ignore", invalid="ignore"):  # a price of zero has no log
+            price = np.log(rows["close"].to_numpy(dtype=float)).tolist()
         out = np.full((3, len(rows)), NAN)
         for i, (y, sg) in enumerate(zip(price, rows["sigma_bp"].to_numpy(dtype=float).tolist())):
-            if y == y and sg > 0:
+            if y > -math.inf and sg > 0:
                 r = sg * sg
                 if n == 0:
                     lv, sl, p0, p1, p2, n = y, 0.0, 100.0 * r, 0.0, r, 1
@@ -70,7 +71,8 @@ def pivots(mult: float = 1.5, min_bars: int = 3):
                 if cand is None or (edge >= cand[0] if up else edge <= cand[0]):
                     cand = [edge, t, sg]
                 else:
-                    back = math.log(cand[0] / other) if up else math.log(other / cand[0])
+                    top, bot = (cand[0], other) if up else (other, cand[0])
+                    back = math.log(top / bot) if bot > 0 else 0.0  # no distance to a price of zero
                     if back >= mult * cand[2] and t - cand[1] >= min_bars:
                         kind = "high" if up else "low"
                         last[kind] = [*last[kind][-1:], [cand[0], t]]
@@ -114,7 +116,7 @@ def sweeps(max_bars: int = 6, min_pen: float = 0.25, heavy: float = 0.75, absorb
                 (low_hit if side > 0 else high_hit)[i] = 1.0
             if sg > 0 and part >= heavy:
                 for side, lv, pierced in ((1, pl, lo < pl), (-1, ph, h > ph)):
-                    if pierced:
+                    if pierced and min(lo if side > 0 else h, lv) > 0:
                         pen = (math.log(lv / lo) if side > 0 else math.log(h / lv)) / sg
                         if pen >= min_pen and (clv * side > 0 or absorb >= absorbed):
                             open_.append([side, lv, t, pen])

@@ -56,8 +56,8 @@ def structure_bias(bars: DataFrame, piv: DataFrame) -> DataFrame:
 def penetrations(f: DataFrame, min_pen: float = 0.25, heavy: float = 0.75, absorbed: float = 0.6) -> DataFrame:
     """Heavy bars that pierce a confirmed level by ``min_pen`` sigma and give back."""
     soak = F.coalesce(c("absorption_rank") >= absorbed, F.lit(False))
-    low = (c("low") < c("pivot_low")) & (F.log(c("pivot_low") / c("low")) / c("sigma_bp") >= min_pen) & ((c("clv") > 0) | soak)
-    high = (c("high") > c("pivot_high")) & (F.log(c("high") / c("pivot_high")) / c("sigma_bp") >= min_pen) & ((c("clv") < 0) | soak)
+    low = (c("low") > 0) & (c("low") < c("pivot_low")) & (F.log(c("pivot_low") / c("low")) / c("sigma_bp") >= min_pen) & ((c("clv") > 0) | soak)
+    high = (c("pivot_high") > 0) & (c("high") > c("pivot_high")) & (F.log(c("high") / c("pivot_high")) / c("sigma_bp") >= min_pen) & ((c("clv") < 0) | soak)
     item = lambda side, lv, pen: F.struct(F.lit(side).alias("side"), lv.alias("level"), pen.alias("pen"))
     hits = F.array_compact(
         F.array(

@@ -276,3 +276,17 @@ def test_learning_stream_equals_batch_over_ten_batches_and_a_restart(spark, chai
     run(range(10))
     got = spark.read.parquet(out).orderBy("instrument", "seq").toPandas()
     pd.testing.assert_frame_equal(got, whole, check_dtype=False)
+
+
+def test_no_fill_and_no_exit_at_a_price_of_zero(monkeypatch):
+    from barspark.kernels import ledger as K
+
+    n = 6
+    rows = pd.DataFrame({
+        "instrument": "X", "bar_index": range(n), "open": [10.0, 0.0, 10.0, 0.0, 10.0, 10.0], "high": 10.2, "low": [9.9, 0.0, 9.9, 0.0, 9.9, 9.9], "close": [10.0, 0.0, 10.0, 0.0, 10.0, 10.0],
+        "direction": 1, "p_success": 0.6, "ebe": 2.0, "gate_ok": [True] + [False] * (n - 1), "stop_sigma": 2.0, "target_sigma": 9.0, "sigma": 0.05, "max_holding": 30, "cost_sigma": 0.1,
+        "risk_raw": 0.01, "tradeable": True, "cell": "0:0:0",
+    })
+    out = pd.DataFrame(K.ledger()(None, rows)[1])
+    closed = out[out["entry_price"].notna()]
+    assert closed["entry_price"].tolist() == [10.0] and closed["exit_price"].tolist() == [pytest.approx(10 * math.exp(-0.1))] and closed["reason"].tolist() == ["stop"]

@@ -148,3 +148,21 @@ def test_windows_over_present_values_cross_any_gap(spark):
     for c in frames[0].columns:
         if frames[0][c].dtype.kind == "f":
             np.testing.assert_allclose(frames[0][c], frames[1][c], rtol=1e-7, atol=1e-9, err_msg=c)
+
+
+def test_prices_of_zero_are_missing_values(spark, bars):
+    from barspark.kernels.data import validate
+    from barspark.operators.bars import returns
+
+    i = F.col("bar_index")
+    one = bars.filter("instrument = 'AF'")
+    odd = one.withColumns({"low": F.when(i.isin(200, 300), 0.0).otherwise(F.col("low")), "open": F.when(i == 300, 0.0).otherwise(F.col("open")), "close": F.when(i == 300, 0.0).otherwise(F.col("close"))})
+    f = E.feature_table(odd).orderBy("bar_index").toPandas()
+    assert len(f) == one.count() > 320
+    assert math.isnan(f["range_over_sigma"][200]) and math.isnan(f["ret"][301])
+    assert f.iloc[-1][["sigma_fcst", "kalman_slope_t", "pivot_high", "pivot_low"]].notna().all() and (f["pivot_low"].dropna() > 0).all()
+    level = spark.createDataFrame([("X", 1, 0.0, 6.0, 5.0, 7.0, 0.01, 1.0, 1.0, 0.9)], "instrument string, bar_index long, low double, high double, pivot_low double, pivot_high double, sigma_bp double, clv double, absorption_rank double, participation_rank double")
+    assert ST.penetrations(level).count() == 0
+    assert returns(odd).filter("bar_index IN (300, 301) AND ret IS NOT NULL").count() == 0
+    rows = pd.DataFrame({"instrument": "X", "bar_index": [0, 1], "partial": False, "open": 5.0, "high": 5.0, "low": [5.0, 0.0], "close": [5.0, 0.0], "volume": 1.0, "sec": [0.0, 60.0]})
+    assert validate()(None, rows)[1]["issues"].tolist()[1] == ["extreme_return"]
