@@ -114,9 +114,9 @@ def demotion_effect(level: Column, max_posterior: Column) -> tuple[Column, Colum
     return throttle, block
 
 
-def health(outcomes: DataFrame, psi_rows: DataFrame | None = None, slip: DataFrame | None = None, ebe_full: float | None = None, keep: int = 2000) -> DataFrame:
-    """One health row per instrument from its last outcomes (pos, p, y)."""
-    d = brier_decomposition(last_n(outcomes, keep, "pos"), 15, ("instrument",))
+def health(outcomes: DataFrame, psi_rows: DataFrame | None = None, slip: DataFrame | None = None, ebe_full: float | None = None, keep: int | None = None) -> DataFrame:
+    """One health row per instrument from its outcomes (pos, p, y), all or the last ``keep``."""
+    d = brier_decomposition(outcomes if keep is None else last_n(outcomes, keep, "pos"), 15, ("instrument",))
     x = d.select("instrument", "n", "brier", "ece", "skill")
     x = x.join(psi_rows, "instrument", "left") if psi_rows is not None else x.withColumns(
         {"psi_max": F.lit(None).cast("double"), "worst_feature": F.lit(None).cast("string")}

@@ -265,3 +265,23 @@ def test_candidates_on_one_bar_have_one_order(spark):
         streaks.append([tuple(r) for r in loss_streak(t).collect()])
     assert numbers[0] == numbers[1] and [k for k, _ in sorted(numbers[0].items(), key=lambda x: x[1])] == sorted(numbers[0], key=lambda c: [int(x) for x in c[2:].split(":")])
     assert streaks[0] == streaks[1]
+
+
+def test_health_reads_every_outcome(spark):
+    from barspark.operators import drift as DR
+
+    o = spark.range(2500).select(F.lit("X").alias("instrument"), F.col("id").alias("pos"), F.lit(0.5).alias("p"), (F.col("id") < 500).cast("double").alias("y"))
+    whole, last = DR.health(o).first(), DR.health(o, keep=2000).first()
+    assert whole["n"] == 2500 and whole["ece"] == pytest.approx(0.3)
+    assert last["n"] == 2000 and last["ece"] == pytest.approx(0.5)
+
+
+def test_trade_net_has_every_bar(spark, bars):
+    from barspark.plans.decide import sized, trade_net
+
+    net = trade_net(spark, SF).toPandas().set_index(["instrument", "bar_index"])["net_sigma"]
+    assert net.index.is_unique and len(net) == bars.count() and net.notna().any()
+    open_ = sized(spark, SF).filter("stop_sigma IS NOT NULL AND cost_sigma < double('inf')").select("instrument", "bar_index").toPandas()
+    last = bars.groupBy("instrument").agg(F.max("bar_index").alias("last")).toPandas()
+    filled = open_.merge(last, on="instrument").query("bar_index < last").set_index(["instrument", "bar_index"]).index
+    assert set(net[net.notna()].index) == set(filled)
