@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import sql_uniform
 from ..operators import decide as D
+from ..operators import label as L
 from ..operators import pool as P
 from ..operators import scores as S
 from ..operators.features import REGIME_OUT, as_fold, nan_to_null
 from ..kernels import series as K
 from ..session import stored
 from ..sources import fixtures as X
-from .edge import LABELS, labels
+from .edge import tb_sql
 from .features import CHAIN, PART, features
 from .metrics import rr
 from .registry import query
@@ -588,9 +589,20 @@ def position_ledger(spark, sf):
     return D.position_ledger(ledger_rows(spark, sf))
 
 
-@query("trade_net", f"{LABELS} SELECT candidate_id, round(ret_sigma - cost_sigma, 6) AS net_sigma FROM lab")
+@query(
+    "trade_net",
+    f"""{SIZE}, pn AS (SELECT instrument, instrument || ':' || bar_index AS candidate_id, bar_index, CAST(direction AS BIGINT) AS direction, sigma_fcst AS sigma, stop_sigma AS ss_, target_sigma AS ts_, max_holding AS hold, cost_sigma
+    FROM sz WHERE stop_sigma IS NOT NULL), {tb_sql('pn')}
+    SELECT sz.instrument, sz.bar_index, round(CASE WHEN sz.cost_sigma < 'infinity'::DOUBLE THEN ret_sigma - sz.cost_sigma END, 6) AS net_sigma FROM sz LEFT JOIN lab ON lab.instrument = sz.instrument AND lab.bar_index = sz.bar_index""",
+)
 def trade_net(spark, sf):
-    return rr(D.trade_net(labels(spark, sf)), 6, ["candidate_id"], "net_sigma")
+    """Every bar: what its planned trade returned, net of the modelled cost; without a plan, a fill or a finite cost there is none."""
+    plan = sized(spark, sf).filter("stop_sigma IS NOT NULL").select(
+        "instrument", F.concat_ws(":", *KEYS).alias("candidate_id"), "bar_index", F.col("direction").cast("long").alias("direction"), F.col("sigma_fcst").alias("sigma"),
+        "stop_sigma", "target_sigma", "max_holding", "cost_sigma",
+    )
+    net = D.trade_net(L.triple_barrier(X.lineitem_bars(spark, sf), plan)).filter(F.col("cost_sigma") < float("inf"))
+    return inputs(spark, sf).select(*KEYS).join(net.select(*KEYS, F.round("net_sigma", 6).alias("net_sigma")), KEYS, "left")
 
 
 @query("trades")
