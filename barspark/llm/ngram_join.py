@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, column, discard, mix, written
@@ -241,10 +241,16 @@ def proposals(signed: DataFrame, t: int) -> DataFrame:
     near = _alike(near, signed, t)
     # large buckets: stars among sets of like size (a pair within the size ratio shares one of its two bands)
     band = F.floor(F.log("size") / float(-np.log(t / 100) * 1.001)).cast("long")
-    large = met.filter(F.col("n") > SMALL).select("sig", "node", F.explode(F.array(band, band + 1)).alias("band"))
-    heads = large.groupBy("sig", "band").agg(F.min("node").alias("b"))
-    stars = large.join(heads, ["sig", "band"]).filter("node <> b").select(F.col("node").alias("a"), "b")
-    return near.unionByName(stars).distinct()
+    large = met.filter(F.col("n") > SMALL).select("sig", "node", band.alias("band"))
+    # a band's hub is the least of its own sets and of those of the band below; a set's hubs meet before they become edges
+    by_band = Window.partitionBy("sig").orderBy("band")
+    beside = lambda step, at: F.when(at("band", 1).over(by_band) == F.col("band") + step, at("low", 1).over(by_band))
+    hubs = large.groupBy("sig", "band").agg(F.min("node").alias("low")).select(
+        "sig", "band", F.least("low", beside(-1, F.lag)).alias("own"), F.least("low", beside(1, F.lead)).alias("next")
+    )
+    stars = large.join(hubs, ["sig", "band"]).groupBy("node").agg(F.flatten(F.collect_set(F.array("own", "next"))).alias("b"))
+    stars = stars.select(F.col("node").alias("a"), F.explode(F.array_distinct("b")).alias("b")).filter("a <> b")
+    return near.unionByName(stars)
 
 
 def _forest(sets: list[np.ndarray], nodes: np.ndarray, left: int, t: int) -> list[tuple[int, int]]:
