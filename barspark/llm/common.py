@@ -8,9 +8,10 @@ Hashes are 64 bits: prefix sums of random byte values times powers of an odd num
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,24 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
+def collector_paused(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` with Python's cycle collector off while a task makes many small objects, and as it was when the task ends: the
+    worker goes on to other tasks. What the task leaves can then be collected, and Arrow's free memory goes back to the system."""
+
+    @wraps(run)
+    def paused(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if was:
+                gc.enable()
+            pa.default_memory_pool().release_unused()
+
+    return paused
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

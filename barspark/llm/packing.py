@@ -12,7 +12,6 @@ packed once each; an empty table gives an empty table. Columns of the input othe
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, mix, text_slices, written
+from .common import collector_paused, column, mix, text_slices, written
 
 DIMS, BITS, BUCKETS = 4, 10, 1024
 END = 1
@@ -141,8 +140,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """row, doc_id, ids (little-endian uint32), n, and the projected vector's mean per token."""
     dims = [f"v{i}" for i in range(DIMS)]
 
+    @collector_paused  # a million small strings and no cycles: the collector would only walk them
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # a million small strings and no cycles: the collector would only walk them
         table = projection()
         for b in batches:
             texts = column(b, "text")

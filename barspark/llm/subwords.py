@@ -13,7 +13,6 @@ are carried; an empty table gives an empty table; other columns of the input are
 
 from __future__ import annotations
 
-import gc
 import heapq
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import lattice
-from .common import column, text_slices
+from .common import collector_paused, column, text_slices
 
 KEPT = 400_000
 MASK = lattice.PIECE - 1
@@ -66,8 +65,8 @@ class Learned(dict):
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pre_tokens, n_tokens and cost (thousandths of a nat) of each text's best segmentation."""
 
+    @collector_paused
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         known = Learned(path)
         for b in batches:
             texts = column(b, "text")
@@ -135,8 +134,8 @@ def n_best(docs: DataFrame, path: str, n: int = 3, check: bool = False) -> DataF
     fields = "doc_id long, rank int, cost long, n_pieces long, ids binary" + ", round_trip boolean" * check
     names = [f.split()[0] for f in fields.split(", ")]
 
+    @collector_paused
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         known = Learned(path)
         decoder = Decoder(known.vocabulary)
         for b in batches:
