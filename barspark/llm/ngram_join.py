@@ -9,7 +9,7 @@ tokens. Sets of t * 600 to 600 tokens take part in both forms, so any two sets w
 
 Signatures only propose. Proposals of small buckets are counted per pair and must reach the overlap that the rest of the
 two sets cannot make up; then their bitmaps (a bit per token's hash, two to four bits a token) must not differ in more places than
-linked sets may have tokens of their own. Buckets over ``SMALL`` members are tied as stars. The groups that result are verified whole, all
+linked sets may have tokens of their own. Buckets over ``SMALL`` members are tied by a key for each band of like size. The groups that result are verified whole, all
 against all, in blocks of ``BLOCK`` sets per task; a task returns a spanning forest of the links that it found, never pairs
 of a group. Equal sets are merged before all this and copies never meet. Sets are stored nowhere: texts of proposed groups
 are shingled again.
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, column, discard, mix, written
-from .components import components
+from .components import TIED, components, star_edges
 
 FREQUENT, MOST_FREQUENT, SMALL, BLOCK, BROADCAST_KEYS = 32, 1 << 20, 64, 256, 1 << 20
 ONE_CLASS_UP_TO, CLASSES = 600, 64
@@ -221,14 +221,15 @@ def _alike(pairs: DataFrame, signed: DataFrame, t: int) -> DataFrame:
 
 
 def proposals(signed: DataFrame, t: int) -> DataFrame:
-    """Edges (a, b) between sets whose signatures leave room for a link."""
-    # one shuffle of (signature, node) serves the counts and the join; sizes are added to the few that meet
+    """Edges (a, b) between sets whose signatures leave room for a link, or between sets and keys of large buckets, below zero."""
+    # one shuffle of (signature, node) serves the counts and the join; sizes are added to those in small buckets
     n = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = signed.select("node", F.explode(F.array_distinct("sigs")).alias("sig")).repartition(n, "sig")
     many = rows.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1")
-    met = rows.join(many, "sig").join(signed.select("node", "size", "rest"), "node")
+    met = rows.join(many, "sig")
     # small buckets: their pairs, each counted over all signatures
-    small = met.filter(F.col("n") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("size", "node", "rest"))).alias("m"))
+    small = met.filter(F.col("n") <= SMALL).join(signed.select("node", "size", "rest"), "node")
+    small = small.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("size", "node", "rest"))).alias("m"))
     pairs = F.flatten(
         F.transform("m", lambda x, i: F.transform(
             F.filter("m", lambda y, j: (j > i) & (F.lit(t) * y["size"] <= F.lit(100) * x["size"])), lambda y: F.struct(x.alias("x"), y.alias("y"))
@@ -239,18 +240,47 @@ def proposals(signed: DataFrame, t: int) -> DataFrame:
     wanted = F.ceil(F.lit(t) * (F.col("x.size") + F.col("y.size")) / F.lit(100.0 + t) - 1e-6)
     near = p.filter(F.col("shared") + F.greatest("x.rest", "y.rest") >= wanted).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     near = _alike(near, signed, t)
-    # large buckets: stars among sets of like size (a pair within the size ratio shares one of its two bands)
-    band = F.floor(F.log("size") / float(-np.log(t / 100) * 1.001)).cast("long")
-    large = met.filter(F.col("n") > SMALL).select("sig", "node", band.alias("band"))
-    # a band's hub is the least of its own sets and of those of the band below; a set's hubs meet before they become edges
-    by_band = Window.partitionBy("sig").orderBy("band")
-    beside = lambda step, at: F.when(at("band", 1).over(by_band) == F.col("band") + step, at("low", 1).over(by_band))
-    hubs = large.groupBy("sig", "band").agg(F.min("node").alias("low")).select(
-        "sig", "band", F.least("low", beside(-1, F.lag)).alias("own"), F.least("low", beside(1, F.lead)).alias("next")
-    )
-    stars = large.join(hubs, ["sig", "band"]).groupBy("node").agg(F.flatten(F.collect_set(F.array("own", "next"))).alias("b"))
-    stars = stars.select(F.col("node").alias("a"), F.explode(F.array_distinct("b")).alias("b")).filter("a <> b")
-    return near.unionByName(stars)
+    # large buckets: a row for each set that is in some, with their signatures
+    large = met.filter(F.col("n") > SMALL).groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    return near.unionByName(_bucket_stars(large.join(signed.select("node", "size"), "node"), t))
+
+
+def _bucket_stars(large: DataFrame, t: int) -> DataFrame:
+    """Edges (a, b) that tie the sets of each bucket whose sizes lie in the same band or the next one: a pair within the size ratio does.
+
+    ``large`` has node, size and sigs. A set is tied to a key, a number below zero, of each of its signatures and its band, and to
+    that of the band above. A task ties what it holds and passes on the root of each set and key that it has met."""
+
+    def keys(sigs: np.ndarray, bands: np.ndarray) -> list[int]:
+        return (-1 - (mix(sigs.view(_U) ^ mix(bands.astype(_U))) >> _U(1)).astype(np.int64)).tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def stars() -> pa.RecordBatch:
+            a, b = star_edges(*held)
+            roots = list(set(b))  # with themselves too: another task may lead them on
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a + roots, b + roots)], ["a", "b"])
+
+        held: tuple[list[int], list[int]] = ([], [])
+        for batch in batches:
+            flat, at = _ravel(column(batch, "sigs"))
+            band = np.floor(np.log(column(batch, "size").to_numpy()) / (-np.log(t / 100) * 1.001)).astype(np.int64)
+            band, node = (np.repeat(x, np.diff(at)) for x in (band, column(batch, "node").to_numpy()))
+            for lo in range(0, len(flat), TIED // 2):
+                some = slice(lo, lo + TIED // 2)
+                for up in (0, 1):
+                    held[0].extend(node[some].tolist())
+                    held[1].extend(keys(flat[some], band[some] + up))
+                if len(held[0]) >= TIED:
+                    yield stars()
+                    held = ([], [])
+        if held[0]:
+            yield stars()
+
+    tied = large.select("node", "size", "sigs").mapInArrow(run, "a long, b long")
+    # what several tasks have met ties their roots; a key that leads to one root alone is needed no more
+    met = tied.groupBy("a").agg(F.min("b").alias("least"), F.collect_set("b").alias("roots"))
+    ends = F.when(F.col("a") >= 0, F.array_union("roots", F.array("a"))).otherwise(F.col("roots"))
+    return met.select(F.explode(ends).alias("a"), F.col("least").alias("b")).filter("a <> b")
 
 
 def _forest(sets: list[np.ndarray], nodes: np.ndarray, left: int, t: int) -> list[tuple[int, int]]:

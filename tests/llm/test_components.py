@@ -33,3 +33,15 @@ def test_a_large_bucket_is_tied_without_a_row_per_signature(spark):
     group = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     size = {r[0]: r[1] for r in rows}
     assert all(group[a] == group[b] for a in size for b in size if 90 * max(size[a], size[b]) <= 100 * min(size[a], size[b]))
+
+
+def test_large_buckets_are_tied_without_a_join_of_their_signatures(spark):
+    n, sigs = ngram_join.SMALL * 3, list(range(40))
+    rows = [(i, (100, 109, 400)[i % 3], i, b"\xff" * 32, 200, sigs) for i in range(n)]
+    got = ngram_join.proposals(spark.createDataFrame(rows, ngram_join.SIGNED), 90)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("band" in line for line in joins)  # else a row of each signature and set
+    found = components.components(got).filter("node >= 0").collect()
+    group = {r["node"]: r["component"] for r in found}
+    assert sorted(group) == list(range(n))
+    assert len({group[i] for i in range(n) if i % 3 < 2}) == 1 and len({group[i] for i in range(2, n, 3)}) == 1 and group[0] != group[2]
