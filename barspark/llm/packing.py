@@ -12,6 +12,7 @@ packed once each; an empty table gives an empty table. Columns of the input othe
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +30,8 @@ END = 1
 
 #: A word of plain letters and then marks: two pre-tokens at most, neither of which depends on the other. No apostrophes.
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00de\u00df-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\\[-`{-~]*)")
+#: Parts of words that show how a tokenizer splits and maps letters and marks: all ASCII ones occur.
+PROBES = ["the", "quick", "brownfox", "jumpsoverlazydog", "zyxwvutsrqponmlkjihgfedcba", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "...", "_", "]]>"]
 
 
 class WordIds(dict):
@@ -40,13 +43,19 @@ class WordIds(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores; small calls would pay for waking threads
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.by_word = bool(self.ends.any())
+        #: whether ASCII letters, or marks, go to the model as they are: then it alone encodes them
+        self.direct = self.by_word and all(self._model_ids(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in PROBES)
         self.parts: dict[str, bytes] = {"": b""}
 
+    def _model_ids(self, part: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(part)]
+
     def __missing__(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, np.uint32).tobytes()
 
@@ -58,8 +67,8 @@ class WordIds(dict):
             self.parts = {"": b""}
         plain, odd, parts = [], [], self.parts
         fresh: set[str] = set()
-        for w in words:
-            if w in self or len(w) > 64:
+        for w in words.difference(self):
+            if len(w) > 64:
                 continue
             if m := PLAIN.fullmatch(w):
                 letters, marks = m[1].lower(), m[2]
@@ -70,6 +79,16 @@ class WordIds(dict):
                     fresh.add(marks)
             else:
                 odd.append(w)
+        if self.direct:
+            own, flat, at = [x for x in fresh if x.isascii()], [], [0]
+            tokenize = self.tokenizer.model.tokenize
+            for x in own:
+                flat += [t.id for t in tokenize(x)]
+                at.append(4 * len(flat))
+            raw = np.array(flat, np.uint32).tobytes()
+            for x, lo, hi in zip(own, at[:-1], at[1:], strict=True):
+                parts[x] = raw[lo:hi]
+            fresh.difference_update(own)
         new = list(fresh)
         for i in range(0, len(new), 1000):
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[i : i + 1000])], add_special_tokens=False)[0].ids, np.uint32)
@@ -93,7 +112,7 @@ def token_bytes(path: str, texts: list[str | None], end: int = END) -> list[byte
     if not ids.by_word:
         return [np.array(e.ids, np.uint32).tobytes() + stop for e in ids.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    ids.learn({w for words in split for w in words})
+    ids.learn(set().union(*split))
     get = ids.__getitem__
     return [b"".join(map(get, words)) + stop for words in split]
 
