@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import norm_ppf, sql_norm_cdf, sql_uniform
+from ..functions.expr import float_div, norm_ppf, sql_norm_cdf, sql_uniform
 from ..operators import bars as B
 from ..operators import label as L
 from ..operators import metrics as M
@@ -289,6 +289,9 @@ def parameter_drift(spark, sf):
 )
 def fold_stability(spark, sf):
     x = M.fold_stability(fold_values(spark, sf), "value")
+    # one fold has no spread, and equal folds divide by zero
+    x = x.withColumn("std", F.when(F.col("n_folds") > 1, F.col("std")))
+    x = x.withColumn("t_stat", float_div(F.col("mean"), F.col("std") / F.sqrt("n_folds")))
     d = dict(mean=7, std=7, t_stat=6, fraction_positive=8, minimum=7, median=7, maximum=7, iqr=7)
     return x.select("instrument", "n_folds", *[F.round(c, n).alias(c) for c, n in d.items()])
 
