@@ -159,7 +159,7 @@ def trades_needed(spark, sf):
       FROM lab JOIN (SELECT instrument, count(*) AS c FROM lab GROUP BY 1) USING (instrument) GROUP BY 1, 2""",
 )
 def regime_breakdown(spark, sf):
-    x = M.regime_breakdown(labels(spark, sf))
+    x = M.regime_breakdown(labels(spark, sf)).withColumn("sharpe", float_div(F.col("mean"), F.col("std")))
     d = dict(share=8, mean=7, total=5, sharpe=7, hit_rate=8)
     return x.select("instrument", "regime", "n", *[F.round(c, n).alias(c) for c, n in d.items()])
 
