@@ -82,6 +82,11 @@ def drawdown(spark, sf):
 )
 def trade_summary(spark, sf):
     x = M.trade_summary(labels(spark, sf))
+    # a series without wins or without losses has no mean of them and no ratio
+    win, loss = F.col("avg_win") > 0, F.col("avg_loss") < 0
+    x = x.withColumns({"profit_factor": F.when(win & loss, F.col("profit_factor")), "win_loss_ratio": F.when(win & loss, F.col("win_loss_ratio"))})
+    x = x.withColumns({"avg_win": F.when(win, F.col("avg_win")), "avg_loss": F.when(loss, F.col("avg_loss"))})
+    x = x.withColumn("expectancy_t", float_div(F.col("expectancy_sigma"), F.col("expectancy_se")))
     d = dict(hit_rate=8, hit_rate_se=8, profit_factor=6, avg_win=8, avg_loss=8, win_loss_ratio=6, mean_trade=8, median_trade=8, expectancy_sigma=7, expectancy_se=7, expectancy_t=6)
     return x.select("instrument", "n_trades", *[F.round(c, n).alias(c) for c, n in d.items()])
 
