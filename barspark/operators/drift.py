@@ -78,10 +78,10 @@ def slippage_ratio(fills: DataFrame, window: int = 100, min_n: int = 10, order:
     return a.select("instrument", "n", F.when(F.col("n") >= min_n, F.col("_m")).alias("slippage_ratio"))
 
 
-def findings() -> Column:
-    """Named findings from columns n, brier, skill, psi_max, ebe_full, slippage_ratio."""
+def findings(least: int = 50) -> Column:
+    """Named findings from columns n, brier, skill, psi_max, ebe_full, slippage_ratio; ``least`` outcomes are scored."""
     c = F.col
-    scored = c("n") >= 50
+    scored = c("n") >= least
     return F.array_compact(
         F.array(
             F.when(scored & (c("brier") > BRIER_ALARM), "brier_alarm").when(scored & (c("brier") > 0.9 * BRIER_ALARM), "brier_near_alarm"),
@@ -93,10 +93,10 @@ def findings() -> Column:
     )
 
 
-def demotion_level() -> Column:
+def demotion_level(least: int = 50) -> Column:
     """0 normal, 1 tightened, 2 restricted, 3 no trade: the worst finding decides."""
     c = F.col
-    scored = c("n") >= 50
+    scored = c("n") >= least
     z = F.lit(0)
     return F.greatest(
         F.when(scored & (c("brier") > BRIER_ALARM), 3).when(scored & (c("brier") > 0.9 * BRIER_ALARM), 1).otherwise(z),
@@ -114,9 +114,10 @@ def demotion_effect(level: Column, max_posterior: Column) -> tuple[Column, Colum
     return throttle, block
 
 
-def health(outcomes: DataFrame, psi_rows: DataFrame | None = None, slip: DataFrame | None = None, ebe_full: float | None = None, keep: int | None = None) -> DataFrame:
-    """One health row per instrument from its outcomes (pos, p, y), all or the last ``keep``."""
-    d = brier_decomposition(outcomes if keep is None else last_n(outcomes, keep, "pos"), 15, ("instrument",))
+def health(outcomes: DataFrame, psi_rows: DataFrame | None = None, slip: DataFrame | None = None, ebe_full: float | None = None, keep: int | None = None, least: int = 50, alike: float | None = None) -> DataFrame:
+    """One health row per instrument from its outcomes (pos, p, y), all or the last ``keep``; fewer than ``least`` are not judged by
+    score, and ``alike`` is the skill where all outcomes are the same."""
+    d = brier_decomposition(outcomes if keep is None else last_n(outcomes, keep, "pos"), 15, ("instrument",), alike)
     x = d.select("instrument", "n", "brier", "ece", "skill")
     x = x.join(psi_rows, "instrument", "left") if psi_rows is not None else x.withColumns(
         {"psi_max": F.lit(None).cast("double"), "worst_feature": F.lit(None).cast("string")}
@@ -125,7 +126,7 @@ def health(outcomes: DataFrame, psi_rows: DataFrame | None = None, slip: DataFra
         "slippage_ratio", F.lit(None).cast("double")
     )
     x = x.withColumn("ebe_full", F.lit(ebe_full).cast("double"))
-    return x.withColumns({"findings": findings(), "level": demotion_level()})
+    return x.withColumns({"findings": findings(least), "level": demotion_level(least)})
 
 
 def health_stream(bars: DataFrame, outcomes: DataFrame, every: int = 50, min_n: int = 50) -> DataFrame:
