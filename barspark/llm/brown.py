@@ -14,6 +14,10 @@ many words seen once); what the discount takes is the class's one unknown word.
 Counts and classes of at most ``TABLE`` words of at most 64 bytes go out with the scoring pass; all rarer words are looked up by
 a join before transitions are scored, so that every known word counts whatever the size of the vocabulary.
 
+What a task holds does not grow with the vocabulary but for twelve bytes a unit and one of its class: words find their units by
+hash, a group that moves has ``SHARE`` units at most (so that more units are more groups), and each group's bigrams are columns
+of their own, so that a pass reads its group alone.
+
 Defined results: null text is empty and holds only its end; a null ``doc_id`` trains (its text form is taken as empty); repeated
 rows train and are scored each; without training rows every probability is that of an unknown word; an empty table gives an
 empty table; other columns are not read. ``docs`` has to be a stored table.
@@ -25,6 +29,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -34,12 +39,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, text_slices, written
+from .common import Words, blocks, column, text_bytes, text_slices, written
 
 OWN, SPELLED, CLASSES, PASSES = 1024, 1024, 48, 8
 UNITS = OWN + SPELLED
-#: Count from which a word is a unit; groups that move by turns, and turns at most; entries of a stored row of bigrams.
-LEAST, GROUPS, TURNS, ROW = 32, 4, 3, 4096
+#: Count from which a word is a unit; groups that move by turns, at least, and turns at most; units of a group at most.
+LEAST, GROUPS, TURNS, SHARE = 32, 4, 3, 1 << 15
+#: Entries of a stored row of bigrams; entries, or tokens, that a task works on at once; units in a row of sums.
+ROW, STEP, BLOCK = 1024, 1 << 20, 64
 RARE = 64
 TABLE, STRENGTH = 1 << 17, 20.0
 END = b""
@@ -50,6 +57,60 @@ def spelled(word: bytes) -> int:
     return OWN + zlib.crc32(word[-3:]) % SPELLED
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC = _crc_table()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+class Units:
+    """Units of words by the hash of their bytes; a word that has none gets that of its spelling."""
+
+    def __init__(self, own: dict[bytes, int]):
+        words, hashes = [w for w in own if w], [np.zeros(0, np.uint64)]
+        for lo in range(0, len(words), 4096):
+            raw = np.frombuffer(b" ".join(words[lo : lo + 4096]), np.uint8)
+            hashes.append(Words(raw, np.array([0, len(raw)]), True).hash)
+        made = np.concatenate(hashes)
+        order = np.argsort(made)
+        self.unit = np.array([own[w] for w in words], np.int32)[order]
+        self.hash = np.append(made[order], np.uint64(2**64 - 1))
+        bits = max(1, len(words).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(made[order], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def __call__(self, words: Words) -> np.ndarray:
+        h = words.hash
+        at = self.first[h >> self.shift]
+        later = np.flatnonzero(self.hash[at] < h)
+        while len(later):
+            at[later] += 1
+            later = later[self.hash[at[later]] < h[later]]
+        units = np.append(self.unit, np.int32(-1))[at]
+        other = np.flatnonzero((self.hash[at] != h) | (units < 0))
+        start, end = words.start[other], words.end[other]
+        crc = np.full(len(other), 0xFFFFFFFF, np.uint32)
+        for back in (3, 2, 1):
+            has = np.flatnonzero(end - back >= start)
+            crc[has] = CRC[(crc[has] ^ LOWER[words.raw[end[has] - back]]) & np.uint32(255)] ^ (crc[has] >> np.uint32(8))
+        units[other] = OWN + (~crc % np.uint32(SPELLED)).astype(np.int32)
+        return units
+
+
+def _strings(words: Words, which: np.ndarray) -> pa.Array:
+    """The words of these numbers, lower-cased."""
+    start, size = words.start[which], words.end[which] - words.start[which]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    data = LOWER[words.raw[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)]]
+    return pa.Array.from_buffers(pa.string(), len(which), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
 def _spelled_column(word: Column) -> Column:
     return (F.lit(OWN) + F.crc32(F.substring(F.encode(word, "utf-8"), -3, 3)) % SPELLED).cast("int")
 
@@ -107,43 +168,65 @@ def numbered(words: DataFrame) -> dict[bytes, int]:
 
 
 def unit_bigrams(train: DataFrame, own: dict[bytes, int]) -> DataFrame:
-    """Lists a, b, n: unit b follows unit a n times (a pair may come more than once). An end stands before the first word."""
-    spread, size = train.sparkSession.sparkContext.broadcast(own), UNITS + max(0, len(own) - OWN)
+    """Columns u0, o0, u1, ... of packed numbers. Each bigram stands in its first unit's group and in its second's: u is twice the
+    unit's number in its group, plus one where it comes second, and o the other unit. An end stands before the first word."""
+    groups = max(GROUPS, -(-(UNITS + max(0, len(own) - OWN)) // SHARE))
+    spread = train.sparkSession.sparkContext.broadcast(Units(own))
+    names = [f"{c}{g}" for g in range(groups) for c in "uo"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, held = spread.value.get, []
+        for b in batches:
+            for _, _, words in blocks(column(b, "text"), True):
+                second = _with_ends(spread.value(words), words.per_doc, 0)
+                first = np.append(np.int32(0), second[:-1])
+                inner = np.flatnonzero(second)  # the end never moves: what comes before it is not asked for
+                unit, other = np.concatenate([first, second[inner]]), np.concatenate([second, first[inner]])
+                twice = unit // groups * 2
+                twice[len(first) :] += 1
+                group = (unit % groups).astype(np.uint16)
+                order, sizes = np.argsort(group, kind="stable"), np.bincount(group, minlength=groups)
+                u, o, n, lo, cols = twice[order].astype(np.uint16), other[order].astype(np.int32), -(-int(sizes.max()) // ROW), 0, []
+                for size in sizes.tolist():
+                    cuts = np.arange(n + 1) * size // n
+                    for x in (u, o):
+                        part = np.ascontiguousarray(x[lo : lo + size])
+                        cols.append(pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(part)]))
+                    lo += size
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-        def out():
-            codes, times = np.unique(np.concatenate(held), return_counts=True)
-            for lo in range(0, len(codes), 64 * ROW):
-                some, n = codes[lo : lo + 64 * ROW], times[lo : lo + 64 * ROW]
-                offsets = pa.array(np.append(np.arange(0, len(some), ROW), len(some)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((some // size).astype(np.int32), (some % size).astype(np.int32), n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(lists, ["a", "b", "n"])
+    return train.select("text").mapInArrow(run, ", ".join(f"{c} binary" for c in names))
 
-        for b in batches:
-            for lo, hi in text_slices(column(b, "text")):
-                words, n = _flat_words(column(b, "text").slice(lo, hi - lo))
-                units = _with_ends(_units(words, get), n, 0)
-                held.append(np.concatenate([[0], units[:-1]]) * size + units)
-            if sum(map(len, held)) > 1 << 22:
-                yield from out()
-                held = []
-        if held:
-            yield from out()
 
-    return train.select("text").mapInArrow(run, "a array<int>, b array<int>, n array<long>")
+def _group(bigrams: DataFrame, group: int) -> DataFrame:
+    return bigrams.select(F.lit(group).alias("g"), F.col(f"u{group}").alias("u"), F.col(f"o{group}").alias("o"))
 
 
-def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(column(batch, c).flatten().to_numpy() for c in ("a", "b", "n"))
+def _n_groups(bigrams: DataFrame) -> int:
+    return len(bigrams.columns) // 2
 
 
-def _units(words: list[bytes], get) -> np.ndarray:
-    units = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-    for i in np.flatnonzero(units < 0).tolist():
-        units[i] = spelled(words[i])
-    return units
+def _every(bigrams: DataFrame) -> DataFrame:
+    """All groups below each other, so that a task reads one group's columns at a time."""
+    return reduce(DataFrame.unionAll, [_group(bigrams, g) for g in range(_n_groups(bigrams))])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Twice the number in the group (plus one), unit and other unit, some entries at a time."""
+    for batch in batches:
+        of = column(batch, "g").to_numpy()
+        for g in np.unique(of).tolist():
+            some = batch if (of == g).all() else batch.filter(pa.array(of == g))
+            u, o = text_bytes(column(some, "u"))[0].view(np.uint16), text_bytes(column(some, "o"))[0].view(np.int32)
+            for lo in range(0, len(u), STEP):
+                at = u[lo : lo + STEP].astype(np.int32)
+                yield at, at // 2 * groups + g, o[lo : lo + STEP]
+
+
+def _bigrams_of(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First and second unit of every bigram, once."""
+    for at, unit, other in _entries(batches, groups):
+        first = np.flatnonzero(at % 2 == 0)
+        yield unit[first], other[first]
 
 
 def _offsets(text_of: np.ndarray, n: int) -> pa.Array:
@@ -212,17 +295,13 @@ def exchange_passes(pairs: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray
     return classes, g
 
 
-def _sums(x: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(x, n, size)
-
-
 def start(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
     """First classes of all units, by exchange of OWN words and the spelling groups: at most UNITS**2 sums reach its one task."""
     fold = np.arange(UNITS + max(0, len(own) - OWN))
     for w, u in own.items():
         if u >= UNITS:
             fold[u] = spelled(w)
-    spread = bigrams.sparkSession.sparkContext.broadcast(fold.astype(np.int64))
+    spread, groups = bigrams.sparkSession.sparkContext.broadcast(fold.astype(np.int32)), _n_groups(bigrams)
 
     def rows(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         for u in np.flatnonzero(sums.any(axis=1)).tolist():
@@ -231,9 +310,8 @@ def start(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, sums = spread.value, np.zeros(UNITS * UNITS)
-        for batch in batches:
-            a, b, n = _pairs(batch)
-            np.add.at(sums, to[a] * UNITS + to[b], n)
+        for a, b in _bigrams_of(batches, groups):
+            np.add.at(sums, to[a] * UNITS + to[b], 1.0)
         yield from rows(sums.reshape(UNITS, UNITS))
 
     def table(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -248,28 +326,50 @@ def start(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([classes.tolist()], pa.list_(pa.int32()))], ["k"])
 
     schema = "u int, b array<int>, n array<double>"
-    merged = bigrams.mapInArrow(folded, schema).repartition(16, "u").mapInArrow(lambda x: rows(table(x)), schema)
+    merged = _every(bigrams).mapInArrow(folded, schema).repartition(16, "u").mapInArrow(lambda x: rows(table(x)), schema)
     got = merged.repartition(1).mapInArrow(run, "k array<int>").first()
     classes = np.array(got["k"]) if got else exchange_passes(np.zeros((UNITS, UNITS)))[0]
     return classes[fold]
 
 
+def _added(parts: list) -> np.ndarray:
+    g = np.sum([r["g"] for r in parts], axis=0) if parts else np.zeros(CLASSES * CLASSES)
+    return np.asarray(g, np.float64).reshape(CLASSES, CLASSES)
+
+
 def class_bigrams(bigrams: DataFrame, classes: np.ndarray, spelling: bool = True) -> np.ndarray:
     """How often a class follows a class; without ``spelling``, between words that are units only."""
-    spread = bigrams.sparkSession.sparkContext.broadcast(classes)
+    spread, groups = bigrams.sparkSession.sparkContext.broadcast(classes.astype(np.int8)), _n_groups(bigrams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, g = spread.value, np.zeros(CLASSES * CLASSES)
-        for batch in batches:
-            a, b, n = _pairs(batch)
+        k, g = spread.value, np.zeros(CLASSES * CLASSES, np.int64)
+        for a, b in _bigrams_of(batches, groups):
             if not spelling:
-                at = ((a < OWN) | (a >= UNITS)) & ((b < OWN) | (b >= UNITS))
-                a, b, n = a[at], b[at], n[at]
-            g += _sums(k[a] * CLASSES + k[b], n, CLASSES * CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.float64()))], ["g"])
+                at = np.flatnonzero(((a < OWN) | (a >= UNITS)) & ((b < OWN) | (b >= UNITS)))
+                a, b = a[at], b[at]
+            g += np.bincount(k[a].astype(np.int32) * CLASSES + k[b], minlength=len(g))
+        yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.int64()))], ["g"])
 
-    parts = [r["g"] for r in bigrams.mapInArrow(run, "g array<double>").collect()]
-    return np.sum(parts, axis=0).reshape(CLASSES, CLASSES) if parts else np.zeros((CLASSES, CLASSES))
+    return _added(_every(bigrams).mapInArrow(run, "g array<long>").collect())
+
+
+def moved_bigrams(bigrams: DataFrame, classes: np.ndarray, trial: np.ndarray, group: int) -> np.ndarray:
+    """What :func:`class_bigrams` gains and loses where units of one group alone have other classes in ``trial``."""
+    spread, groups = bigrams.sparkSession.sparkContext.broadcast((classes.astype(np.int8), trial.astype(np.int8))), _n_groups(bigrams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (k, t), g = spread.value, np.zeros(CLASSES * CLASSES, np.int64)
+        moves = k != t
+        for at, unit, other in _entries(batches, groups):
+            # a bigram whose units both move counts where its first one stands
+            some = np.flatnonzero(moves[unit] & ((at % 2 == 0) | ~moves[other]))
+            unit, other, back = unit[some], other[some], at[some] % 2 == 1
+            a, b = np.where(back, other, unit), np.where(back, unit, other)
+            g += np.bincount(t[a].astype(np.int32) * CLASSES + t[b], minlength=len(g))
+            g -= np.bincount(k[a].astype(np.int32) * CLASSES + k[b], minlength=len(g))
+        yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.int64()))], ["g"])
+
+    return _added(_group(bigrams, group).mapInArrow(run, "g array<long>").collect())
 
 
 def likelihood(g: np.ndarray) -> float:
@@ -278,43 +378,40 @@ def likelihood(g: np.ndarray) -> float:
 
 def offers(bigrams: DataFrame, classes: np.ndarray, g: np.ndarray, group: int):
     """u, k, gain of the units of a group that would rather be in class k, greatest gain first."""
-    spread, size = bigrams.sparkSession.sparkContext.broadcast((classes, g)), -(-len(classes) // GROUPS)
+    groups, wide = _n_groups(bigrams), 2 * CLASSES + 1
+    spread, size = bigrams.sparkSession.sparkContext.broadcast((classes.astype(np.int8), g)), -(-len(classes) // groups // BLOCK) * BLOCK
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, _ = spread.value
-        left, right, twice = np.zeros(size * CLASSES), np.zeros(size * CLASSES), np.zeros(size)
-        for batch in batches:
-            a, b, n = _pairs(batch)
-            at, to = a % GROUPS == group, b % GROUPS == group
-            right += _sums(a[at] // GROUPS * CLASSES + k[b[at]], n[at], len(right))
-            left += _sums(b[to] // GROUPS * CLASSES + k[a[to]], n[to], len(left))
-            both = at & (a == b)
-            twice += _sums(a[both] // GROUPS, n[both], size)
-        x = np.concatenate([left.reshape(size, CLASSES), right.reshape(size, CLASSES), twice[:, None]], axis=1)
-        seen = np.flatnonzero(x.any(axis=1))
-        for lo in range(0, len(seen), 1024):
-            at = seen[lo : lo + 1024]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * x.shape[1]), pa.array(x[at].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array((at * GROUPS + group).astype(np.int32)), lists], ["u", "x"])
+        after, twice = np.zeros(2 * size * CLASSES, np.int32), np.zeros(size, np.int32)
+        for at, unit, other in _entries(batches, groups):
+            np.add.at(after, at * CLASSES + k[other], np.int32(1))
+            np.add.at(twice, at[(at % 2 == 0) & (unit == other)] // 2, np.int32(1))
+        sides = after.reshape(size // BLOCK, BLOCK, 2 * CLASSES)
+        for i in np.flatnonzero(sides.any(axis=(1, 2))).tolist():
+            x = np.concatenate([sides[i], twice[i * BLOCK : i * BLOCK + BLOCK, None]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "x"])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, g = spread.value
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for u, x in zip(column(batch, "u").to_pylist(), column(batch, "x").flatten().to_numpy().reshape(batch.num_rows, -1), strict=True):
-                totals[u] = totals[u] + x if u in totals else x.copy()
+            for i, x in zip(column(batch, "block").to_pylist(), column(batch, "x"), strict=True):
+                totals[i] = totals.get(i, 0) + np.frombuffer(x.as_buffer(), np.int32).astype(np.float64).reshape(BLOCK, wide)
         out = []
-        for u, x in totals.items():
-            before, after, own, now = x[:CLASSES].copy(), x[CLASSES:-1].copy(), float(x[-1]), int(k[u])
-            before[now] -= own
-            after[now] -= own
-            new, gain = best_class(now, before, after, own, g)
-            if u and new != now and gain > 1e-6:
-                out.append((u, new, gain))
+        for i, rows in totals.items():
+            for j in np.flatnonzero(rows.any(axis=1)).tolist():
+                u = (i * BLOCK + j) * groups + group
+                after, before, own, now = rows[j, :CLASSES].copy(), rows[j, CLASSES:-1].copy(), float(rows[j, -1]), int(k[u])
+                before[now] -= own
+                after[now] -= own
+                new, gain = best_class(now, before, after, own, g)
+                if u and new != now and gain > 1e-6:
+                    out.append((u, new, gain))
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["u", "k", "gain"])
 
-    got = bigrams.mapInArrow(sums, "u int, x array<double>").repartition("u").mapInArrow(best, "u int, k int, gain double")
+    got = _group(bigrams, group).mapInArrow(sums, "block int, x binary").repartition("block").mapInArrow(best, "u int, k int, gain double")
     return got.toPandas().sort_values(["gain", "u"], ascending=[False, True])
 
 
@@ -324,7 +421,7 @@ def exchange(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
     g = class_bigrams(bigrams, classes)
     for _ in range(TURNS):
         moved = 0
-        for group in range(GROUPS):
+        for group in range(_n_groups(bigrams)):
             got = offers(bigrams, classes, g, group)
             for part in (1, 2, 4):
                 some = got.head(len(got) // part)
@@ -332,7 +429,7 @@ def exchange(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
                     break
                 trial = classes.copy()
                 trial[some["u"].to_numpy()] = some["k"].to_numpy()
-                h = class_bigrams(bigrams, trial)
+                h = g + moved_bigrams(bigrams, classes, trial, group)
                 if likelihood(h) > likelihood(g):
                     classes, g, moved = trial, h, moved + len(some)
                     break
@@ -344,22 +441,20 @@ def exchange(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
 def rare_words(train: DataFrame, own: dict[bytes, int], classes: np.ndarray) -> DataFrame:
     """word, code, next: each occurrence of a word that is no unit, the classes on its sides (left * 128 + right; a side that is
     such a word too has its spelling's class plus RARE) and that word, if it follows."""
-    spread = train.sparkSession.sparkContext.broadcast((own, classes))
+    spread = train.sparkSession.sparkContext.broadcast((Units(own), classes.astype(np.int8)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, classes = spread.value
+        unit_of, classes = spread.value
         for b in batches:
-            for lo, hi in text_slices(column(b, "text")):
-                words, n = _flat_words(column(b, "text").slice(lo, hi - lo))
-                units = _with_ends(_units(words, own.get), n, 0)
+            for _, _, words in blocks(column(b, "text"), True):
+                units = _with_ends(unit_of(words), words.per_doc, 0)
                 rare = (units >= OWN) & (units < UNITS)
-                kinds = np.concatenate([[0], classes[units] + RARE * rare])
+                kinds = np.concatenate([[0], classes[units].astype(np.int32) + RARE * rare])
                 at = np.flatnonzero(rare)
-                which = np.flatnonzero(rare[_with_ends(np.ones(len(words), bool), n, False)])
-                mine = pa.array([words[i] for i in which.tolist()], pa.binary()).cast(pa.string())
-                follows = [words[i + 1] if f else None for i, f in zip(which.tolist(), rare[at + 1].tolist(), strict=True)]
+                mine = _strings(words, np.flatnonzero(np.delete(rare, np.cumsum(words.per_doc + 1) - 1)))
+                follows = pa.array(np.arange(1, len(at) + 1), pa.int64(), mask=~rare[at + 1])  # an end is behind every word
                 code = (kinds[at] * 128 + kinds[at + 2]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([mine, pa.array(code), pa.array(follows, pa.binary()).cast(pa.string())], ["word", "code", "next"])
+                yield pa.RecordBatch.from_arrays([mine, pa.array(code), mine.take(follows)], ["word", "code", "next"])
 
     return train.select("text").mapInArrow(run, "word string, code int, next string")
 
@@ -418,6 +513,15 @@ class Model:
         self.discount, self.total, self.end_known = discount, math.log10(tokens + 0.5 * (types + 1)), n_end > 0
 
 
+def _few_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of ``batch`` with at most STEP tokens together, one row at least."""
+    ends, lo = np.cumsum(pa.compute.list_value_length(column(batch, "kinds")).to_numpy().astype(np.int64)), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """row, doc_id, n_tokens, n_known, train_tokens, base_score, score of every document; ``training`` says which ones teach."""
     spark = docs.sparkSession
@@ -463,7 +567,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for b in batches:
+        for b in (some for batch in batches for some in _few_tokens(batch)):
             per_text = pa.compute.list_value_length(column(b, "kinds")).to_numpy().astype(np.int64)
             found, kind = column(b, "found").flatten(), column(b, "kinds").flatten().to_numpy().astype(np.int64)
             rare = np.flatnonzero(kind < 0)
