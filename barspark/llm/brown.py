@@ -46,7 +46,7 @@ UNITS = OWN + SPELLED
 #: Count from which a word is a unit; groups that move by turns, at least, and turns at most; units of a group at most.
 LEAST, GROUPS, TURNS, SHARE = 32, 4, 3, 1 << 15
 #: Entries of a stored row of bigrams; entries, or tokens, that a task works on at once; units in a row of sums.
-ROW, STEP, BLOCK = 1024, 1 << 20, 64
+ROW, STEP, BLOCK = 1024, 1 << 20, 16
 RARE = 64
 TABLE, STRENGTH = 1 << 17, 20.0
 END = b""
@@ -197,6 +197,11 @@ def unit_bigrams(train: DataFrame, own: dict[bytes, int]) -> DataFrame:
     return train.select("text").mapInArrow(run, ", ".join(f"{c} binary" for c in names))
 
 
+def _few_tasks(bigrams: DataFrame) -> DataFrame:
+    """Two tasks a core, whatever the number of files: each holds, and hands on, sums for a whole group of units."""
+    return bigrams.coalesce(2 * bigrams.sparkSession.sparkContext.defaultParallelism)
+
+
 def _group(bigrams: DataFrame, group: int) -> DataFrame:
     return bigrams.select(F.lit(group).alias("g"), F.col(f"u{group}").alias("u"), F.col(f"o{group}").alias("o"))
 
@@ -239,29 +244,40 @@ def _with_ends(values: np.ndarray, per_text: np.ndarray, end) -> np.ndarray:
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
-    return x * np.log(np.maximum(x, 1.0))
+    t = np.maximum(x, 1.0)
+    np.log(t, out=t)
+    t *= x
+    return t
 
 
-def best_class(now: int, left: np.ndarray, right: np.ndarray, self_pairs: float, g: np.ndarray) -> tuple[int, float]:
-    """Best class for a unit and the gain in sum(G log G) - sum(rows) - sum(columns) over staying.
+def best_classes(now: np.ndarray, left: np.ndarray, right: np.ndarray, self_pairs: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best class for each of some units and the gain in sum(G log G) - sum(rows) - sum(columns) over staying, each moved alone.
 
-    left[c]: class c before the unit, right[c]: after it, both without the unit's pairs with itself.
+    left[i, c]: class c before unit i, right[i, c]: after it, both without the unit's pairs with itself.
     """
-    g = g.copy()
-    g[now] -= right
-    g[:, now] -= left
-    g[now, now] -= self_pairs
-    rows, cols = g.sum(axis=1) + left, g.sum(axis=0) + right  # wherever the unit goes, its neighbours' totals hold it
-    f = _xlogx(g)
-    by_row = (_xlogx(g + right) - f).sum(axis=1)
-    by_col = (_xlogx(g + left[:, None]) - f).sum(axis=0)
-    d = np.diag(g)
-    corner = _xlogx(d + right + left + self_pairs) - _xlogx(d + right) - _xlogx(d + left) + np.diag(f)
-    out, into = right.sum() + self_pairs, left.sum() + self_pairs
+    i, own = np.arange(len(now)), self_pairs[:, None]
+    f = np.repeat(_xlogx(g)[None], len(now), axis=0)
+    g = np.repeat(g[None], len(now), axis=0)
+    g[i, now] -= right
+    g[i, :, now] -= left
+    g[i, now, now] -= self_pairs
+    f[i, now], f[i, :, now] = _xlogx(g[i, now]), _xlogx(g[i, :, now])
+    rows, cols = g.sum(axis=2) + left, g.sum(axis=1) + right  # wherever the unit goes, its neighbours' totals hold it
+    by_row = (_xlogx(g + right[:, None]) - f).sum(axis=2)
+    by_col = (_xlogx(g + left[:, :, None]) - f).sum(axis=1)
+    d, same = np.diagonal(g, axis1=1, axis2=2), np.diagonal(f, axis1=1, axis2=2)
+    corner = _xlogx(d + right + left + own) - _xlogx(d + right) - _xlogx(d + left) + same
+    out, into = right.sum(axis=1, keepdims=True) + own, left.sum(axis=1, keepdims=True) + own
     value = by_row + by_col + corner - (_xlogx(rows + out) - _xlogx(rows)) - (_xlogx(cols + into) - _xlogx(cols))
-    value[0] = -np.inf  # the end's own class
-    best = int(np.argmax(value))
-    return best, float(value[best] - value[now])
+    value[:, 0] = -np.inf  # the end's own class
+    best = value.argmax(axis=1)
+    return best, value[i, best] - value[i, now]
+
+
+def best_class(now: int, left: np.ndarray, right: np.ndarray, self_pairs: float, g: np.ndarray) -> tuple[int, float]:
+    """:func:`best_classes` of one unit."""
+    best, gain = best_classes(np.array([now]), left[None], right[None], np.array([self_pairs]), g)
+    return int(best[0]), float(gain[0])
 
 
 def exchange_passes(pairs: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +342,7 @@ def start(bigrams: DataFrame, own: dict[bytes, int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([classes.tolist()], pa.list_(pa.int32()))], ["k"])
 
     schema = "u int, b array<int>, n array<double>"
-    merged = _every(bigrams).mapInArrow(folded, schema).repartition(16, "u").mapInArrow(lambda x: rows(table(x)), schema)
+    merged = _few_tasks(_every(bigrams)).mapInArrow(folded, schema).repartition(16, "u").mapInArrow(lambda x: rows(table(x)), schema)
     got = merged.repartition(1).mapInArrow(run, "k array<int>").first()
     classes = np.array(got["k"]) if got else exchange_passes(np.zeros((UNITS, UNITS)))[0]
     return classes[fold]
@@ -350,7 +366,7 @@ def class_bigrams(bigrams: DataFrame, classes: np.ndarray, spelling: bool = True
             g += np.bincount(k[a].astype(np.int32) * CLASSES + k[b], minlength=len(g))
         yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.int64()))], ["g"])
 
-    return _added(_every(bigrams).mapInArrow(run, "g array<long>").collect())
+    return _added(_few_tasks(_every(bigrams)).mapInArrow(run, "g array<long>").collect())
 
 
 def moved_bigrams(bigrams: DataFrame, classes: np.ndarray, trial: np.ndarray, group: int) -> np.ndarray:
@@ -369,7 +385,7 @@ def moved_bigrams(bigrams: DataFrame, classes: np.ndarray, trial: np.ndarray, gr
             g -= np.bincount(k[a].astype(np.int32) * CLASSES + k[b], minlength=len(g))
         yield pa.RecordBatch.from_arrays([pa.array([g.tolist()], pa.list_(pa.int64()))], ["g"])
 
-    return _added(_group(bigrams, group).mapInArrow(run, "g array<long>").collect())
+    return _added(_few_tasks(_group(bigrams, group)).mapInArrow(run, "g array<long>").collect())
 
 
 def likelihood(g: np.ndarray) -> float:
@@ -400,18 +416,19 @@ def offers(bigrams: DataFrame, classes: np.ndarray, g: np.ndarray, group: int):
                 totals[i] = totals.get(i, 0) + np.frombuffer(x.as_buffer(), np.int32).astype(np.float64).reshape(BLOCK, wide)
         out = []
         for i, rows in totals.items():
-            for j in np.flatnonzero(rows.any(axis=1)).tolist():
-                u = (i * BLOCK + j) * groups + group
-                after, before, own, now = rows[j, :CLASSES].copy(), rows[j, CLASSES:-1].copy(), float(rows[j, -1]), int(k[u])
-                before[now] -= own
-                after[now] -= own
-                new, gain = best_class(now, before, after, own, g)
-                if u and new != now and gain > 1e-6:
-                    out.append((u, new, gain))
+            seen = np.flatnonzero(rows.any(axis=1))
+            u = (i * BLOCK + seen) * groups + group
+            after, before, own, now = rows[seen, :CLASSES], rows[seen, CLASSES:-1], rows[seen, -1], k[u].astype(np.int64)
+            at = np.arange(len(seen))
+            before[at, now] -= own
+            after[at, now] -= own
+            new, gain = best_classes(now, before, after, own, g)
+            would = np.flatnonzero((u > 0) & (new != now) & (gain > 1e-6))
+            out += zip(u[would].tolist(), new[would].tolist(), gain[would].tolist(), strict=True)
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["u", "k", "gain"])
 
-    got = _group(bigrams, group).mapInArrow(sums, "block int, x binary").repartition("block").mapInArrow(best, "u int, k int, gain double")
+    got = _few_tasks(_group(bigrams, group)).mapInArrow(sums, "block int, x binary").repartition("block").mapInArrow(best, "u int, k int, gain double")
     return got.toPandas().sort_values(["gain", "u"], ascending=[False, True])
 
 
